@@ -1,0 +1,181 @@
+"""Personal data: detected entities get keyed, type-consistent surrogates."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from latchkey.llm.common import staged, text_column
+
+#: Titles before a person's name, by the gender that they tell.
+TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Sir"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra"), "n": ("Dr", "Prof")}
+_TITLE = "|".join(t for ts in TITLES.values() for t in ts)
+ENTITY = re.compile(
+    r"(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
+    r"|(?<=[=:] )(?P<secret>(?=[A-Za-z0-9_/+-]*\d)[A-Za-z0-9_/+-]{16,})|\b(?P<hex>[0-9a-f]{32,64}|AKIA[0-9A-Z]{16})\b"
+    r"|\b(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)\b"
+    r"|(?<![\d.])(?P<ip>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?![\d]|\.\d)"
+    r"|(?<![\d-])(?P<card>\d{4}(?:[ -]?\d{4}){3}|\d{4}[ -]?\d{6}[ -]?\d{5})(?![\d-])"
+    r"|(?<![\d-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d-])"
+    r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|(?<![\d-])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4})(?!\d)"
+    rf"|\b(?P<person>(?:{_TITLE})\.? [^\W\d_a-z][^\W\d_]+(?: [^\W\d_a-z][^\W\d_]+)?)"
+)
+MAYBE = re.compile(rf"[0-9@]|\b(?:{_TITLE})\b")
+#: Letters that stand in for letters of the same script and case.
+ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "àâäéèêëïîôöùûüçñß", "ÀÂÄÉÈÊËÏÎÔÖÙÛÜÇÑ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "абвгдежзиклмнопрстуфхцчшщэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ")
+ALPHABET_OF = {c: a for a in ALPHABETS for c in a}
+SYLLABLES = ("ba", "ce", "di", "fo", "gu", "ha", "je", "ki", "lo", "mu", "na", "pe", "ri", "so", "tu", "va", "we", "zi", "bra", "cle", "dri", "flo", "gru", "sta")
+ENDINGS = {"m": ("n", "rd", "s", "k"), "f": ("a", "ina", "ella", "ia"), "n": ("y", "el", "is", "en")}
+
+
+def _draw(key: bytes, *parts: str):
+    """An endless stream of numbers from a keyed hash."""
+    block = 0
+    while True:
+        yield from hashlib.blake2b("\0".join((*parts, str(block))).encode("utf-8", "surrogatepass"), key=key).digest()
+        block += 1
+
+
+def _pick(draw, among):
+    return among[(next(draw) << 16 | next(draw) << 8 | next(draw)) % len(among)]
+
+
+def normal(kind: str, text: str) -> str:
+    """What mentions of one entity have in common."""
+    if kind in ("card", "phone", "iban"):
+        return re.sub(r"[^0-9A-Z]", "", text)
+    return text.lower() if kind == "email" else text
+
+
+def _luhn(digits: str) -> int:
+    return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(digits))) % 10
+
+
+def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
+    """The surrogate of a normalised entity: same kind, length, script and case of each letter, and
+    same check digit where the entity has one."""
+    draw = _draw(key, kind, entity, str(attempt))
+    if kind == "ip":
+        return ".".join(str(_pick(draw, range(1, 255))) for _ in range(4))
+    if kind in ("m", "f", "n", "surname"):
+        if entity[:1].isascii():
+            stem = "".join(_pick(draw, SYLLABLES) for _ in range(3))
+            return (stem + _pick(draw, ENDINGS.get(kind, ("er", "man", "ov", "son")))).capitalize()
+    keep = 0
+    if kind == "phone":
+        keep = max(0, len(entity) - 9)
+    elif kind == "iban":
+        keep = 2
+    hexed = kind == "hex" and entity == entity.lower()
+    out, at = [], entity.rfind(".") if kind == "email" else len(entity)
+    for i, c in enumerate(entity):
+        letters = ("abcdef" if c.isalpha() else "0123456789") if hexed else ALPHABET_OF.get(c)
+        out.append(c if letters is None or i < keep or i >= at else _pick(draw, letters))
+    made = "".join(out)
+    if kind == "card" and _luhn(entity) == 0:
+        made = next(made[:-1] + d for d in "0123456789" if _luhn(made[:-1] + d) == 0)
+    return made
+
+
+def pieces(kind: str, text: str) -> list[tuple[str, str]]:
+    """The (kind, entity) that a mention is made of: a person has a first name, whose gender the title
+    tells, and a surname; any other mention is one entity."""
+    if kind != "person":
+        return [(kind, normal(kind, text))]
+    title, *names = text.split(" ")
+    gender = next(g for g, ts in TITLES.items() if title.rstrip(".") in ts)
+    return [("surname" if i == len(names) - 1 else gender, n) for i, n in enumerate(names)]
+
+
+def rendered(kind: str, text: str, made: list[str]) -> str:
+    """The mention with its surrogate, in the mention's own format."""
+    if kind == "person":
+        return " ".join([text.split(" ")[0], *made])
+    if kind in ("card", "phone", "iban"):
+        new = iter(made[0])
+        return "".join(next(new) if c.isascii() and (c.isdigit() or c.isupper()) else c for c in text)
+    if kind == "email":
+        return "".join(m.upper() if c.isupper() else m for c, m in zip(text, made[0], strict=True))
+    return made[0]
+
+
+def replace(text: str, key: bytes, exceptions: dict[tuple[str, str], int]) -> tuple[str, int]:
+    """The text with surrogates, and how many mentions it had."""
+    if not MAYBE.search(text):
+        return text, 0
+    n = 0
+
+    def one(m: re.Match) -> str:
+        nonlocal n
+        n += 1
+        kind, found = m.lastgroup, m.group()
+        return rendered(kind, found, [surrogate(k, e, key, exceptions.get((k, e), 0)) for k, e in pieces(kind, found)])
+
+    return ENTITY.sub(one, text), n
+
+
+def assign(entities: DataFrame, key: bytes) -> DataFrame:
+    """(kind, entity, attempt) of the entities whose first surrogate can't stand: it is another
+    entity's surrogate, or an entity of the corpus itself. Such entities draw again until no
+    surrogate is shared, so distinct entities stay distinct."""
+
+    def run(batches):
+        for batch in batches:
+            made = [surrogate(k, e, key, a) for k, e, a in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.string())], ["kind", "entity", "attempt", "made"])
+
+    now = entities.select("kind", "entity", F.lit(0).alias("attempt"))
+    real = entities.select("kind", F.col("entity").alias("made"), F.lit(True).alias("real"))
+    settled = None
+    while True:
+        drawn = now.mapInArrow(run, "kind string, entity string, attempt int, made string")
+        taken = drawn.withColumn("settled", F.lit(False))
+        if settled is not None:
+            taken = taken.unionByName(settled.withColumn("settled", F.lit(True)))
+        same = Window.partitionBy("kind", "made").orderBy(F.col("settled").desc(), "entity")
+        judged = taken.withColumn("number", F.row_number().over(same)).join(real, ["kind", "made"], "left")
+        judged = staged(judged.withColumn("again", (F.col("number") > 1) | F.col("real").isNotNull() & ~F.col("settled")), "surrogates")
+        settled = judged.where("not again").select("kind", "entity", "attempt", "made")
+        now = judged.where("again").select("kind", "entity", (F.col("attempt") + 1).alias("attempt"))
+        if now.limit(1).count() == 0:
+            return settled.where("attempt > 0").select("kind", "entity", "attempt")
+
+
+def pseudonymise(docs: DataFrame, key: bytes = b"latchkey", broadcast_rows: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, text with surrogates, n_entities.
+
+    E-mail and IP addresses, telephone, card, account and social security numbers, secrets, and names
+    after a title are replaced by a keyed function of the entity alone, so mentions of one entity agree
+    across the corpus without a lookup. Only entities whose surrogates collide need one: their
+    attempts go with the rows that mention them, by broadcast up to ``broadcast_rows`` such rows and by
+    an ordinary join beyond. Null texts are empty; repeated rows are each replaced; empty tables give
+    an empty result.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(text_col).alias("text"))
+    rows = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+
+    def mentions(batches):
+        for batch in batches:
+            out = [(r, k, e) for t, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if MAYBE.search(t) for k, e in sorted({p for m in ENTITY.finditer(t) for p in pieces(m.lastgroup, m.group())})]
+            columns = list(zip(*out, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)], ["row", "kind", "entity"])
+
+    found = staged(rows.select("text", "row").mapInArrow(mentions, "row long, kind string, entity string"), "mentions")
+    again = assign(staged(found.select("kind", "entity").distinct(), "entities"), key)
+    special = found.join(again, ["kind", "entity"]).groupBy("row").agg(F.collect_set(F.struct("kind", "entity", "attempt")).alias("special"))
+    special = staged(special, "special")
+    if special.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        special = F.broadcast(special)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                made = [replace(t, key, {(s["kind"], s["entity"]): s["attempt"] for s in x or ()}) for t, x in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int32())], ["doc_id", "text", "n_entities"])
+
+    return rows.join(special, "row", "left").select("doc_id", "text", "special").mapInArrow(run, "doc_id long, text string, n_entities int")
