@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latchkey.llm.common import text_column
+from latchkey.llm.common import small_batches, text_column
 
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: All ASCII bytes but letters and digits.
@@ -156,6 +156,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, i
     rows give repeated rows; empty tables give an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(text_col).alias("text"))
     schema = "doc_id long, item_id long, edit_distance int, similarity double"
     rows = benchmark.select(F.col(item_col).cast("long").alias("item_id"), text_column(item_text_col).alias("text")).distinct()

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latchkey.llm.common import connected_components, free_shuffles, staged, text_column
+from latchkey.llm.common import connected_components, free_shuffles, small_batches, staged, text_column
 
 SEED = 42
 
@@ -115,6 +115,7 @@ def repeated_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8
     spanning forest, verified the same way. Null texts are empty; rows with a null doc_id count last;
     repeated rows repeat their paragraphs; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     bands = bands_for(similarity, recall, rows)
     lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text_column(text_col), "\n")).alias("paragraph", "text"))
     lines = lines.where(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) >= least_words)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latchkey.llm.common import staged, text_column
+from latchkey.llm.common import small_batches, staged, text_column
 
 #: Titles before a person's name, by the gender that they tell.
 TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Sir"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra"), "n": ("Dr", "Prof")}
@@ -155,6 +155,7 @@ def pseudonymise(docs: DataFrame, key: bytes = b"latchkey", broadcast_rows: int
     an ordinary join beyond. Null texts are empty; repeated rows are each replaced; empty tables give
     an empty result.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(text_col).alias("text"))
     rows = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
 

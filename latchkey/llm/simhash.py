@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latchkey.llm.common import connected_components, staged, text_column
+from latchkey.llm.common import connected_components, small_batches, staged, text_column
 
 SEED = 42
 #: Words that are hashed at once, for texts of any length.
@@ -135,6 +135,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, short: i
     ones too) have fingerprint 0. A row with a null doc_id gets its component from the others, null if
     there are none. Repeated rows come back repeated; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     prints = staged(fingerprints(docs, words), "fingerprints")
     nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     links = near_links(nodes.select("fp"), distance, short, long)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latchkey.llm.common import delete_folder, free_shuffles, new_folder, text_column
+from latchkey.llm.common import delete_folder, free_shuffles, new_folder, small_batches, text_column
 
 #: Bytes of text that a task takes together, and window starts that are worked on at once.
 CHUNK, SLICE = 16 << 20, 1 << 20
@@ -358,6 +358,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, batches: int = 4, id_col:
     anchors are then compared byte for byte (by 64-bit hashes of whole windows), bucket by bucket.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(text_col).alias("text"))
     known = rows.where("doc_id is not null")
     cuts = ", ".join(str(i / batches) for i in range(1, batches))

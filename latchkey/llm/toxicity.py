@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latchkey.llm.common import staged, text_column
+from latchkey.llm.common import small_batches, staged, text_column
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: A seed lexicon of insults, for corpora with few labels.
@@ -140,6 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     that contradict each other for one id count by their largest. Without labelled rows the seed words
     alone decide.
     """
+    small_batches(docs.sparkSession)
     own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     own = own.groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -190,6 +191,8 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     are scored; repeated rows are scored each; an empty table gives an empty result.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
