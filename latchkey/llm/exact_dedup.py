@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latchkey.llm.common import text_column
+from latchkey.llm.common import staged, text_column
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = 1024, tracked: int = 16384) -> DataFrame:
@@ -21,9 +21,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     map-side combining, are at most ``top`` rows whatever the input's size, and are broadcast, so rows
     of frequent texts get their answer where they are read and are never shuffled. The other digests
     are too rare to fill a partition and go through an ordinary shuffle. A digest that the sketch
-    misses only costs balance, never the result.
+    misses only costs balance, never the result. Texts are read once: digests and ids are written to
+    the shared folder, and all passes go over those.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text_column(text_col), 256)).alias("digest"))
+    d = staged(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text_column(text_col), 256)).alias("digest")), "digests")
     frequent = (
         d.select(F.hex("digest").alias("h"))
         .agg(F.expr(f"approx_top_k(h, {top}, {tracked})").alias("items"))
