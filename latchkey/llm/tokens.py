@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
@@ -10,55 +11,90 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latchkey.llm.common import delete_folder, free_shuffles, new_folder, staged, text_column
+from latchkey.llm.common import delete_folder, free_shuffles, new_folder, small_batches, staged, text_column
 
 SPACE = re.compile(r"[\t\n\v\f\r ]+")
 #: Words that a worker remembers the ids of; beyond that it starts anew.
-REMEMBERED = 200_000
-#: Bytes of ids in a block of the file format.
-BLOCK = 4 << 20
+REMEMBERED = 120_000
+#: Ids in a block of the file format.
+BLOCK = 1 << 20
+
+
+#: Letters that are neither changed by NFC nor lower-cased by their context.
+SIMPLE = re.compile(r"[\x21-\x7e\u00bf-\u00ff]+")
+#: The pre-tokenizer's pattern, and the same for simple characters in lower case.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: How byte-level models write bytes: as printable characters, others from 256 on.
+_PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+WRITTEN = {b: chr(b) if b in _PRINTED else chr(256 + sum(x not in _PRINTED for x in range(b))) for b in range(256)}
 
 
 class WordEncoder:
     """Encodes texts with a tokenizers file, each distinct word once.
 
     The tokenizer drops white space and never joins what white space parts, so the ids of a text are
-    those of its words in turn. Words are split at ASCII white space only and go to the library as
-    they are; a test compares this with the library on whole texts.
+    those of its words in turn. Words are split at ASCII white space. A word of simple characters goes
+    to the library's model piece by piece, the pieces cut as the file's pre-tokenizer says; any other
+    word goes to the library whole. Tests compare both with the library on whole texts; a file with
+    another normalizer or pre-tokenizer than these pieces fit has all words encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.known, self.pieces = self.tokenizer.model, {}, {}
+        self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        with open(path) as f:
+            head = json.load(f)
+        split = [x.get("pattern", {}).get("Regex") for x in (head.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        steps = [x["type"] for x in (head.get("normalizer") or {}).get("normalizers", [])]
+        self.piecewise = split == [PATTERN, None] and steps == ["NFC", "Replace", "Lowercase"]
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return b"".join([i.to_bytes(int(self.width[2]), "little") for i in ids])
+
+    def _word(self, word: str) -> bytes:
+        if not self.piecewise or not SIMPLE.fullmatch(word) or "<|" in word:
+            return self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        out = []
+        for p in PIECE.findall(word.lower()):
+            ids = self.pieces.get(p)
+            if ids is None:
+                ids = self.pieces[p] = self._packed([t.id for t in self.model.tokenize(p if p.isascii() else "".join(map(WRITTEN.__getitem__, p.encode())))])
+            out.append(ids)
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = SPACE.split(text)
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, list(dict.fromkeys(words))
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+        """Little-endian ids, of two bytes each if the vocabulary allows it, else of four."""
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        if len(self.pieces) > REMEMBERED:
+            self.pieces = {}
+        known, out = self.known, []
+        for w in SPACE.split(text):
+            ids = known.get(w)
+            if ids is None:
+                ids = known[w] = self._word(w) if w else b""
+            out.append(ids)
+        return b"".join(out)
 
 
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2) -> DataFrame:
-    """(doc_id, ids): ids as little-endian unsigned 32-bit integers, with the end id last."""
+    """(doc_id, ids, width): little-endian ids of ``width`` bytes each, with the end id last."""
 
     def run(batches):
         encode = WordEncoder(path)
-        tail = b"" if end_id is None else np.asarray([end_id], dtype="<u4").tobytes()
+        tail, width = b"" if end_id is None else np.asarray([end_id], dtype=encode.width).tobytes(), int(encode.width[2])
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 ids = [encode(t) + tail for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([width] * len(ids), pa.int32())], ["doc_id", "ids", "width"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(text_col).alias("text"))
-    return picked.mapInArrow(run, "doc_id long, ids binary")
+    return picked.mapInArrow(run, "doc_id long, ids binary, width int")
 
 
 def id_counts(encoded: DataFrame, most: int = 1 << 22) -> np.ndarray:
@@ -68,8 +104,8 @@ def id_counts(encoded: DataFrame, most: int = 1 << 22) -> np.ndarray:
     def run(batches):
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                add = np.bincount(np.frombuffer(ids, "<u4")) if ids else counts[:0]
+            for ids, width in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                add = np.bincount(np.frombuffer(ids, f"<u{width}")) if ids else counts[:0]
                 if len(add) > most:
                     raise ValueError("an id is beyond the largest vocabulary")
                 if len(add) > len(counts):
@@ -80,7 +116,7 @@ def id_counts(encoded: DataFrame, most: int = 1 << 22) -> np.ndarray:
         there = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int64)), pa.array(counts[there])], ["id", "n"])
 
-    rows = encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = encoded.select("ids", "width").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(1 + max((r.id for r in rows), default=-1), np.int64)
     for r in rows:
         counts[r.id] = r.n
@@ -136,15 +172,15 @@ def write_shards(encoded: DataFrame, table: np.ndarray, to: str, partitions: int
         shard, block, docs, parts, held = TaskContext.get().partitionId(), 0, [], [], 0
 
         def row():
-            ids = rank[np.frombuffer(b"".join(parts), "<u4")] if held else np.zeros(0, np.uint32)
-            values = [shard, block, np.asarray(docs, "<i8").tobytes(), np.asarray([len(p) // 4 for p in parts], "<i8").tobytes(), *pack(ids)]
+            ids = rank[np.concatenate(parts)] if held else np.zeros(0, np.uint32)
+            values = [shard, block, np.asarray(docs, "<i8").tobytes(), np.asarray([len(p) for p in parts], "<i8").tobytes(), *pack(ids)]
             return pa.RecordBatch.from_pylist([dict(zip(("shard", "block", "doc_ids", "sizes", "control", "data"), values, strict=True))], schema=schema)
 
         schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), *((k, pa.binary()) for k in ("doc_ids", "sizes", "control", "data"))])
         for batch in batches:
             for i in range(batch.num_rows):
                 docs.append(-(1 << 63) if (d := batch.column(0)[i].as_py()) is None else d)
-                parts.append(batch.column(1)[i].as_py())
+                parts.append(np.frombuffer(batch.column(1)[i].as_py(), f"<u{batch.column(2)[i].as_py()}"))
                 held += len(parts[-1])
                 if held >= BLOCK or len(docs) >= 10_000:
                     yield row()
@@ -214,12 +250,13 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None = 2, to: str | None
     null doc_id comes first. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     to = to or new_folder(spark, "tokens")
     raw = new_folder(spark, "ids")
     encode_texts(docs, path, end_id=end_id).write.parquet(raw, compression="zstd")
-    encoded = spark.read.schema("doc_id long, ids binary").parquet(raw)
+    encoded = spark.read.schema("doc_id long, ids binary, width int").parquet(raw)
     counts = id_counts(encoded)
-    partitions = max(1, int(counts.sum() * 4 >> 20) // shard_mb + 1, spark.sparkContext.defaultParallelism)
+    partitions = max(1, int(counts.sum() * 2 >> 20) // shard_mb + 1, spark.sparkContext.defaultParallelism)
     write_shards(encoded, by_frequency(counts), to, partitions)
     delete_folder(spark, raw)
     free_shuffles(spark)
