@@ -1,0 +1,279 @@
+"""Each operator on small tables: against brute force, and with nulls, empty texts, ties, repeated rows,
+empty tables and columns with clashing names."""
+
+import hashlib
+import zlib
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from latchkey.llm import decontaminate, exact_dedup, mixing, paragraph_dedup, pii, simhash, suffix_dedup, tokens, toxicity, url_filter
+from latchkey.llm.common import connected_components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: Columns that clash with names the operators use.
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, fp long, component_id long, size long, members string, key long, gone long, copies int, hashes string, score double, id string, paragraph int"
+PASSAGE = "the quick brown fox jumps over the lazy dog while seven wizards quietly brew potions beneath the old stone bridge at midnight every other winter"
+
+
+def rows(*texts, start=0):
+    return [(start + i, t, "en", None if i % 5 == 4 else f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+
+
+TEXTS = [None, "", " \n\t", "one", "one two", PASSAGE, PASSAGE, PASSAGE + " again", "Å" * 60 + PASSAGE, "x" * 5000, "x" * 200, PASSAGE.upper(), "tail " + PASSAGE + "\n" + PASSAGE, "a b c d e f g"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(*TEXTS), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null ids, repeated rows, clashing columns."""
+    r = [(*x, 1, 2, 3, "m", 4, 5, 6, "h", 0.5, "i", 7) for x in rows(*TEXTS[:8])]
+    return spark.createDataFrame([*r, *r[5:7], (None, *r[5][1:]), (None, None, *r[5][2:])], CLASHING)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_components(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (3, 3), (None, 4), (5, 1), (8, 7), (7, 6)], "a long, b long")
+    assert {r.node: r.component for r in connected_components(links).collect()} == {1: 1, 2: 1, 3: 1, 5: 1, 9: 6, 8: 6, 7: 6, 6: 6}
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r.component for r in connected_components(chain).collect()} == {0}
+
+
+@pytest.mark.parametrize(("short", "long"), [(256, 16_384), (1, 16_384), (1, 1)])
+def test_simhash(spark, docs, short, long):
+    near = [PASSAGE + f" {'y' * i}" for i in range(12)]
+    d = docs.unionByName(spark.createDataFrame(rows(*near, start=100), SCHEMA))
+    want = brute.near_duplicates([(r.doc_id, r.text) for r in d.collect()])
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(d, short=short, long=long).collect()}
+    assert got == want
+    assert got[0][0] == "0" * 16 and got[1][1] == 0
+
+
+def test_simhash_links_of_three_bits(spark):
+    base = 0x0123456789ABCDEF
+    fps = [base, base ^ 0b111, base ^ (1 << 3 | 1 << 20 | 1 << 63), base ^ 0b1111 << 8, base ^ 1 << 40]
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    links = simhash.near_links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()
+    want = {tuple(sorted((signed[i], signed[j]))) for i in range(5) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3}
+    assert {tuple(sorted((r.a, r.b))) for r in links} == want
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_suffix(docs, batches):
+    want = brute.remove_repeats([(r.doc_id, r.text) for r in docs.collect()])
+    assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs, batches=batches).collect()} == want
+
+
+def test_suffix_runs_cover_every_window():
+    data = np.frombuffer(("abcab" * 40 + PASSAGE * 3).encode(), np.uint8)
+    ends = np.array([150, len(data)])
+    seen = sorted(s + k for starts, sizes, _ in suffix_dedup.runs(data, ends, 50) for s, n in zip(starts, sizes, strict=True) for k in range(n - 49))
+    assert seen == [i for i in range(len(data) - 49) if i + 50 <= 150 or i >= 150]
+
+
+def test_mixing_targets():
+    assert mixing.targets({"a": 100, "b": 100}, {"a": 1, "b": 3}) == {"a": 50.0, "b": 150.0}
+    t = mixing.targets({"a": 10, "b": 1000, "c": 90}, {"a": 3, "b": 1, "c": 3})
+    assert t["a"] == 30 and t["c"] == 270 and t["b"] == 800
+    assert mixing.targets({}, {}) == {} and mixing.targets({"a": 0}, {"a": 1}) == {"a": 0.0}
+
+
+def test_mixing_flow_of_overlapping_sources():
+    flow = mixing.min_cost_flow({("a",): 10, ("a", "b"): 10, ("b",): 10}, {"a": 25, "b": 15})
+    assert sum(n for (_, s), n in flow.items() if s == "a") == 25 and sum(n for (_, s), n in flow.items() if s == "b") == 15
+    used = {p: sum(n for (q, _), n in flow.items() if q == p) for p in [("a",), ("a", "b"), ("b",)]}
+    assert sum(max(0, n - 10) for n in used.values()) == 10 and max(used.values()) <= 20
+
+
+def test_mixing(spark, docs, odd, empty):
+    many = spark.createDataFrame(rows(*(f"{'w ' * (1 + i % 7)}" for i in range(600))), SCHEMA)
+    got = mixing.mix_single(many).collect()
+    by = {}
+    for r in got:
+        assert r.taken in (0, r.size, 2 * r.size, 3 * r.size)
+        by.setdefault((r.source_size, r.target), 0)
+        by[r.source_size, r.target] += r.taken
+    assert len(got) == 600 and all(abs(n - t) <= 7 for (_, t), n in by.items())
+    assert got == mixing.mix_single(many).collect()
+    assert mixing.mix_single(odd).count() == odd.count() and mixing.mix_single(empty).count() == 0
+    selection, _ = mixing.mix(many, F.array(F.lit("all"), "source"), mixing.word_count(F.col("text")))
+    assert {r.copies for r in selection.collect()} <= {0, 1, 2, 3}
+
+
+def test_decontaminate_distance():
+    for a, b in ((b"kitten", b"xxsittingxx"), (b"abc", b""), (b"abcdef", b"zzabcxdefzz"), (b"aaaa", b"bbbb")):
+        assert decontaminate.edit_distance_inside(a, b) == brute.edit_inside(a, b)
+
+
+def test_decontaminate(spark, odd, empty):
+    random = np.random.RandomState(3)
+    words = ["".join(random.choice(list("abcdefghij"), 6)) for _ in range(3000)]
+    items = [(i, " ".join(words[40 * i : 40 * i + 40])) for i in range(12)]
+    texts, want = [], set()
+    for i, (_, t) in enumerate(items):
+        w = t.split()
+        for k in range(0, 11, 2):  # words replaced, spread over the item
+            v = list(w)
+            for p in range(k):
+                v[(p * 40 // max(k, 1) + 3) % 40] = "".join(random.choice(list("klmnop"), 6))
+            texts.append(" ".join(words[1000 + 10 * i : 1030 + 10 * i]) + " " + " ".join(v) + " " + " ".join(words[2000:2020]))
+    docs = spark.createDataFrame(rows(*texts, "", None), SCHEMA)
+    bench = spark.createDataFrame([*items, (99, None), (98, "too short"), (0, items[0][1])], "item_id long, text string")
+    for d, t in enumerate(texts):
+        for i, item in items:
+            n = decontaminate.normalise(item)
+            e = decontaminate.edit_distance_inside(n, decontaminate.normalise(t))
+            if e <= int(0.2 * len(n) + 1e-9):
+                want.add((d, i, e))
+    got = {(r.doc_id, r.item_id, r.edit_distance) for r in decontaminate.find_items(docs, bench).collect()}
+    assert {x[:2] for x in got} <= {x[:2] for x in want} and len(got) >= 0.9 * len(want) and len(want) >= 48
+    assert got == {(r.doc_id, r.item_id, r.edit_distance) for r in decontaminate.find_items(docs, bench, items=5).collect()}
+    assert decontaminate.find_items(empty, bench).count() == 0 and decontaminate.find_items(odd, bench.limit(0)).count() == 0
+
+
+def test_tokens_match_library(spark, odd, empty, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    texts = [*TEXTS, "It's <|endoftext|> don't'S", "Ünïcödé ΑΣΣ Σ. 10²½ q́ İI ŒUVRE 日本語 😀!!", "a\x1cb\x85c\u00a0d\u2003e  z", "ñ ª º µ ÿ ß ¿ ×÷"]
+    d = spark.createDataFrame(rows(*texts), SCHEMA)
+    at, want = 0, {}
+    for i, t in enumerate(texts):
+        ids = [*whole.encode(t or "", add_special_tokens=False).ids, 2]
+        want[i] = (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert {r.doc_id: tuple(r)[1:] for r in tokens.tokenize(d, path, to=str(tmp_path / "t")).collect()} == want
+    back = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in tokens.read_shards(spark, str(tmp_path / "t")).collect()}
+    assert back[5] == [*whole.encode(PASSAGE, add_special_tokens=False).ids, 2]
+    assert tokens.tokenize(odd, path).count() == odd.count() and tokens.tokenize(empty, path).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 1000])
+def test_token_codec(n):
+    ranks = np.random.RandomState(n).choice(np.array([0, 255, 256, 65_535, 65_536, 1 << 24, (1 << 32) - 1], np.uint32), n)
+    control, data = tokens.pack(ranks)
+    size = tokens.LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
+    assert size.sum() == len(data)
+    small = np.random.RandomState(n).randint(0, 70_000, n).astype(np.uint32)
+    table = np.random.RandomState(1).permutation(70_000).astype(np.uint32)
+    assert (tokens.unpack(*tokens.pack(small), n, table) == table[small]).all()
+
+
+def test_exact(docs, odd, empty):
+    got = {r.doc_id: tuple(r)[1:] for r in exact_dedup.exact_dedup(docs).collect()}
+    for i, t in enumerate(TEXTS):
+        same = [j for j, u in enumerate(TEXTS) if (u or "") == (t or "")]
+        assert got[i] == (max(same), len(same), i == max(same), hashlib.sha256((t or "").encode()).hexdigest())
+    assert exact_dedup.exact_dedup(odd).count() == odd.count() and exact_dedup.exact_dedup(empty).count() == 0
+
+
+@pytest.mark.parametrize("short", [64, 1])
+def test_paragraphs(spark, odd, empty, short):
+    random = np.random.RandomState(5)
+    word = lambda: "".join(random.choice(list("abcdefgh"), 5))
+    base = [" ".join(word() for _ in range(60)) for _ in range(8)]
+    lines = []
+    for b in base:
+        w = b.split()
+        lines += [b, b, " ".join(w[:-1] + [word()]), " ".join([word(), *w[1:-1], word()]), " ".join(w[:30] + [word() for _ in range(30)])]
+    texts = [f"{word()} {word()}\n{x}\n{' '.join(word() for _ in range(30))}" for x in lines]
+    d = spark.createDataFrame(rows(*texts, None, ""), SCHEMA)
+    paragraphs = [(i, j, p) for i, t in enumerate(texts) for j, p in enumerate(t.split("\n")) if len(p.split()) >= 20]
+    sets = [set(zip(*(p.split()[k:] for k in range(5)), strict=False)) for *_, p in paragraphs]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    parts = brute.components(range(len(sets)), links)
+    groups = {}
+    for n, c in parts.items():
+        groups.setdefault(c, []).append(paragraphs[n][:2])
+    want = {p: (len(g), p != min(g)) for g in groups.values() if len(g) > 1 for p in g}
+    got = paragraph_dedup.repeated_paragraphs(d, short=short)
+    assert {(r.doc_id, r.paragraph): (r.cluster_size, r.removed) for r in got.collect()} == want
+    kept = {r.doc_id: r.text for r in paragraph_dedup.without_repeats(d, got).collect()}
+    assert all(kept[i] == "\n".join(p for j, p in enumerate(t.split("\n")) if not want.get((i, j), (0, False))[1]) for i, t in enumerate(texts))
+    if short == 64:
+        assert paragraph_dedup.repeated_paragraphs(odd, least_words=3).count() > 0 and paragraph_dedup.repeated_paragraphs(empty).count() == 0
+
+
+def test_toxicity(spark, odd, empty):
+    random = np.random.RandomState(2)
+    word = lambda: "".join(random.choice(list("abcdefgh"), 5))
+    texts = [" ".join([word() for _ in range(40)] + (["zork" + random.choice(["en", "is", "ou"]), "zorkly"] if i % 5 == 0 else [])) for i in range(800)]
+    d = spark.createDataFrame(rows(*texts), SCHEMA)
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(800)], "doc_id long, quality int, toxic int")
+    scored = toxicity.score_documents(d, toxicity.fit(d, labels)).collect()
+    assert {r.held_out for r in scored} == {True, False}
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in scored)
+    mine = [r for r in scored if r.held_out]
+    assert np.mean([r.predicted == (r.doc_id % 5 == 0) for r in mine]) >= 0.97
+    none = toxicity.fit(odd, labels.limit(0))
+    assert toxicity.score_documents(odd, none).count() == odd.count() and toxicity.score_documents(empty, none).count() == 0
+    assert none.score(["you pathetic idiot", "good day", ""])[0] > 0.5 > none.score(["good day"])[0]
+
+
+def test_pii(spark, odd, empty):
+    texts = ["Mail ann.lee@corp.example.com or Ann.Lee@corp.example.com, +1 (743) 555-3824 and +1 743 555 3824.", "card 4111 1111 1111 1111, 4111111111111111; ip 10.0.0.1", "Mrs Anna Berg met Mr Tom Berg; Mrs Berg left", "token = ABCDEF0123456789abcd", "nothing here", None, "Madame Élodie Roux, 123-45-6789"]
+    got = {r.doc_id: (r.text, r.n_entities) for r in pii.pseudonymise(spark.createDataFrame(rows(*texts), SCHEMA)).collect()}
+    a, n = got[0]
+    assert n == 4 and "ann.lee" not in a.lower() and "555-3824" not in a
+    m = pii.ENTITY.findall(a)
+    first, second = [x[0] for x in m if x[0]]
+    assert first.lower() == second.lower() and first.endswith(".com")
+    digits = ["".join(filter(str.isdigit, x.group())) for x in pii.ENTITY.finditer(a) if x.lastgroup == "phone"]
+    assert digits[0] == digits[1] and digits[0] != "17435553824" and digits[0].startswith("17")
+    cards = ["".join(filter(str.isdigit, x.group())) for x in pii.ENTITY.finditer(got[1][0]) if x.lastgroup == "card"]
+    assert cards[0] == cards[1] != "4111111111111111" and pii._luhn(cards[0]) == 0
+    names = got[2][0].split(" ")
+    assert names[0] == "Mrs" and names[2] == names[6].rstrip(";") == names[8] != "Berg" and names[1] != names[5]
+    assert got[4] == ("nothing here", 0) and got[5] == ("", 0)
+    assert pii.pseudonymise(odd).count() == odd.count() and pii.pseudonymise(empty).count() == 0
+
+
+def test_pii_collisions(spark):
+    """In a space of 254**4 addresses with a mock of few surrogates, all stay distinct."""
+    e = [("surname", f"Name{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(600)]
+    entities = spark.createDataFrame(e, "kind string, entity string")
+    again = {(r.kind, r.entity): r.attempt for r in pii.assign(entities, b"k").collect()}
+    made = [pii.surrogate(k, x, b"k", again.get((k, x), 0)) for k, x in e]
+    assert len(set(made)) == len(e) and not set(made) & {x for _, x in e}
+
+
+def test_urls(spark):
+    urls = ["https://A.Example.COM/en/7?x", "http://b.example.com/en/8", "http://x.net/de/1", "https://q.example.net/de/8/", "http://w.org/es/", "http://w.org/fr/", "nothing", None, "ftp://host", "http://c.example.com#f", "x://y.net/de"]
+    pages = spark.createDataFrame([(i, u, f'<a href="http://b.example.com/x">{i}</a>' if i == 5 else None, 9) for i, u in enumerate(urls)], "page_id long, url string, html string, host long")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages).collect()}
+    assert got[0] == ("a.example.com", "/en/7", "example.com/en/7", "allow")
+    assert got[1] == ("b.example.com", "/en/8", "com/en/", "block")
+    assert got[2] == ("x.net", "/de/1", "net/de/", "allow") and got[3][2:] == ("example.net/de/8", "block") and got[4][2:] == ("org/es/", "block")
+    assert got[6] == ("", "", None, "allow") and got[7] == ("", "", None, "allow") and got[8] == ("host", "", None, "allow")
+    assert got[9][:3] == ("c.example.com", "", None) and got[10][2] is None
+    assert got[5][3] == "block"  # its host is a seed of distrust
+    assert url_filter.filter_urls(pages.limit(0)).count() == 0
+
+
+def test_url_ranks(spark):
+    """Propagation against plain power iteration."""
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "a"), ("b", "b"), ("c", "c"), ("d", "d"), ("d", "a")]
+    seeds = {"a": (2.0, 0.0), "c": (1.0, 1.0)}
+    got = {r.host: (r.trust, r.distrust) for r in url_filter.propagate(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([(h, *s) for h, s in seeds.items()], "host string, allowed double, blocked double")).collect()}
+    for k, links in ((0, edges), (1, [(b, a) for a, b in edges])):
+        start = {h: s[k] / sum(x[k] for x in seeds.values()) for h, s in seeds.items() if s[k]}
+        rank = dict(start)
+        for _ in range(12):
+            new = {h: 0.15 * s for h, s in start.items()}
+            for a, b in links:
+                if a in rank:
+                    new[b] = new.get(b, 0) + 0.85 * rank[a] / sum(x == a for x, _ in links)
+            rank = new
+        assert all(abs(got[h][k] - v) < 1e-9 for h, v in rank.items())
