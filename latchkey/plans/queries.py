@@ -262,11 +262,11 @@ def bm25_normalised(b):
     return b.sparse.select("query_id", "chunk_id", "normalised")
 
 
-@query("select vec_id, list_transform(embedding, lambda x: round(x::double / greatest(sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double))), 1e-9) + 1e-9, 5)) as unit from embeddings")
+@query("select vec_id, list_transform(embedding, lambda x: round(x::double / greatest(sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double))), 1e-9) + 1e-9, 5) + 0.0::double) as unit from embeddings")
 def l2_normalise(b):
     e = b.table("embeddings")
     norm = F.greatest(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), F.lit(1e-9))
-    return e.withColumn("norm", norm).select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") / F.col("norm") + 1e-9, 5)).alias("unit"))
+    return e.withColumn("norm", norm).select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") / F.col("norm") + 1e-9, 5) + F.lit(0.0)).alias("unit"))
 
 
 @query(O.upto("POST", "select chunk_id, term, round(weight, 6) as weight from vec"))
