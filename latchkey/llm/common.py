@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,8 +42,9 @@ def delete_folder(spark: SparkSession, at: str) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of jobs that have ended, which otherwise waits for
-    the driver's next full garbage collection."""
+    """Let Spark's cleaner drop the shuffle files of jobs whose DataFrames are gone, which otherwise
+    waits for the driver's next full garbage collection."""
+    gc.collect()
     spark._jvm.System.gc()
 
 

@@ -188,19 +188,29 @@ class SuffixArrays:
                 break
             merged.append(at)
             size += n
+        to = self._merged(batch, merged, keep)
+        free_shuffles(self.spark)
+        self.hits.append(to)
+        if keep:
+            for at in merged:
+                delete_folder(self.spark, f"{at}/kind={ENTRY}")
+            self.levels = [x for x in self.levels if x[0] not in merged] + [(to, size)]
+
+    def _merged(self, batch: DataFrame, merged: list[str], keep: bool) -> str:
         rows = batch.mapInArrow(_array_of(self.length, self.buckets), ARRAYS).withColumn("level", F.lit(False))
         for at, _ in self.levels:
-            level = self.spark.read.schema(ARRAYS).parquet(f"{at}/kind={ENTRY}")
+            level = self.spark.read.schema(ARRAYS).parquet(at).where(F.col("kind") == ENTRY)
             rows = rows.unionByName(level.select(F.lit(ENTRY).alias("kind"), F.lit(at in merged).alias("merge"), "bucket", "hashes", "docs", "told", F.lit(True).alias("level")))
         to = new_folder(self.spark, "suffixes")
         partitions = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(self.buckets, 20_000))
         rows.repartition(partitions, "bucket").groupBy("bucket").applyInArrow(_merge_scan(keep), ARRAYS).write.partitionBy("kind").parquet(to)
-        self.hits.append(to)
-        if keep:
-            for at in merged:
-                delete_folder(self.spark, f"{at}/kind={ENTRY}")
-            self.levels = [x for x in self.levels if x[0] not in merged] + [(to, size)]
-        free_shuffles(self.spark)
+        return to
+
+    def forget(self) -> None:
+        """Drops the arrays but not what they have found."""
+        for at, _ in self.levels:
+            delete_folder(self.spark, f"{at}/kind={ENTRY}")
+        self.levels = []
 
     def repeated(self) -> DataFrame:
         """(doc_id, hash): the document has an anchored suffix with that start, and so has another."""
@@ -220,6 +230,7 @@ class SuffixArrays:
             delete_folder(self.spark, at)
 
 
+SPANS = "doc_id long, key long, begin long, until long"
 STRINGS = "bucket int, doc_ids binary, keys binary, starts binary, sizes binary, strings binary, raw long"
 
 
@@ -374,16 +385,22 @@ def repeated_spans(docs: DataFrame, length: int = 50, batches: int = 4, id_col:
             part = part.where(F.col("doc_id") <= high)
         arrays.add(part, keep=i + 1 < len(edges))
         low = high
+    arrays.forget()
     keyed = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
-    wanted = arrays.repeated().groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
+    at = _write_spans(keyed, arrays.repeated(), length, buckets)
+    arrays.close()
+    free_shuffles(spark)
+    return keyed, spark.read.schema(SPANS).parquet(at)
+
+
+def _write_spans(keyed: DataFrame, repeated: DataFrame, length: int, buckets: int) -> str:
+    spark = keyed.sparkSession
+    wanted = repeated.groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets, 20_000))
     strings = keyed.join(wanted, "doc_id").select("doc_id", "key", "text", "hashes").mapInArrow(_strings_of(length, buckets), STRINGS)
     at = new_folder(spark, "spans")
-    schema = "doc_id long, key long, begin long, until long"
-    strings.repartition(partitions, "bucket").groupBy("bucket").applyInArrow(_covered(length), schema).write.parquet(at)
-    arrays.close()
-    free_shuffles(spark)
-    return keyed, spark.read.schema(schema).parquet(at)
+    strings.repartition(partitions, "bucket").groupBy("bucket").applyInArrow(_covered(length), SPANS).write.parquet(at)
+    return at
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, batches: int = 4) -> DataFrame:
