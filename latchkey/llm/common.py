@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,8 +45,10 @@ def delete_folder(spark: SparkSession, at: str) -> None:
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of jobs whose DataFrames are gone, which otherwise
     waits for the driver's next full garbage collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first call also lets go of what the driver's Python has dropped
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def small_batches(spark: SparkSession) -> None:

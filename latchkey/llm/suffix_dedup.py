@@ -230,7 +230,7 @@ class SuffixArrays:
             delete_folder(self.spark, at)
 
 
-SPANS = "doc_id long, key long, begin long, until long"
+SPANS = "doc_id long, key int, begin int, until int"
 STRINGS = "bucket int, doc_ids binary, keys binary, starts binary, sizes binary, strings binary, raw long"
 
 
@@ -242,7 +242,7 @@ def _strings_of(length: int, buckets: int):
         names = ["bucket", "doc_ids", "keys", "starts", "sizes", "strings", "raw"]
 
         def row(bucket, ids, keys, starts, sizes, strings):
-            values = [np.array(x, kind).tobytes() for x, kind in ((ids, "<i8"), (keys, "<i8"), (starts, "<i8"), (sizes, "<i4"))]
+            values = [np.array(x, kind).tobytes() for x, kind in ((ids, "<i8"), (keys, "<i4"), (starts, "<i4"), (sizes, "<i4"))]
             return dict(zip(names, [bucket, *values, pa.compress(strings, "zstd", asbytes=True) if strings else b"", len(strings)], strict=True))
 
         schema = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in names[1:6]), ("raw", pa.int64())])
@@ -297,11 +297,11 @@ def _covered(length: int):
 
     def run(table: pa.Table) -> pa.Table:
         columns = {c: table.column(c).to_pylist() for c in table.column_names}
-        done = {c: [] for c in ("doc_id", "key", "begin", "until")}
+        done = {"doc_id": [], "key": [], "begin": [], "until": []}
 
         def emit(ids, keys, begin, until):
             for c, v in zip(done, (ids, keys, begin, until), strict=True):
-                done[c].append(np.asarray(v, np.int64))
+                done[c].append(np.asarray(v, np.int64 if c == "doc_id" else np.int32))
 
         read = lambda name, kind, i: np.frombuffer(columns[name][i], kind)
         live = []
@@ -309,11 +309,11 @@ def _covered(length: int):
             if raw:
                 live.append(i)
             else:
-                starts = read("starts", "<i8", i)
-                emit(read("doc_ids", "<i8", i), read("keys", "<i8", i), starts, starts + read("sizes", "<i4", i))
+                starts = read("starts", "<i4", i)
+                emit(read("doc_ids", "<i8", i), read("keys", "<i4", i), starts, starts + read("sizes", "<i4", i))
         if live:
-            ids, keys, starts = (np.concatenate([read(c, "<i8", i) for i in live]) for c in ("doc_ids", "keys", "starts"))
-            sizes = np.concatenate([read("sizes", "<i4", i) for i in live]).astype(np.int64)
+            ids = np.concatenate([read("doc_ids", "<i8", i) for i in live])
+            keys, starts, sizes = (np.concatenate([read(c, "<i4", i) for i in live]).astype(np.int64) for c in ("keys", "starts", "sizes"))
             data = np.frombuffer(b"".join(pa.decompress(columns["strings"][i], columns["raw"][i], "zstd", asbytes=True) for i in live), np.uint8)
             windows = sizes - length + 1
             at = np.cumsum(sizes) - sizes
@@ -336,7 +336,7 @@ def _covered(length: int):
                 a, b = hit[apart], hit[np.r_[apart[1:], len(hit)] - 1]
                 w = whose[a]
                 emit(ids[w], keys[w], starts[w] + a - first[w], starts[w] + b - first[w] + length)
-        return pa.table({c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in done.items()})
+        return pa.table({c: np.concatenate(v) if v else np.zeros(0, np.int64 if c == "doc_id" else np.int32) for c, v in done.items()})
 
     return run
 
@@ -386,7 +386,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, batches: int = 4, id_col:
         arrays.add(part, keep=i + 1 < len(edges))
         low = high
     arrays.forget()
-    keyed = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+    # Rows that share a doc_id are told apart by 32 bits of their texts' hash.
+    keyed = rows.select("doc_id", F.hash("text").alias("key"), "text")
     at = _write_spans(keyed, arrays.repeated(), length, buckets)
     arrays.close()
     free_shuffles(spark)
