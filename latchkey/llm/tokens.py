@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +16,9 @@ from pyspark.sql import functions as F
 from latchkey.llm.common import delete_folder, free_shuffles, new_folder, small_batches, staged, text_column
 
 SPACE = re.compile(r"[\t\n\v\f\r ]+")
+CONTROLS = re.compile(r"[\x1c-\x1f]")
 #: Words that a worker remembers the ids of; beyond that it starts anew.
-REMEMBERED = 120_000
+REMEMBERED = 400_000
 #: Ids in a block of the file format.
 BLOCK = 1 << 20
 
@@ -34,7 +37,7 @@ class WordEncoder:
     """Encodes texts with a tokenizers file, each distinct word once.
 
     The tokenizer drops white space and never joins what white space parts, so the ids of a text are
-    those of its words in turn. Words are split at ASCII white space. A word of simple characters goes
+    those of its words in turn. A word of simple characters goes
     to the library's model piece by piece, the pieces cut as the file's pre-tokenizer says; any other
     word goes to the library whole. Tests compare both with the library on whole texts; a file with
     another normalizer or pre-tokenizer than these pieces fit has all words encoded whole.
@@ -44,7 +47,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.known, self.pieces = self.tokenizer.model, {}, {}
+        self.model, self.known = self.tokenizer.model, {"": b""}
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         with open(path) as f:
             head = json.load(f)
@@ -53,32 +56,41 @@ class WordEncoder:
         self.piecewise = split == [PATTERN, None] and steps == ["NFC", "Replace", "Lowercase"]
 
     def _packed(self, ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(int(self.width[2]), "little") for i in ids])
+        out = array("H" if self.width == "<u2" else "I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """A piece in lower case, which as a word of its own has the same ids."""
+        ids = self.known.get(piece)
+        if ids is None:
+            written = piece if piece.isascii() else "".join(map(WRITTEN.__getitem__, piece.encode()))
+            ids = self.known[piece] = self._packed([t.id for t in self.model.tokenize(written)])
+        return ids
 
     def _word(self, word: str) -> bytes:
-        if not self.piecewise or not SIMPLE.fullmatch(word) or "<|" in word:
+        if not self.piecewise or "<|" in word or not SIMPLE.fullmatch(word):
             return self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        out = []
-        for p in PIECE.findall(word.lower()):
-            ids = self.pieces.get(p)
-            if ids is None:
-                ids = self.pieces[p] = self._packed([t.id for t in self.model.tokenize(p if p.isascii() else "".join(map(WRITTEN.__getitem__, p.encode())))])
-            out.append(ids)
-        return out[0] if len(out) == 1 else b"".join(out)
+        low = word.lower()
+        pieces = PIECE.findall(low)
+        return self._piece(low) if len(pieces) == 1 else b"".join(map(self._piece, pieces))
 
     def __call__(self, text: str) -> bytes:
         """Little-endian ids, of two bytes each if the vocabulary allows it, else of four."""
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        if len(self.pieces) > REMEMBERED:
-            self.pieces = {}
-        known, out = self.known, []
-        for w in SPACE.split(text):
-            ids = known.get(w)
-            if ids is None:
-                ids = known[w] = self._word(w) if w else b""
-            out.append(ids)
-        return b"".join(out)
+            self.known = {"": b""}
+        # str.split knows all white space of the tokenizer, but four controls are not white space there.
+        words = SPACE.split(text) if CONTROLS.search(text) else text.split()
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            known = self.known
+            for i, w in enumerate(words):
+                if ids[i] is None:
+                    if w not in known:
+                        known[w] = self._word(w)
+                    ids[i] = known[w]
+        return b"".join(ids)
 
 
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2) -> DataFrame:
@@ -242,7 +254,7 @@ def token_digest(spark, at: str) -> DataFrame:
     )
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int | None = 2, to: str | None = None, shard_mb: int = 64) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, end_id: int | None = 2, to: str | None = None, shard_mb: int = 16) -> DataFrame:
     """Encodes ``docs`` (doc_id, text), writes the binary format to ``to`` (a new folder by default),
     reads it back and returns doc_id, start, n_tokens, ids_crc32 of each document.
 
