@@ -77,14 +77,15 @@ def walk(buffer: np.ndarray, starts: np.ndarray, coins: np.ndarray, sampled: np.
     return key
 
 
-def build_index(items: list[tuple[int, str]], similarity: float = 0.8, window: int = 32, repeats: int = 4, samples: int = 14, least: int = 24, seed: int = 42) -> Index:
+def build_index(items: list[tuple[int, str]], similarity: float = 0.8, window: int = 20, repeats: int = 3, samples: int = 18, least: int = 24, seed: int = 42) -> Index:
     """An index of every window of every item. Items under ``least`` normalised bytes are left out:
-    any text would hold something like them. ``stride`` is how far apart windows of documents may start
-    so that the shortest item still holds two of them."""
+    any text would hold something like them. ``stride`` is how far apart windows of documents start: a
+    third of a window, so that what is left unchanged between edits holds one, and less if the shortest
+    item would not hold two."""
     kept = [(i, b) for i, t in items if len(b := normalise(t)) >= least]
     shortest = min((len(b) for _, b in kept), default=least)
     window = min(window, shortest * 2 // 3)
-    stride = max(1, (shortest - window) // 2)
+    stride = max(1, min(window // 3, (shortest - window) // 2))
     random = np.random.RandomState(seed)
     coins = random.randint(0, 2, (repeats, 2 * window, 256)).astype(np.int64)
     sampled = np.zeros((repeats, 2 * window), bool)
