@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,13 +15,15 @@ from latchkey.llm.common import small_batches, staged, text_column
 WORDS = re.compile(r"[^\W\d_]+")
 #: A seed lexicon of insults, for corpora with few labels.
 SEED_WORDS = ("idiot", "moron", "stupid", "loser", "pathetic", "worthless", "scum", "trash", "clown", "dumb", "disgusting", "imbecile")
+#: How far a row's own label is believed.
+LABEL_ACCURACY = 0.98
 PATTERNS = ("lexicon hits", "lexicon share", "several hits", "shouting", "exclamation", "addressed")
 SHOUTED = re.compile(r"\b[A-Z]{3,}\b")
 SAYS_YOU = re.compile(r"\b(?:you|your|you're|u r)\b", re.IGNORECASE)
 
 
 #: Letters of a stem: words of languages with endings meet in their first letters.
-STEMS = (4, 5, 6)
+STEMS = range(3, 9)
 
 
 def terms_of(word: str) -> list[str]:
@@ -39,14 +40,35 @@ def counts_of(text: str, place: dict[str, int], width: int) -> tuple[np.ndarray,
     """How often each term of the lexicon occurs in a text, and the text's number of words."""
     words = WORDS.findall(text.lower())
     found = np.zeros(width, np.float32)
-    for w, n in Counter(words).items():
-        for t in terms_of(w):
-            k = place.get(t)
-            if k is not None:
-                found[k] += n
+    for hits in map(_hits_of(place).__getitem__, words):
+        for k in hits:
+            found[k] += 1
     return found, len(words)
 
 
+class _Hits(dict):
+    """The places of a word's terms in a lexicon, remembered for up to 200,000 words."""
+
+    def __init__(self, place: dict[str, int]) -> None:
+        super().__init__()
+        self.place = place
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > 200_000:
+            self.clear()
+        hits = self[word] = tuple(self.place[t] for t in terms_of(word) if t in self.place)
+        return hits
+
+
+_KNOWN: list[_Hits] = []
+
+
+def _hits_of(place: dict[str, int]) -> _Hits:
+    if not _KNOWN or _KNOWN[0].place is not place:
+        _KNOWN[:] = [_Hits(place)]
+    return _KNOWN[0]
+
+
 def features_of(text: str, place: dict[str, int], width: int) -> np.ndarray:
     """Logarithms of lexicon counts, then the pattern features."""
     found, n = counts_of(text, place, width)
@@ -76,29 +98,34 @@ def votes_of(x: np.ndarray, width: int) -> np.ndarray:
     return np.concatenate([lexicon, patterns.astype(np.int8)], axis=1)
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, own: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of the toxic class for each row of votes, and each voter's weight.
 
     A generative model: a class, then each voter's vote given the class, with rates that expectation
-    maximisation estimates from ``start`` (a first guess of the posterior). Voters that agree more than
+    maximisation estimates. ``own`` holds log odds from the row's own label, one more voter whose
+    accuracy is given, from which the first guess comes. Voters that agree more than
     the class explains are correlated; each one's evidence is divided by one plus the sum of its
     residual correlations with the others, so that copies of a voter count about once.
     """
-    q, kinds = start.astype(np.float64), [(votes == v).astype(np.float64) for v in (-1, 0, 1)]
-    weight = np.ones(votes.shape[1])
+    q, weight = 1 / (1 + np.exp(-own)), np.ones(votes.shape[1])
+    kinds = [(votes == v).astype(np.float32) for v in (-1, 0, 1)]
     for i in range(rounds):
         prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
-        toxic = np.stack([k.T @ q + 0.5 for k in kinds]) / (q.sum() + 1.5)
-        clean = np.stack([k.T @ (1 - q) + 0.5 for k in kinds]) / ((1 - q).sum() + 1.5)
+        soft = q.astype(np.float32)
+        toxic = np.stack([k.T @ soft + 0.5 for k in kinds]) / (q.sum() + 1.5)
+        clean = np.stack([k.T @ (1 - soft) + 0.5 for k in kinds]) / ((1 - q).sum() + 1.5)
         if i % 5 == 0:
-            v = votes.astype(np.float64)
-            expected = q[:, None] * (toxic[2] - toxic[0]) + (1 - q)[:, None] * (clean[2] - clean[0])
-            rest = v - expected
-            scale = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-            rho = np.abs((rest.T @ rest) / len(rest) / scale[:, None] / scale[None, :])
+            both, square = np.zeros((votes.shape[1],) * 2), np.zeros(votes.shape[1])
+            for k in range(0, len(votes), 2000):
+                c = soft[k : k + 2000, None]
+                rest = votes[k : k + 2000] - c * (toxic[2] - toxic[0]) - (1 - c) * (clean[2] - clean[0])
+                both += rest.T @ rest
+                square += (rest**2).sum(axis=0)
+            scale = np.sqrt(square / len(votes)) + 1e-9
+            rho = np.abs(both / len(votes) / scale[:, None] / scale[None, :])
             np.fill_diagonal(rho, 0)
             weight = 1 / (1 + np.where(rho > 0.1, rho, 0).sum(axis=1))
-        odds = np.log(prior / (1 - prior)) + sum(k @ (weight * (np.log(toxic[j]) - np.log(clean[j]))) for j, k in enumerate(kinds))
+        odds = own + np.log(prior / (1 - prior)) + sum(k @ (weight * (np.log(toxic[j]) - np.log(clean[j]))) for j, k in enumerate(kinds))
         q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return q, weight
 
@@ -112,26 +139,44 @@ class Model:
     intercept: float
 
     def score(self, texts: list[str]) -> np.ndarray:
-        place, width = {w: i for i, w in enumerate(self.lexicon)}, len(self.lexicon)
-        x = np.array([features_of(t, place, width) for t in texts], np.float64).reshape(len(texts), -1)
+        if not hasattr(self, "place"):
+            self.place = {w: i for i, w in enumerate(self.lexicon)}
+        place, width = self.place, len(self.lexicon)
+        x = np.array([features_of(t, place, width) for t in texts], np.float32).reshape(len(texts), -1)
         return 1 / (1 + np.exp(-np.clip(x @ self.coefficients + self.intercept, -30, 30))) if len(texts) else np.zeros(0)
 
 
 def linear(x: np.ndarray, q: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by Newton's method."""
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1).astype(np.float64)
-    w, r = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    n = x.shape[1] + 1
+    w, r = np.zeros(n), np.full(n, ridge)
     r[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(r), x.T @ (q - p) - r * w)
+        curve, slope = np.diag(r), -r * w
+        for k in range(0, len(x), 2000):
+            part = np.concatenate([x[k : k + 2000], np.ones((len(x[k : k + 2000]), 1))], axis=1).astype(np.float64)
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            curve += (part * (p * (1 - p) + 1e-6)[:, None]).T @ part
+            slope += part.T @ (q[k : k + 2000] - p)
+        step = np.linalg.solve(curve, slope)
         w += step
         if np.abs(step).max() < 1e-6:
             break
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = 20_000, lexicon: int = 300) -> Model:
+def _apart(ranked: list[tuple[str, int, int]]) -> list[str]:
+    """Terms in order, without those that a chosen stem already says: that begin with it and have no
+    better rate."""
+    chosen: dict[str, float] = {}
+    for word, toxic, n in ranked:
+        rate, bare = toxic / n, word.rstrip("*")
+        if not any(chosen.get(bare[:k] + "*", -1.0) >= rate - 1e-9 for k in STEMS if k <= len(bare)):
+            chosen[word] = rate
+    return list(chosen)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = 12_000, lexicon: int = 300) -> Model:
     """Fits the model on at most ``rows`` labelled rows, chosen by a hash of their id, never held-out ones.
 
     Lexicon voters come from the seed words and from words and stems that occur in toxic training rows
@@ -161,26 +206,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         found = sample.mapInArrow(spell, "word string, label long").groupBy("word").agg(F.sum("label").alias("t"), F.count(F.lit(1)).alias("n"))
         rate = ((F.col("t") + 0.1) / toxic) / ((F.col("n") - F.col("t") + 0.1 * (n - toxic) / toxic) / (n - toxic))
         strong = found.where(F.col("t") >= max(3, 0.005 * toxic)).withColumn("ratio", rate).where("ratio >= 3")
-        chosen = [r.word for r in strong.orderBy((F.log("ratio") * F.sqrt("t")).desc(), "word").limit(lexicon).collect()]
+        ranked = strong.orderBy((F.log("ratio") * F.sqrt("t")).desc(), F.length("word"), "word").limit(10 * lexicon).collect()
+        chosen = _apart([(r.word, r.t, r.n) for r in ranked])
     words = list(dict.fromkeys([*chosen, *SEED_WORDS]))[:lexicon]
     place, width = {w: i for i, w in enumerate(words)}, len(words)
 
     def describe(batches):
         for batch in batches:
-            x = [features_of(t, place, width).tolist() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float32()))], ["label", "x"])
+            x = [features_of(t, place, width).astype("<f4").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["label", "x"])
 
-    got = sample.mapInArrow(describe, "label int, x array<float>").toPandas() if n else None
-    if got is None or not 0 < toxic < n:
+    if not 0 < toxic < n:
         c = np.zeros(width + len(PATTERNS))
         c[width] = 4.0
         return Model(words, c, -2.0)
-    x, y = np.array(got["x"].tolist(), np.float64), got["label"].to_numpy(np.float64)
-    q, _ = label_model(votes_of(x, width), np.where(y > 0, 0.9, 0.1))
-    # A row's own label is one more, fallible voter on it.
-    sure = np.clip(np.mean((q > 0.5) == (y > 0)), 0.55, 0.99)
-    lift = np.log(sure / (1 - sure)) * np.where(y > 0, 1, -1)
-    q = 1 / (1 + np.exp(-(np.log(np.clip(q, 1e-6, 1 - 1e-6) / np.clip(1 - q, 1e-6, 1)) + lift)))
+    got = sample.mapInArrow(describe, "label int, x binary").collect()
+    y = np.array([g.label for g in got], np.float64)
+    x = np.frombuffer(b"".join(g.x for g in got), "<f4").reshape(len(got), -1)
+    del got
+    sure = np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
+    q, _ = label_model(votes_of(x, width), np.where(y > 0, sure, -sure))
     return Model(words, *linear(x, q))
 
 
