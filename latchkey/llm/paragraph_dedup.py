@@ -69,37 +69,116 @@ def _verified(words: int, similarity: float):
     return run
 
 
-def _spanning(words: int, similarity: float, block: int = 512):
-    """Links that tie together what is similar enough among the paragraphs of a full bucket, as many
-    as there are paragraphs at most. A paragraph is compared with one member of each part first and
-    with the others only if that fails."""
+def _to_head(words: int, similarity: float):
+    """Members of one part of a bucket with their similarity to the bucket's head."""
+
+    def run(members: pa.Table, head: pa.Table) -> pa.Table:
+        name, own = head.column("id")[0].as_py(), shingles(head.column("text")[0].as_py(), words)
+        near = [1.0 if i == name else jaccard(own, shingles(t, words)) for i, t in zip(members.column("id").to_pylist(), members.column("text").to_pylist(), strict=True)]
+        out = members.select(["key", "id", "text"])
+        return out.append_column("head", pa.array([name] * len(near), pa.string())).append_column("near", pa.array(near, pa.float64()))
+
+    return run
+
+
+def _across(words: int, similarity: float):
+    """Links that tie together what is similar enough in two blocks of a bucket, or in one. Pairs that
+    the head ties already, or whose similarities to it are too far apart, are passed over."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, texts = table.column("id").to_pylist(), table.column("text").to_pylist()
-        order = sorted(range(len(ids)), key=ids.__getitem__)
-        parts: list[list[int]] = []
-        sets: dict[int, np.ndarray] = {}
-        a, b = [], []
-        for i in order:
-            own = sets[i] = shingles(texts[i], words)
-            linked = []
-            for p in parts:
-                for j in p:
-                    if jaccard(own, sets[j]) >= similarity - 1e-12:
-                        a.append(ids[j])
-                        b.append(ids[i])
-                        linked.append(p)
-                        break
-            joined = [i]
-            for p in linked:
-                joined = p + joined
-                parts.remove(p)
-            parts.append(joined)
+        table = table.sort_by("id")
+        ids, texts, near, salt = (table.column(c).to_pylist() for c in ("id", "text", "near", "salt"))
+        two = table.column("low")[0].as_py() != table.column("high")[0].as_py()
+        sets = [shingles(t, words) for t in texts]
+        size, near, salt = np.array([len(x) for x in sets]), np.array(near), np.array(salt)
+        tied = near >= similarity - 1e-12
+        label, a, b = np.where(tied, -1, np.arange(len(ids))), [], []
+        for i in range(1, len(ids)):
+            may = (label[:i] != label[i]) & (np.abs(near[:i] - near[i]) <= 1 - similarity + 1e-9)
+            may &= np.minimum(size[:i], size[i]) >= (similarity - 1e-9) * np.maximum(size[:i], size[i])
+            if two:
+                may &= salt[:i] != salt[i]
+            for j in np.flatnonzero(may):
+                if label[j] != label[i] and jaccard(sets[i], sets[j]) >= similarity - 1e-12:
+                    a.append(ids[j])
+                    b.append(ids[i])
+                    label[label == label[j]] = label[i]
         return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
 
     return run
 
 
+def block_pairs(left: DataFrame, block: int) -> DataFrame:
+    """Rows of (key, id, ...) once for each pair of blocks (low, high) of their key that they belong to,
+    with the block (salt) they are in; a block has about ``block`` rows, so no pair of blocks has more than
+    about twice as many, however many rows a key has, and each two rows of a key meet."""
+    many = left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    salted = left.join(many, "key").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return other.withColumns({"low": F.least("salt", "other"), "high": F.greatest("salt", "other")}).drop("other", "blocks")
+
+
+def crowded_links(full: DataFrame, words: int, similarity: float, block: int) -> DataFrame:
+    """Links (a, b) that tie together what is similar enough in each bucket of ``full`` (key, n, id, text);
+    n is how many members a bucket has.
+
+    First all members are compared with the bucket's head (its smallest id), in parts of about ``block``
+    rows. What is similar to the head is one component. As Jaccard distance is a metric, the others can be
+    similar to one of these only if they are within twice the distance of the head. What the head does not
+    settle is compared in pairs of blocks; no task holds more than two blocks and no pair is left out."""
+    parts = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    salted = full.withColumn("salt", F.pmod(F.xxhash64("id"), parts).cast("int")).select("key", "salt", "id", "text")
+    heads = full.groupBy("key").agg(F.max("n").alias("n"), F.min(F.struct("id", "text")).alias("head"))
+    heads = heads.select(F.col("key").alias("bucket"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "head.id", "head.text")
+    measured = salted.groupBy("key", "salt").cogroup(heads.groupBy("bucket", "part")).applyInArrow(_guarded(_to_head(words, similarity)), "key long, id string, text string, head string, near double")
+    measured = staged(measured, "measured")
+    tied = F.col("near") >= similarity - 1e-12
+    fringe = measured.where(~tied & (F.col("near") >= 2 * similarity - 1 - 1e-9)).select("key").distinct()
+    left = measured.where(~tied).unionByName(measured.where(tied).join(fringe, "key", "left_semi")).drop("head")
+    rest = block_pairs(left, block).groupBy("key", "low", "high").applyInArrow(_across(words, similarity), "a string, b string")
+    return measured.where(tied & (F.col("id") != F.col("head"))).select(F.col("head").alias("a"), F.col("id").alias("b")).unionByName(rest)
+
+
+def _guarded(f):
+    """``f`` for groups that have rows on both sides; parts without members give none."""
+
+    def run(members: pa.Table, head: pa.Table) -> pa.Table:
+        if members.num_rows and head.num_rows:
+            return f(members, head)
+        return pa.table({"key": pa.array([], pa.int64()), "id": pa.array([], pa.string()), "text": pa.array([], pa.string()), "head": pa.array([], pa.string()), "near": pa.array([], pa.float64())})
+
+    return run
+
+
+def similar_links(texts: DataFrame, words: int, similarity: float, recall: float, rows: int, short: int, block: int = 512, repeated: bool = False) -> DataFrame:
+    """Links (a, b) between ids of ``texts`` (id in hex, text) that tie together all that is similar
+    enough; a pair at ``similarity`` meets with probability ``recall``. ``repeated`` if ids aren't distinct."""
+    bands = bands_for(similarity, recall, rows)
+
+    def signed(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                keys = band_keys(part.column(1).to_pylist(), words, bands, rows).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([x for x in part.column(0).to_pylist() for _ in range(bands)], pa.string()), pa.array(keys.ravel())], ["id", "key"])
+
+    index = texts.select("id", "text").mapInArrow(signed, "id string, key long")
+    # A key's members are counted, then only keys with several go on.
+    small = index.select("key", F.unhex("id").alias("id"))
+    small = small.distinct() if repeated else small
+    listed = staged(small.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"), "buckets")
+    free_shuffles(texts.sparkSession)
+    one = listed.where(F.col("n") <= short)
+    pairs = one.select("key", F.col("id").alias("a")).join(one.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b").distinct()
+    text = texts.select(F.unhex("id").alias("id"), "text")
+    used = text.join(listed.select("id").distinct(), "id", "left_semi")
+    used = staged(used.groupBy("id").agg(F.min("text").alias("text")) if repeated else used, "candidates")
+    sides = pairs.join(used.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(used.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    links = sides.select(F.lower(F.hex("a")).alias("a"), F.lower(F.hex("b")).alias("b"), "x", "y").mapInArrow(_verified(words, similarity), "a string, b string")
+    full = listed.where(F.col("n") > short).join(used, "id").select("key", "n", F.lower(F.hex("id")).alias("id"), "text")
+    return links.unionByName(crowded_links(full, words, similarity, block))
+
+
 def repeated_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, least_words: int = 20, recall: float = 0.999, rows: int = 4, short: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, paragraph, cluster_id, cluster_size, removed): a row for each paragraph that repeats.
 
@@ -111,12 +190,11 @@ def repeated_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8
     that a pair at the threshold meets with probability ``recall``.
 
     Equal paragraphs are collapsed first, so copies make no pairs. Buckets of up to ``short`` distinct
-    paragraphs give pairs that are verified with exact shingle sets; fuller buckets give the links of a
-    spanning forest, verified the same way. Null texts are empty; rows with a null doc_id count last;
+    paragraphs give pairs that are verified with exact shingle sets; fuller buckets give links that tie
+    the same together, verified the same way, in blocks (see crowded_links). Null texts are empty; rows with a null doc_id count last;
     repeated rows repeat their paragraphs; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    bands = bands_for(similarity, recall, rows)
     lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text_column(text_col), "\n")).alias("paragraph", "text"))
     lines = lines.where(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) >= least_words)
     keyed = lines.select("doc_id", "paragraph", F.substring(F.sha2("text", 256), 1, 32).alias("id"), "text")
@@ -124,28 +202,7 @@ def repeated_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8
     distinct = staged(keyed.groupBy("id").agg(F.min("text").alias("text")), "paragraphs")
     free_shuffles(docs.sparkSession)
 
-    def signed(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                keys = band_keys(part.column(1).to_pylist(), words, bands, rows).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([x for x in part.column(0).to_pylist() for _ in range(bands)], pa.string()), pa.array(keys.ravel())], ["id", "key"])
-
-    index = distinct.select("id", "text").mapInArrow(signed, "id string, key long")
-    # A key's members are counted, then only keys with several go on.
-    small = index.select("key", F.unhex("id").alias("id"))
-    listed = staged(small.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"), "buckets")
-    free_shuffles(docs.sparkSession)
-    one = listed.where(F.col("n") <= short)
-    pairs = one.select("key", F.col("id").alias("a")).join(one.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b").distinct()
-    text = distinct.select(F.unhex("id").alias("id"), "text")
-    used = text.join(listed.select("id").distinct(), "id", "left_semi")
-    used = staged(used, "candidates")
-    sides = pairs.join(used.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(used.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-    links = sides.select(F.lower(F.hex("a")).alias("a"), F.lower(F.hex("b")).alias("b"), "x", "y").mapInArrow(_verified(words, similarity), "a string, b string")
-    full = listed.where(F.col("n") > short).join(used, "id").select("key", F.lower(F.hex("id")).alias("id"), "text")
-    forest = full.groupBy("key").applyInArrow(_spanning(words, similarity), "a string, b string")
-    parts = connected_components(links.unionByName(forest))
+    parts = connected_components(similar_links(distinct, words, similarity, recall, rows, short))
     cluster = places.join(parts, places["id"] == parts["node"], "left").select("doc_id", "paragraph", F.coalesce("component", "id").alias("cluster_id"))
     first = cluster.groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("cluster_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "paragraph")).alias("first")

@@ -277,3 +277,26 @@ def test_url_ranks(spark):
                     new[b] = new.get(b, 0) + 0.85 * rank[a] / sum(x == a for x, _ in links)
             rank = new
         assert all(abs(got[h][k] - v) < 1e-9 for h, v in rank.items())
+
+
+def test_crowded_buckets_in_blocks(spark):
+    """Template lines with changing words, all in one bucket: no pair of blocks holds it whole, no link is lost."""
+    random = np.random.RandomState(9)
+    stem = [f"stem{i}" for i in range(24)]
+    texts = []
+    for i in range(240):
+        w = list(stem)
+        for p in random.choice(24, i % 4, replace=False) if i % 5 else (0, 23):
+            w[p] = f"n{random.randint(40 if i % 2 else 4000)}"
+        texts.append(" ".join(w))
+    texts = sorted(set(texts))
+    ids = [hashlib.sha256(t.encode()).hexdigest()[:32] for t in texts]
+    full = spark.createDataFrame([(7, len(texts), i, t) for i, t in zip(ids, texts, strict=True)], "key long, n long, id string, text string")
+    links = [(r.a, r.b) for r in paragraph_dedup.crowded_links(full, 5, 0.8, 16).collect()]
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for i, t in zip(ids, texts, strict=True)}
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert all(near(a, b) for a, b in links)
+    want = brute.components(ids, [(a, b) for n, a in enumerate(ids) for b in ids[:n] if near(a, b)])
+    assert brute.components(ids, links) == want and 1 < len(set(want.values())) < len(ids)
+    sizes = paragraph_dedup.block_pairs(full, 16).groupBy("key", "low", "high").count()
+    assert sizes.agg(F.max("count")).head()[0] < 4 * 16 < len(texts)
