@@ -179,6 +179,21 @@ def similar_links(texts: DataFrame, words: int, similarity: float, recall: float
     return links.unionByName(crowded_links(full, words, similarity, block))
 
 
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.99, rows: int = 4, short: int = 8, block: int = 128) -> DataFrame:
+    """(doc_id, component_id) of each row: whole texts whose sets of ``words``-word shingles have a Jaccard
+    similarity of ``similarity`` or more are linked; component_id is the smallest doc_id that links reach,
+    null if there is none. A pair at the threshold meets with probability ``recall``, and each candidate is
+    checked exactly. Texts without words (null and empty ones too) are equal."""
+    small_batches(docs.sparkSession)
+    has_words = text_column().rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(has_words, F.substring(F.sha2(text_column(), 256), 1, 32)).otherwise("").alias("id"), text_column().alias("text"))
+    places = staged(keyed.select("doc_id", "id"), "places")
+    parts = connected_components(similar_links(keyed.where("id <> ''").select("id", "text"), words, similarity, recall, rows, short, block, repeated=True))
+    known = places.join(parts, places["id"] == parts["node"], "left").select("doc_id", F.coalesce("component", "id").alias("part"))
+    first = known.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    return known.join(first, "part").select("doc_id", "component_id")
+
+
 def repeated_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, least_words: int = 20, recall: float = 0.999, rows: int = 4, short: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, paragraph, cluster_id, cluster_size, removed): a row for each paragraph that repeats.
 

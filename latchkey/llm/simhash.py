@@ -104,6 +104,8 @@ def near_links(prints: DataFrame, distance: int = 3, short: int = 256, long: int
     ``short`` members give a spanning forest instead of pairs, in blocks inside one task; lists of over
     ``long`` members are linked by shared masked values, with rows in proportion to their length.
     """
+    if not 0 <= distance <= 3:
+        raise ValueError("the position sets hold links of three bits at most")
     fp = F.col("fp")
     keys = [F.lit(n << 32).bitwiseOR(sum((F.shiftleft(_byte(fp, i), 8 * k) for k, i in enumerate(b)), F.lit(0).cast("long"))) for n, b in enumerate(BLOCKS)]
     index = prints.select("fp", F.explode(F.array(*keys)).alias("key"))

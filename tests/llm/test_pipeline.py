@@ -1,6 +1,7 @@
 """The pipeline's stages, each against a plain version on its own input."""
 
 import brute
+import numpy as np
 
 import corpus_pipeline as C
 from latchkey.llm import toxicity
@@ -52,3 +53,25 @@ def test_odd_columns(spark):
         docs = stage(spark, docs, SF)
         assert docs.columns == [c.split(" ")[0] for c in extra.split(", ")]
         docs.collect()
+
+
+def test_near_copies_of_jaccard(spark):
+    """Copies of five-word Jaccard 0.8 or more go, whatever their fingerprints; less similar ones stay."""
+    random = np.random.RandomState(7)
+    word = lambda: "".join(random.choice(list("abcdefghij"), 6))
+    texts = []
+    for _ in range(40):
+        w = [word() for _ in range(200)]
+        texts.append(" ".join(w))
+        for changed in (1, 3, 12):
+            v = list(w)
+            for p in random.choice(200, changed, replace=False):
+                v[p] = word()
+            texts.append(" ".join(v))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    part = brute.components(range(len(sets)), links)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate([*texts, "", None, " "])], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in dict(C.STAGES)["near duplicates"](spark, docs, SF).collect()}
+    want = {d for d, c in part.items() if d == c} | {160}
+    assert want <= kept and len(kept - want) <= 0.01 * len(texts)
