@@ -300,3 +300,27 @@ def test_crowded_buckets_in_blocks(spark):
     assert brute.components(ids, links) == want and 1 < len(set(want.values())) < len(ids)
     sizes = paragraph_dedup.block_pairs(full, 16).groupBy("key", "low", "high").count()
     assert sizes.agg(F.max("count")).head()[0] < 4 * 16 < len(texts)
+
+
+@pytest.mark.parametrize("length", [24, 40, 60, 76, 120, 200])
+def test_decontaminate_random_edits(length):
+    """Recall of 0.9 with letters replaced, left out or put in at random places, up to the threshold."""
+    random = np.random.RandomState(length)
+    letter = lambda: int(random.randint(97, 123))
+    some = lambda n: bytes(letter() for _ in range(n))
+    items = [(i, some(length).decode()) for i in range(80)]
+    texts = []
+    for _, t in items:
+        v = list(t.encode())
+        for _ in range(int(0.2 * length + 1e-9)):
+            kind, at = random.choice(3, p=(0.8, 0.1, 0.1)), random.randint(len(v))
+            v[at : at + (kind < 2)] = [letter()] if kind != 1 else []
+        texts.append(some(150) + bytes(v) + some(150))
+    hits = {(t, i) for t, i, _ in decontaminate.find(decontaminate.build_index(items), texts)}
+    assert sum((i, i) in hits for i in range(80)) >= 0.9 * 80
+
+
+def test_decontaminate_short_items(spark):
+    bench = spark.createDataFrame([(1, "Too short"), (2, "?!"), (3, None)], "item_id long, text string")
+    docs = spark.createDataFrame(rows("it is TOO, short.", "tattoo shorts", "too long", None), SCHEMA)
+    assert [tuple(r) for r in decontaminate.find_items(docs, bench).collect()] == [(0, 1, 0, 1.0)]
