@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -194,8 +196,53 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     return known.join(first, "part").select("doc_id", "component_id")
 
 
-def repeated_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, least_words: int = 20, recall: float = 0.999, rows: int = 4, short: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, paragraph, cluster_id, cluster_size, removed): a row for each paragraph that repeats.
+def passage_units(line: str, unit: int, run: int) -> list[tuple[int, int]]:
+    """(first word, 64-bit hash) of stretches of ``unit`` lower-cased words, chosen by winnowing: of any
+    ``run - unit + 1`` next to each other the one with the least hash (the last of equals). So each run
+    of ``run`` words holds a chosen stretch, the same wherever the run occurs."""
+    import xxhash
+
+    w = line.encode("utf-8", "surrogatepass").lower().split()
+    if len(w) < run:
+        return []
+    h = np.array([xxhash.xxh64_intdigest(x, SEED) for x in w], np.uint64)
+    n = len(h) - unit + 1
+    grams = np.zeros(n, np.uint64)
+    for k in range(unit):
+        grams = grams * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+    grams ^= grams >> np.uint64(29)
+    width = run - unit + 1
+    back = np.lib.stride_tricks.sliding_window_view(grams, width)[:, ::-1]
+    chosen = np.unique(np.arange(n - width + 1) + width - 1 - back.argmin(axis=1))
+    return [(int(i), xxhash.xxh64_intdigest(b" ".join(w[i : i + unit]), SEED) - (1 << 63)) for i in chosen]
+
+
+def repeated_passages(lines: DataFrame, gone: DataFrame, unit: int, run: int, long: int) -> DataFrame:
+    """(doc_id, paragraph, first_word, n_words, unit, cluster_size, removed): stretches of lines (doc_id,
+    paragraph, text) that repeat, in lines that aren't in ``gone`` (doc_id, paragraph) and where one of the
+    lines at least has over ``long`` words. The first occurrence stays; one that overlaps it is left alone."""
+
+    def cut(batches):
+        for batch in batches:
+            doc, paragraph, text = (c.to_pylist() for c in batch.columns)
+            rows = [(d, p, i, h, len(t.split()) > long) for d, p, t in zip(doc, paragraph, text, strict=True) for i, h in passage_units(t, unit, run)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()))], ["doc_id", "paragraph", "first_word", "unit", "long"])
+
+    units = lines.select("doc_id", F.col("paragraph").cast("int"), "text").mapInArrow(cut, "doc_id long, paragraph int, first_word int, unit long, long boolean")
+    units = staged(units, "units")
+    out = gone.select(F.col("doc_id").alias("gone_id"), F.col("paragraph").alias("gone")).distinct()
+    units = units.join(out, units["doc_id"].eqNullSafe(out["gone_id"]) & (units["paragraph"] == out["gone"]), "left_anti")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "paragraph", "first_word")
+    first = units.groupBy("unit").agg(F.count(F.lit(1)).alias("cluster_size"), F.min(place).alias("first"), F.max("long").alias("some")).where("cluster_size > 1 and some").drop("some")
+    same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.paragraph") == F.col("paragraph"))
+    found = units.join(first, "unit").withColumn("removed", ~(same & (F.abs(F.col("first.first_word") - F.col("first_word")) < unit)))
+    found = found.where(F.col("removed") | (F.col("first.first_word") == F.col("first_word")))
+    return found.select("doc_id", "paragraph", "first_word", F.lit(unit).alias("n_words"), "unit", "cluster_size", "removed")
+
+
+def repeated_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, least_words: int = 20, recall: float = 0.999, rows: int = 4, short: int = 64, unit: int = 25, run: int = 50, long: int = 60, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, paragraph, cluster_id, cluster_size, removed, first_word, n_words): a row for each paragraph
+    that repeats, and for each stretch of a line that stays.
 
     A paragraph is a line of the text, numbered from 0; those of under ``least_words`` words are too
     short to be passages and are left alone. Paragraphs that are equal, or whose sets of ``words``-word
@@ -204,6 +251,10 @@ def repeated_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8
     (smallest doc_id, then paragraph) stays, all others are removed. The number of bands is tuned so
     that a pair at the threshold meets with probability ``recall``.
 
+    Lines that stay are also compared by stretches of ``unit`` words, so that each run of ``run`` words that
+    a line of over ``long`` words shares with another line, or repeats, holds a stretch that is found (see
+    passage_units); these rows have first_word (from 0) and n_words, whole lines have null there.
+
     Equal paragraphs are collapsed first, so copies make no pairs. Buckets of up to ``short`` distinct
     paragraphs give pairs that are verified with exact shingle sets; fuller buckets give links that tie
     the same together, verified the same way, in blocks (see crowded_links). Null texts are empty; rows with a null doc_id count last;
@@ -223,15 +274,43 @@ def repeated_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8
         F.count(F.lit(1)).alias("cluster_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "paragraph")).alias("first")
     )
     stays = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.paragraph") == F.col("paragraph"))
-    return (
+    whole = staged(
         cluster.join(first.where("cluster_size > 1"), "cluster_id")
-        .select("doc_id", F.col("paragraph").cast("int").alias("paragraph"), "cluster_id", "cluster_size", (~stays).alias("removed"))
-    )
+        .select("doc_id", F.col("paragraph").cast("int").alias("paragraph"), "cluster_id", "cluster_size", (~stays).alias("removed")), "whole"
+    )
+    part = repeated_passages(lines, whole.where("removed"), unit, run, long).withColumn("cluster_id", F.lower(F.hex("unit")))
+    whole = whole.withColumns({"first_word": F.lit(None).cast("int"), "n_words": F.lit(None).cast("int")})
+    return whole.unionByName(part.drop("unit"))
+
+
+def _without_words(line: str, starts: list[int], unit: int) -> str:
+    """``line`` without the stretches of ``unit`` words from the given words on, and the blanks after them."""
+    spans, gone = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", line)], set()
+    for i in starts:
+        gone.update(range(i, i + unit))
+    ends = [s for s, _ in spans[1:]] + [len(line)]
+    return line[: spans[0][0]] + "".join(line[s:e] for k, ((s, _), e) in enumerate(zip(spans, ends, strict=True)) if k not in gone)
+
+
+def _without_passages(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """(doc_id, text) with the stretches of ``parts`` cut out of their lines."""
+    cuts = parts.groupBy(F.col("doc_id").alias("cut_id")).agg(F.collect_set(F.struct("paragraph", "first_word", "n_words")).alias("cuts"))
+
+    @F.udf("string")
+    def cut(text, cuts):
+        lines, of = text.split("\n"), {}
+        for p, i, n in cuts:
+            of.setdefault(p, (n, []))[1].append(i)
+        return "\n".join(_without_words(t, of[p][1], of[p][0]) if p in of else t for p, t in enumerate(lines))
+
+    whole = texts.join(cuts, F.col("doc_id").eqNullSafe(F.col("cut_id")), "left")
+    return whole.select("doc_id", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(cut(F.coalesce("text", F.lit("")), F.coalesce("cuts", F.array().cast("array<struct<paragraph:int,first_word:int,n_words:int>>")))).alias("text"))
 
 
 def without_repeats(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """doc_id and text of ``docs`` without the removed paragraphs of ``repeated``."""
-    gone = repeated.where("removed").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("paragraph").alias("gone"))
+    """doc_id and text of ``docs`` without the removed paragraphs and stretches of ``repeated``."""
+    docs = _without_passages(docs.select("doc_id", "text"), repeated.where("removed and first_word is not null"))
+    gone = repeated.where("removed and first_word is null").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("paragraph").alias("gone"))
     lines = F.split(text_column("text"), "\n")
     kept = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("gone", s["i"]))
     whole = docs.select("doc_id", "text").join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")

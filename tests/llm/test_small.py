@@ -324,3 +324,23 @@ def test_decontaminate_short_items(spark):
     bench = spark.createDataFrame([(1, "Too short"), (2, "?!"), (3, None)], "item_id long, text string")
     docs = spark.createDataFrame(rows("it is TOO, short.", "tattoo shorts", "too long", None), SCHEMA)
     assert [tuple(r) for r in decontaminate.find_items(docs, bench).collect()] == [(0, 1, 0, 1.0)]
+
+
+def test_passages_within_lines(spark):
+    """Runs of 50 words inside longer lines are found, every one; the first occurrence and all else stays."""
+    random = np.random.RandomState(11)
+    some = lambda n: [f"w{random.randint(1 << 30)}" for _ in range(n)]
+    runs, texts = [some(50 + i % 20) for i in range(30)], []
+    for i, r in enumerate(runs):
+        texts += [" ".join(some(70 + i) + r + some(90)), "head\n" + " ".join(some(i) + r) + " " + " ".join(some(150 - i))]
+    texts += [" ".join(some(5000)), "a b " * 300]
+    d = spark.createDataFrame(rows(*texts), SCHEMA)
+    got = paragraph_dedup.repeated_paragraphs(d)
+    inside = [r for r in got.collect() if r.doc_id < 60]
+    assert all((r.first_word is None, r.removed, r.n_words) == (False, r.doc_id % 2 == 1, 25) for r in inside)
+    assert {r.doc_id for r in inside} == set(range(60))
+    kept = {r.doc_id: r.text for r in paragraph_dedup.without_repeats(d, got).collect()}
+    assert all(kept[i] == texts[i] for i in range(0, 60, 2)) and kept[60] == texts[60]
+    for i, r in enumerate(runs):
+        left, whole = kept[2 * i + 1].split(), texts[2 * i + 1].split()
+        assert len(left) <= len(whole) - 25 and set(whole) - set(left) <= set(r) and kept[2 * i + 1].startswith("head\n")
