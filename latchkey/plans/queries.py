@@ -786,7 +786,9 @@ def results_export(b):
 
 @query()
 def hash_embed(b):
-    return D.hash_embed(b.queries, "query_id", "query")
+    """Every chunk, and every query as "query:ID"."""
+    asked = b.queries.select(F.concat(F.lit("query:"), "query_id").alias("id"), F.col("query").alias("text"))
+    return D.hash_embed(b.chunks.select(F.col("chunk_id").alias("id"), "text").unionByName(asked), "id", "text")
 
 
 @query()
