@@ -73,12 +73,14 @@ def term_idf(postings: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def dense(terms: DataFrame, vectors: DataFrame, idf: DataFrame, scope: DataFrame, k: int, by: tuple[str, ...] = ("query_id", "user_id")) -> DataFrame:
-    """(*by, chunk_id, doc_id, score, rank): cosine of unit vectors in sparse form, within scope."""
+def dense(terms: DataFrame, vectors: DataFrame, idf: DataFrame, scope: DataFrame | None, k: int, by: tuple[str, ...] = ("query_id", "user_id")) -> DataFrame:
+    """(*by, chunk_id, doc_id, score, rank): cosine of unit vectors in sparse form, within scope if given."""
     q = terms.join(idf, "term").withColumn("w", (1 + F.log("qtf")) * F.col("idf"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*by)))
     q = q.select(*by, "term", (F.col("w") / F.greatest(length, F.lit(1e-9))).alias("qw"))
-    hit = q.join(vectors, "term").join(scope, ["user_id", "doc_id"], "left_semi")
+    hit = q.join(vectors, "term")
+    if scope is not None:
+        hit = hit.join(scope, ["user_id", "doc_id"], "left_semi")
     return top(hit.groupBy(*by, "chunk_id", "doc_id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score")), k, by)
 
 

@@ -187,7 +187,9 @@ def acl_scope_summary(b):
 
 @query(O.upto("SEARCH", "select d.query_id, d.chunk_id from dense d join scope using (user_id, doc_id) where d.rank <= 3"))
 def acl_filter(b):
-    return G.allowed(b.dense.where("rank <= 3"), b.scope).select("query_id", "chunk_id")
+    """The best three that each user may read, of all candidates ranked without scope."""
+    ranked = S.dense(S.query_terms(b.queries), b.vectors, b.term_idf, None, 1 << 30)
+    return S.top(G.allowed(ranked.drop("rank"), b.scope), 3, ("query_id", "user_id")).select("query_id", "chunk_id")
 
 
 @query(O.upto("SEARCH", "select query_id, count(*) as candidates from sparse group by 1"))
