@@ -196,28 +196,39 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     return known.join(first, "part").select("doc_id", "component_id")
 
 
-def passage_units(line: str, unit: int, run: int) -> list[tuple[int, int]]:
-    """(first word, 64-bit hash) of stretches of ``unit`` lower-cased words, chosen by winnowing: of any
+def passage_units(lines: list[str], unit: int, run: int) -> list[tuple[int, int, int]]:
+    """(line, first word, 64-bit hash) of stretches of ``unit`` lower-cased words, chosen by winnowing: of any
     ``run - unit + 1`` next to each other the one with the least hash (the last of equals). So each run
     of ``run`` words holds a chosen stretch, the same wherever the run occurs."""
     import xxhash
 
-    w = line.encode("utf-8", "surrogatepass").lower().split()
-    if len(w) < run:
+    split = [x if len(x := t.encode("utf-8", "surrogatepass").lower().split()) >= run else [] for t in lines]
+    ends = np.cumsum([len(x) for x in split])
+    w = [x for part in split for x in part]
+    if not w:
         return []
-    h = np.array([xxhash.xxh64_intdigest(x, SEED) for x in w], np.uint64)
-    n = len(h) - unit + 1
+    h = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
+    n, width = len(h) - unit + 1, run - unit + 1
     grams = np.zeros(n, np.uint64)
     for k in range(unit):
         grams = grams * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
     grams ^= grams >> np.uint64(29)
-    width = run - unit + 1
-    back = np.lib.stride_tricks.sliding_window_view(grams, width)[:, ::-1]
-    chosen = np.unique(np.arange(n - width + 1) + width - 1 - back.argmin(axis=1))
-    return [(int(i), xxhash.xxh64_intdigest(b" ".join(w[i : i + unit]), SEED) - (1 << 63)) for i in chosen]
-
-
-def repeated_passages(lines: DataFrame, gone: DataFrame, unit: int, run: int, long: int) -> DataFrame:
+    # The low bits say which of equals comes last; places are told apart modulo 2**20.
+    low = np.uint64((1 << 20) - 1)
+    least, size = (grams & ~low) | (low - (np.arange(n, dtype=np.uint64) & low)), 1
+    while size < width:
+        step = min(size, width - size)
+        least, size = np.minimum(least[:-step], least[step:]), size + step
+    start = np.arange(len(least))
+    chosen = start + ((low - (least & low)).astype(np.int64) - start) % (1 << 20)
+    line = np.searchsorted(ends, start, "right")
+    chosen = np.unique(chosen[start + run <= ends[line]])
+    line = np.searchsorted(ends, chosen, "right")
+    first = chosen - ends[line] + np.array([len(x) for x in split])[line]
+    return [(k, i, xxhash.xxh64_intdigest(b" ".join(w[c : c + unit]), SEED) - (1 << 63)) for k, i, c in zip(line.tolist(), first.tolist(), chosen.tolist(), strict=True)]
+
+
+def repeated_passages(lines: DataFrame, gone: DataFrame, unit: int, run: int, long: int, often_from: int = 5_000) -> DataFrame:
     """(doc_id, paragraph, first_word, n_words, unit, cluster_size, removed): stretches of lines (doc_id,
     paragraph, text) that repeat, in lines that aren't in ``gone`` (doc_id, paragraph) and where one of the
     lines at least has over ``long`` words. The first occurrence stays; one that overlaps it is left alone."""
@@ -225,7 +236,8 @@ def repeated_passages(lines: DataFrame, gone: DataFrame, unit: int, run: int, lo
     def cut(batches):
         for batch in batches:
             doc, paragraph, text = (c.to_pylist() for c in batch.columns)
-            rows = [(d, p, i, h, len(t.split()) > long) for d, p, t in zip(doc, paragraph, text, strict=True) for i, h in passage_units(t, unit, run)]
+            over = [len(t.encode("utf-8", "surrogatepass").split()) > long for t in text]
+            rows = [(doc[k], paragraph[k], i, h, over[k]) for k, i, h in passage_units(text, unit, run)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()))], ["doc_id", "paragraph", "first_word", "unit", "long"])
 
     units = lines.select("doc_id", F.col("paragraph").cast("int"), "text").mapInArrow(cut, "doc_id long, paragraph int, first_word int, unit long, long boolean")
@@ -235,7 +247,11 @@ def repeated_passages(lines: DataFrame, gone: DataFrame, unit: int, run: int, lo
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "paragraph", "first_word")
     first = units.groupBy("unit").agg(F.count(F.lit(1)).alias("cluster_size"), F.min(place).alias("first"), F.max("long").alias("some")).where("cluster_size > 1 and some").drop("some")
     same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.paragraph") == F.col("paragraph"))
-    found = units.join(first, "unit").withColumn("removed", ~(same & (F.abs(F.col("first.first_word") - F.col("first_word")) < unit)))
+    # Units with very many places are few, by the bound on their number, and are sent to the others' tasks.
+    first = staged(first, "first")
+    often = F.broadcast(first.where(F.col("cluster_size") > often_from))
+    rest = units.join(often.select("unit"), "unit", "left_anti").join(first.where(F.col("cluster_size") <= often_from), "unit")
+    found = units.join(often, "unit").unionByName(rest).withColumn("removed", ~(same & (F.abs(F.col("first.first_word") - F.col("first_word")) < unit)))
     found = found.where(F.col("removed") | (F.col("first.first_word") == F.col("first_word")))
     return found.select("doc_id", "paragraph", "first_word", F.lit(unit).alias("n_words"), "unit", "cluster_size", "removed")
 
