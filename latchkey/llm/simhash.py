@@ -129,19 +129,26 @@ def near_links(prints: DataFrame, distance: int = 3, short: int = 256, long: int
     return pairs.unionByName(forest).unionByName(masked).distinct()
 
 
+def components_of(prints: DataFrame, distance: int = 3, short: int = 256, long: int = 16_384) -> DataFrame:
+    """Adds component_id to (doc_id, fp): the smallest doc_id that links of at most ``distance`` bits reach."""
+    nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    parts = connected_components(near_links(nodes.select("fp"), distance, short, long)).withColumnRenamed("node", "fp")
+    linked = parts.join(nodes, "fp")
+    least = linked.groupBy("component").agg(F.min("first").alias("least"))
+    linked = linked.join(least, "component").select("fp", "least", F.lit(True).alias("linked"))
+    known = nodes.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("first")).alias("component_id"))
+    return prints.join(known, "fp").select("doc_id", "fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, short: int = 256, long: int = 16_384) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
     component_id is the smallest doc_id that links of at most ``distance`` differing bits reach. Rows
-    with equal fingerprints are one node, so copies make no pairs. Texts without words (null and empty
-    ones too) have fingerprint 0. A row with a null doc_id gets its component from the others, null if
-    there are none. Repeated rows come back repeated; an empty table gives an empty result.
+    with equal fingerprints are one node, so copies make no pairs. Components run over fingerprints, so rows
+    with a null doc_id link others and get the component's smallest doc_id, null if there is none. Texts
+    without words (null and empty ones too) have fingerprint 0. Repeated rows come back repeated; an empty
+    table gives an empty result.
     """
     small_batches(docs.sparkSession)
     prints = staged(fingerprints(docs, words), "fingerprints")
-    nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    links = near_links(nodes.select("fp"), distance, short, long)
-    ends = links.join(nodes.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
-    parts = connected_components(ends, "x", "y")
-    known = nodes.join(parts, nodes["first"] == parts["node"], "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    return prints.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return components_of(prints, distance, short, long).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

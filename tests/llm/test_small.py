@@ -344,3 +344,51 @@ def test_passages_within_lines(spark):
     for i, r in enumerate(runs):
         left, whole = kept[2 * i + 1].split(), texts[2 * i + 1].split()
         assert len(left) <= len(whole) - 25 and set(whole) - set(left) <= set(r) and kept[2 * i + 1].startswith("head\n")
+
+
+def test_simhash_rows_without_id(spark):
+    """A fingerprint that only rows without an id have still ties others together, and gets their component."""
+    fp = [0b0, 0b111, 0b111111, 0b111 << 20, 0b1111111 << 40]
+    prints = spark.createDataFrame([(3, fp[0]), (None, fp[1]), (1, fp[2]), (None, fp[3]), (None, fp[4]), (None, fp[1])], "doc_id long, fp long")
+    got = simhash.components_of(prints)
+    assert sorted((r.fp, r.doc_id, r.component_id) for r in got.where("doc_id is not null").collect()) == [(fp[0], 3, 1), (fp[2], 1, 1)]
+    assert sorted((r.fp, r.component_id) for r in got.where("doc_id is null").collect() if r.fp != fp[4]) == [(fp[1], 1), (fp[1], 1), (fp[3], 1)]
+    assert [r.component_id for r in got.where(f"fp = {fp[4]}").collect()] == [None]
+
+
+def test_simhash_odd_tables(spark, odd, empty):
+    got = simhash.near_duplicates(odd).collect()
+    assert len(got) == odd.count() and all(r.component_id is not None for r in got)
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_texts_of_any_length(spark, monkeypatch):
+    """Slices of long texts give the fingerprint of the whole."""
+    text = " ".join(f"w{i % 977}" for i in range(5000))
+    whole = simhash.fingerprint(text)
+    monkeypatch.setattr(simhash, "SLICE", 64)
+    assert simhash.fingerprint(text) == whole == (lambda f: f - (1 << 64) if f >> 63 else f)(brute.simhash(text))
+
+
+def test_mixing_of_many_patterns(spark):
+    """Patterns beyond the largest are offered to one of their sources; nothing is left out and targets hold."""
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 5), [f"s{i % 3}", f"s{3 + i % 7}", f"t{i % 11}"]) for i in range(900)], "doc_id long, text string, of array<string>")
+    for patterns in (0, 3, 1000):
+        selection, quotas = mixing.mix(docs, F.col("of"), mixing.word_count(F.col("text")), patterns=patterns)
+        taken = {r.doc_id: 0 for r in selection.collect()}
+        words = {}
+        for r in selection.collect():
+            assert len(r.members) == 3 and (r.source is None or r.source in r.members)
+            taken[r.doc_id] += r.copies
+            words[r.source] = words.get(r.source, 0) + r.copies * r.size
+        assert set(taken) == set(range(900)) and max(taken.values()) <= 3
+        if patterns == 1000:
+            assert sum(words.values()) >= 0.95 * 2700
+
+
+def test_url_hosts_of_many_pages(spark):
+    """Pages of a hot host are joined by broadcast, others by shuffle, with one result."""
+    pages = spark.createDataFrame([(i, "hot" if i % 3 else f"h{i}") for i in range(3000)] + [(None, None), (1, "hot")], "page_id long, host string")
+    table = spark.createDataFrame([("hot", 1), ("h3", 2)], "host string, x int")
+    got = url_filter._with_host(pages, table, 10)
+    assert got.count() == 3002 and got.where("host = 'hot' and x = 1").count() == 2001 and got.where("x = 2").count() == 1 and got.where("x is null").count() == 1000
