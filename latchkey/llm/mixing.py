@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from latchkey.llm.common import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Sums of membership patterns that the driver may hold; their number does not depend on the documents'.
-MAX_PATTERNS = 200_000
+#: Membership patterns of several sources that the flow sees as they are.
+PATTERNS = 2_000
 
 
 def word_count(text):
@@ -87,7 +87,7 @@ def min_cost_flow(supply: dict, quota: dict, repeat: int = 3) -> dict:
     return {(p, back[e[0]]): repeat * supply[p] - e[1] for p, n in patterns.items() for e in graph[n] if e[0] in back}
 
 
-def mix(docs: DataFrame, members, size, id_col: str = "doc_id", weights=None, repeat: int = 3, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, members, size, id_col: str = "doc_id", weights=None, repeat: int = 3, seed: int = 42, patterns: int = PATTERNS) -> tuple[DataFrame, DataFrame]:
     """Select documents so that each source's words come to its target.
 
     ``members`` is a column with the array of sources of a document, ``size`` its words. ``weights``
@@ -97,7 +97,9 @@ def mix(docs: DataFrame, members, size, id_col: str = "doc_id", weights=None, re
     that is not taken; quotas has source, source_size, target. A document in several sources counts
     in the size of each.
 
-    The driver sees one sum for each membership pattern, never documents. Each pattern's flow to its
+    The driver sees one sum for each source and for the ``patterns`` largest membership patterns of several
+    sources, never documents. A document of any other pattern is offered to one of its sources, chosen by
+    its seeded order, so no number of patterns is too large and no document is left out. Each pattern's flow to its
     sources is laid on the line of its documents in seeded order, repeated ``repeat`` times; a document
     is taken where its middle falls, so a source misses its quota by half a document at most for each
     stretch. Positions on that line are sums over 4096 seeded buckets and sums inside a bucket, so
@@ -111,15 +113,14 @@ def mix(docs: DataFrame, members, size, id_col: str = "doc_id", weights=None, re
         size.cast("long").alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("order"),
     )
-    d = staged(d.withColumn("bucket", F.conv(F.substring("order", 1, 3), 16, 10).cast("int")), "mixing")
-    sums = d.groupBy("members").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
-    if len(sums) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    supply = {tuple(r.members): r.words for r in sums}
-    sizes: dict = {}
-    for p, n in supply.items():
-        for s in p:
-            sizes[s] = sizes.get(s, 0) + n
+    d = d.withColumn("bucket", F.conv(F.substring("order", 1, 3), 16, 10).cast("int"))
+    d = staged(d.withColumnsRenamed({"members": "all"}), "mixing")
+    sums = d.groupBy("all").agg(F.sum("size").alias("words"))
+    large = staged(sums.where(F.size("all") > 1).orderBy(F.col("words").desc(), F.array_join("all", "\0", "\1")).limit(patterns).select("all", F.lit(True).alias("large")), "patterns")
+    one = F.array(F.element_at("all", (F.conv(F.substring("order", 4, 8), 16, 10).cast("long") % F.greatest(F.size("all"), F.lit(1)) + 1).cast("int")))
+    d = d.join(F.broadcast(large), "all", "left").withColumn("members", F.when(F.col("large") | (F.size("all") < 2), F.col("all")).otherwise(one)).drop("large")
+    supply = {tuple(r.members): r.words for r in d.groupBy("members").agg(F.sum("size").alias("words")).collect()}
+    sizes: dict = {r.source: r.words for r in d.select("size", F.explode("all").alias("source")).groupBy("source").agg(F.sum("size").alias("words")).collect()}
     names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     given = dict(zip(names, weights(names) if weights else [1 + i % 3 for i in range(len(names))], strict=True))
     quota = targets(sizes, given, sum(supply.values()), repeat)
@@ -137,7 +138,7 @@ def mix(docs: DataFrame, members, size, id_col: str = "doc_id", weights=None, re
     inside = Window.partitionBy("members", "bucket").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = d.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(buckets, ["members", "bucket"])
     # Twice the middle of the document, to stay with whole numbers.
-    placed = placed.select("doc_id", "members", "size", (2 * (F.col("first") + F.col("inside")) + F.col("size")).alias("mid"))
+    placed = placed.select("doc_id", "all", "members", "size", (2 * (F.col("first") + F.col("inside")) + F.col("size")).alias("mid"))
     hits = F.size(
         F.filter(
             F.sequence(F.lit(0), F.lit(repeat - 1)),
@@ -152,7 +153,7 @@ def mix(docs: DataFrame, members, size, id_col: str = "doc_id", weights=None, re
         number = F.row_number().over(Window.partitionBy("members", "doc_id", "mid").orderBy("source"))
         selection = taken.withColumns({"some": some, "number": number}).where("copies > 0 or (some = 0 and number = 1)")
         selection = selection.withColumn("source", F.when(F.col("copies") > 0, F.col("source")))
-    return selection.select("doc_id", "size", "members", "source", "copies"), quotas
+    return selection.select("doc_id", "size", F.col("all").alias("members"), "source", "copies"), quotas
 
 
 def mix_single(docs: DataFrame, seed: int = 42, text_col: str = "text", source_col: str = "source") -> DataFrame:
