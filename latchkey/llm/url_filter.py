@@ -33,6 +33,19 @@ def _suffixes(host):
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
+def _with_host(pages: DataFrame, table: DataFrame, most: int = 2000) -> DataFrame:
+    """``pages`` with the columns of ``table`` (one row for each host) for their host, null where it has none.
+
+    Hosts that hold more than one in ``most`` of all pages are fewer than ``most`` whatever the input, so
+    their rows of ``table`` are broadcast and their pages stay where they are; the others' pages are
+    too few to fill a task and are joined by an ordinary shuffle."""
+    n = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    hot = staged(n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("all")))).where(F.col("n") * most > F.col("all")).select("host"), "hot")
+    few = F.broadcast(table.join(F.broadcast(hot), "host", "left_semi"))
+    busy = pages.join(F.broadcast(hot), "host", "left_semi").join(few, "host", "left")
+    return busy.unionByName(pages.join(F.broadcast(hot), "host", "left_anti").join(table, "host", "left"))
+
+
 def apply_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds rule and verdict to (page_id, host, path): the longest rule that fits, else null.
 
@@ -49,7 +62,7 @@ def apply_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     )
     first = F.filter("fits", lambda x: F.startswith(F.col("path"), x["start"]))
     return (
-        pages.join(fits, "host", "left")
+        _with_host(pages, fits)
         .withColumn("fit", F.get(first, F.lit(0)))
         .select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("verdict"))
     )
@@ -136,6 +149,6 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     ranks = propagate(edges, seeds)
     share = F.round(F.col("distrust") / (F.col("trust") + F.col("distrust")), 9)
     other = F.when(F.coalesce(share, F.lit(0.0)) > threshold, "block").otherwise("allow")
-    return judged.join(ranks, "host", "left").select(
+    return _with_host(judged, staged(ranks, "ranks")).select(
         "page_id", "host", "path", "rule", F.coalesce("verdict", other).alias("verdict"), F.round(F.coalesce("trust", F.lit(0.0)), 9).alias("trust"), F.round(F.coalesce("distrust", F.lit(0.0)), 9).alias("distrust")
     )
