@@ -392,3 +392,54 @@ def test_url_hosts_of_many_pages(spark):
     table = spark.createDataFrame([("hot", 1), ("h3", 2)], "host string, x int")
     got = url_filter._with_host(pages, table, 10)
     assert got.count() == 3002 and got.where("host = 'hot' and x = 1").count() == 2001 and got.where("x = 2").count() == 1 and got.where("x is null").count() == 1000
+
+
+def test_suffix_ranks():
+    """Ranks in the order of the bytes, equal for equal bytes alone."""
+    random = np.random.RandomState(4)
+    for length in (1, 3, 8, 20, 50):
+        strings = [bytes(random.randint(97, 99, random.randint(length, 90)).astype(np.uint8)) for _ in range(60)]
+        data = np.frombuffer(b"".join(strings), np.uint8)
+        left = np.concatenate([np.arange(len(s), 0, -1) for s in strings])
+        places, rank = suffix_dedup.suffix_ranks(data, left, length)
+        want = [s[i : i + length] for s in strings for i in range(len(s) - length + 1)]
+        order = {s: i for i, s in enumerate(sorted(set(want)))}
+        assert rank.tolist() == [order[s] for s in want] and len(places) == len(want)
+
+
+def test_suffix_prefixes_pack():
+    data = np.random.RandomState(5).randint(0, 256, 300).astype(np.uint8)
+    for size in (1, 4, 8, 20, 24):
+        words = suffix_dedup.prefixes(data, np.arange(250), size)
+        assert all((a == b).all() for a, b in zip(words, suffix_dedup._unpacked(suffix_dedup._packed(words, size), 250, size), strict=True))
+        by_bytes = sorted(range(250), key=lambda i: data[i : i + size].tobytes())
+        assert [data[i : i + size].tobytes() for i in np.lexsort(tuple(words[::-1]))] == [data[i : i + size].tobytes() for i in by_bytes]
+
+
+@pytest.mark.parametrize("batches", [2, 8])
+def test_suffix_levels(spark, monkeypatch, batches):
+    """Up to three levels, tasks of several chunks, buckets of several suffixes; against brute force."""
+    monkeypatch.setattr(suffix_dedup, "PER_BUCKET", 1 << 10)
+    random = np.random.RandomState(batches)
+    some = lambda n: bytes(random.randint(97, 123, n).astype(np.uint8)).decode()
+    shared = [some(n) for n in (50, 51, 80, 130, 300)]
+    texts = [some(random.randint(0, 60)) + shared[random.randint(5)] * random.randint(0, 3) + some(random.randint(0, 90)) + shared[random.randint(5)][random.randint(0, 20) :] for _ in range(80)]
+    d = spark.createDataFrame(rows(*texts, shared[4], shared[4], "ab" * 400, "ab" * 300, "é" * 90, "é" * 60), SCHEMA)
+    want = brute.remove_repeats([(r.doc_id, r.text) for r in d.collect()])
+    assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(d, batches=batches).collect()} == want
+
+
+def test_suffix_odd_tables(spark, odd, empty):
+    """Rows without an id keep their text, repeated rows are judged alike, an empty table gives nothing."""
+    got = suffix_dedup.remove_repeats(odd).collect()
+    assert len(got) == odd.count() and all(r.n_removed == 0 for r in got if r.doc_id is None)
+    assert {r.n_removed for r in got if r.doc_id == 5} == {0} and {r.n_removed for r in got if r.doc_id == 6} == {len(PASSAGE)}
+    assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
+def test_suffix_slices(docs, monkeypatch):
+    """Texts longer than a slice, chunks of a few texts."""
+    monkeypatch.setattr(suffix_dedup, "SLICE", 128)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 600)
+    want = brute.remove_repeats([(r.doc_id, r.text) for r in docs.collect()])
+    assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs, batches=2).collect()} == want
