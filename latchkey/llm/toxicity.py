@@ -15,8 +15,11 @@ from latchkey.llm.common import small_batches, staged, text_column
 WORDS = re.compile(r"[^\W\d_]+")
 #: A seed lexicon of insults, for corpora with few labels.
 SEED_WORDS = ("idiot", "moron", "stupid", "loser", "pathetic", "worthless", "scum", "trash", "clown", "dumb", "disgusting", "imbecile")
-#: How far a row's own label is believed.
-LABEL_ACCURACY = 0.98
+#: The share that labels have in the classes from which voters' rates are estimated. They have no vote.
+ANCHOR = 0.5
+#: Standard deviations by which a term must be more frequent in toxic rows than chance has it: among
+#: millions of terms none gets so far by chance.
+BEYOND_CHANCE = 6
 PATTERNS = ("lexicon hits", "lexicon share", "several hits", "shouting", "exclamation", "addressed")
 SHOUTED = re.compile(r"\b[A-Z]{3,}\b")
 SAYS_YOU = re.compile(r"\b(?:you|your|you're|u r)\b", re.IGNORECASE)
@@ -36,16 +39,6 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def counts_of(text: str, place: dict[str, int], width: int) -> tuple[np.ndarray, int]:
-    """How often each term of the lexicon occurs in a text, and the text's number of words."""
-    words = WORDS.findall(text.lower())
-    found = np.zeros(width, np.float32)
-    for hits in map(_hits_of(place).__getitem__, words):
-        for k in hits:
-            found[k] += 1
-    return found, len(words)
-
-
 class _Hits(dict):
     """The places of a word's terms in a lexicon, remembered for up to 200,000 words."""
 
@@ -69,13 +62,23 @@ def _hits_of(place: dict[str, int]) -> _Hits:
     return _KNOWN[0]
 
 
-def features_of(text: str, place: dict[str, int], width: int) -> np.ndarray:
-    """Logarithms of lexicon counts, then the pattern features."""
-    found, n = counts_of(text, place, width)
-    hits, kinds = float(found.sum()), int((found > 0).sum())
-    upper = len(SHOUTED.findall(text)) / max(1, n)
-    more = [np.log1p(hits), min(1.0, 20 * hits / max(1, n)), min(1.0, kinds / 3), min(1.0, upper), min(1.0, text.count("!") / max(1, n)), float(hits > 0 and bool(SAYS_YOU.search(text)))]
-    return np.concatenate([np.log1p(found), np.array(more, np.float32)])
+def features_of(texts: list[str], place: dict[str, int], width: int) -> np.ndarray:
+    """For each text logarithms of lexicon counts, then the pattern features. Only words that hold a term of
+    the lexicon are looked at further, and each distinct word is matched with the lexicon once."""
+    known, rows, columns = _hits_of(place), [], []
+    more = np.zeros((len(texts), len(PATTERNS)), np.float32)
+    for i, text in enumerate(texts):
+        words = WORDS.findall(text.lower())
+        found = [k for hits in map(known.__getitem__, words) if hits for k in hits]
+        rows += [i] * len(found)
+        columns += found
+        n = max(1, len(words))
+        more[i, 3:5] = min(1.0, len(SHOUTED.findall(text)) / n), min(1.0, text.count("!") / n)
+        if found:
+            more[i, :3] = np.log1p(len(found)), min(1.0, 20 * len(found) / n), min(1.0, len(set(found)) / 3)
+            more[i, 5] = bool(SAYS_YOU.search(text))
+    counts = np.bincount(np.array(rows, np.int64) * width + np.array(columns, np.int64), minlength=len(texts) * width).reshape(len(texts), width)
+    return np.concatenate([np.log1p(counts.astype(np.float32)), more], axis=1)
 
 
 def votes_of(x: np.ndarray, width: int) -> np.ndarray:
@@ -98,36 +101,53 @@ def votes_of(x: np.ndarray, width: int) -> np.ndarray:
     return np.concatenate([lexicon, patterns.astype(np.int8)], axis=1)
 
 
-def label_model(votes: np.ndarray, own: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of the toxic class for each row of votes, and each voter's weight.
+@dataclass
+class LabelModel:
+    """What expectation maximisation has found: the posterior of the toxic class for each row, and for each
+    voter its weight, how often its votes are right, and the residual correlations with the others."""
+
+    posterior: np.ndarray
+    weight: np.ndarray
+    accuracy: np.ndarray
+    correlation: np.ndarray
 
-    A generative model: a class, then each voter's vote given the class, with rates that expectation
-    maximisation estimates. ``own`` holds log odds from the row's own label, one more voter whose
-    accuracy is given, from which the first guess comes. Voters that agree more than
-    the class explains are correlated; each one's evidence is divided by one plus the sum of its
-    residual correlations with the others, so that copies of a voter count about once.
+
+def label_model(votes: np.ndarray, labels: np.ndarray, anchor: float = ANCHOR, rounds: int = 25) -> LabelModel:
+    """A generative model of votes (-1, 0, 1): a class, then each voter's vote given the class, with rates
+    that expectation maximisation estimates. The posterior of a row comes from its votes alone; ``labels``
+    calibrate the rates: where these are estimated, a row's class is ``anchor`` of its label and the
+    rest of its posterior, which keeps the class that is found the one that is labelled.
+
+    Voters that agree more than the class explains are correlated; each one's evidence is divided by one
+    plus the sum of its residual correlations with the others, so that copies of a voter count about once.
+    Correlations within five standard errors of none are taken for none.
     """
-    q, weight = 1 / (1 + np.exp(-own)), np.ones(votes.shape[1])
-    kinds = [(votes == v).astype(np.float32) for v in (-1, 0, 1)]
+    n, v = votes.shape
+    labels = np.asarray(labels, np.float64)
+    q, weight, rho = labels, np.ones(v), np.zeros((v, v))
+    kinds = [(votes == x).astype(np.float32) for x in (-1, 0, 1)]
     for i in range(rounds):
-        prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
-        soft = q.astype(np.float32)
-        toxic = np.stack([k.T @ soft + 0.5 for k in kinds]) / (q.sum() + 1.5)
-        clean = np.stack([k.T @ (1 - soft) + 0.5 for k in kinds]) / ((1 - q).sum() + 1.5)
+        known = anchor * labels + (1 - anchor) * q
+        prior, soft = np.clip(known.mean(), 1e-3, 1 - 1e-3), known.astype(np.float32)
+        toxic = np.stack([k.T @ soft + 0.5 for k in kinds]) / (known.sum() + 1.5)
+        clean = np.stack([k.T @ (1 - soft) + 0.5 for k in kinds]) / ((1 - known).sum() + 1.5)
         if i % 5 == 0:
-            both, square = np.zeros((votes.shape[1],) * 2), np.zeros(votes.shape[1])
-            for k in range(0, len(votes), 2000):
+            both, square = np.zeros((v, v)), np.zeros(v)
+            for k in range(0, n, 2000):
                 c = soft[k : k + 2000, None]
                 rest = votes[k : k + 2000] - c * (toxic[2] - toxic[0]) - (1 - c) * (clean[2] - clean[0])
                 both += rest.T @ rest
                 square += (rest**2).sum(axis=0)
-            scale = np.sqrt(square / len(votes)) + 1e-9
-            rho = np.abs(both / len(votes) / scale[:, None] / scale[None, :])
+            scale = np.sqrt(square / n) + 1e-9
+            rho = both / n / scale[:, None] / scale[None, :]
             np.fill_diagonal(rho, 0)
-            weight = 1 / (1 + np.where(rho > 0.1, rho, 0).sum(axis=1))
-        odds = own + np.log(prior / (1 - prior)) + sum(k @ (weight * (np.log(toxic[j]) - np.log(clean[j]))) for j, k in enumerate(kinds))
+            rho = np.where(rho > max(0.05, 5 / np.sqrt(n)), np.minimum(rho, 1), 0)
+            weight = 1 / (1 + rho.sum(axis=1))
+        odds = np.log(prior / (1 - prior)) + sum(k @ (weight * (np.log(toxic[j]) - np.log(clean[j]))) for j, k in enumerate(kinds))
         q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return q, weight
+    right = prior * toxic[2] + (1 - prior) * clean[0]
+    wrong = prior * toxic[0] + (1 - prior) * clean[2]
+    return LabelModel(q, weight, right / (right + wrong), rho)
 
 
 @dataclass
@@ -142,8 +162,8 @@ class Model:
         if not hasattr(self, "place"):
             self.place = {w: i for i, w in enumerate(self.lexicon)}
         place, width = self.place, len(self.lexicon)
-        x = np.array([features_of(t, place, width) for t in texts], np.float32).reshape(len(texts), -1)
-        return 1 / (1 + np.exp(-np.clip(x @ self.coefficients + self.intercept, -30, 30))) if len(texts) else np.zeros(0)
+        x = features_of(texts, place, width)
+        return 1 / (1 + np.exp(-np.clip(x @ self.coefficients + self.intercept, -30, 30)))
 
 
 def linear(x: np.ndarray, q: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -180,7 +200,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fits the model on at most ``rows`` labelled rows, chosen by a hash of their id, never held-out ones.
 
     Lexicon voters come from the seed words and from words and stems that occur in toxic training rows
-    several times as often as in others; their number is at most ``lexicon``. Only counts of that many
+    several times as often as in others; their number is at most ``lexicon``. Places where a term has the
+    same neighbours count once, so that words of a text and its near copies aren't taken for voters. The
+    label model weighs all voters and gives each row a posterior, from which the classifier learns; labels
+    choose the lexicon and calibrate the voters' rates, but are no vote. Only counts of that many
     terms and the features of ``rows`` rows reach the driver. Rows with null labels are left out; labels
     that contradict each other for one id count by their largest. Without labelled rows the seed words
     alone decide.
@@ -193,19 +216,33 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = staged(texts.join(own, "doc_id").select("label", "text"), "labelled")
 
     def spell(batches):
+        import xxhash
+
         for batch in batches:
-            words = [sorted({x for w in set(WORDS.findall(t.lower())) for x in terms_of(w)}) for t in batch.column(1).to_pylist()]
-            flat = [w for x in words for w in x]
-            label = np.repeat(batch.column(0).to_numpy(), [len(x) for x in words])
-            yield pa.RecordBatch.from_arrays([pa.array(flat, pa.string()), pa.array(label.astype(np.int64))], ["word", "label"])
+            out = {"word": [], "label": [], "place": []}
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words, seen = ["", *WORDS.findall(text.lower()), ""], {}
+                for k, w in enumerate(words[1:-1], 1):
+                    if w not in seen:
+                        seen[w] = xxhash.xxh64_intdigest(f"{words[k - 1]} {words[k + 1]}".encode("utf-8", "surrogatepass")) - (1 << 63)
+                terms = {}
+                for w, h in seen.items():
+                    for t in terms_of(w):
+                        terms.setdefault(t, h)
+                out["word"] += terms
+                out["place"] += terms.values()
+                out["label"] += [label] * len(terms)
+            yield pa.RecordBatch.from_arrays([pa.array(out["word"], pa.string()), pa.array(out["label"], pa.int64()), pa.array(out["place"], pa.int64())], ["word", "label", "place"])
 
     size = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic")).head()
     n, toxic = size.n, size.toxic or 0
     chosen: list[str] = []
     if 0 < toxic < n:
-        found = sample.mapInArrow(spell, "word string, label long").groupBy("word").agg(F.sum("label").alias("t"), F.count(F.lit(1)).alias("n"))
+        found = sample.mapInArrow(spell, "word string, label long, place long").distinct().groupBy("word").agg(F.sum("label").alias("t"), F.count(F.lit(1)).alias("n"))
         rate = ((F.col("t") + 0.1) / toxic) / ((F.col("n") - F.col("t") + 0.1 * (n - toxic) / toxic) / (n - toxic))
-        strong = found.where(F.col("t") >= max(3, 0.005 * toxic)).withColumn("ratio", rate).where("ratio >= 3")
+        share = toxic / n
+        beyond = (F.col("t") - share * F.col("n")) / F.sqrt(share * (1 - share) * F.col("n"))
+        strong = found.where((F.col("t") >= max(3, 0.005 * toxic)) & (beyond >= BEYOND_CHANCE)).withColumn("ratio", rate).where("ratio >= 3")
         ranked = strong.orderBy((F.log("ratio") * F.sqrt("t")).desc(), F.length("word"), "word").limit(10 * lexicon).collect()
         chosen = _apart([(r.word, r.t, r.n) for r in ranked])
     words = list(dict.fromkeys([*chosen, *SEED_WORDS]))[:lexicon]
@@ -213,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def describe(batches):
         for batch in batches:
-            x = [features_of(t, place, width).astype("<f4").tobytes() for t in batch.column(1).to_pylist()]
+            x = [row.tobytes() for row in features_of(batch.column(1).to_pylist(), place, width).astype("<f4")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["label", "x"])
 
     if not 0 < toxic < n:
@@ -224,9 +261,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = np.array([g.label for g in got], np.float64)
     x = np.frombuffer(b"".join(g.x for g in got), "<f4").reshape(len(got), -1)
     del got
-    sure = np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
-    q, _ = label_model(votes_of(x, width), np.where(y > 0, sure, -sure))
-    return Model(words, *linear(x, q))
+    found = label_model(votes_of(x, width), y > 0)
+    return Model(words, *linear(x, found.posterior))
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

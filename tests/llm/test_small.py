@@ -443,3 +443,35 @@ def test_suffix_slices(docs, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 600)
     want = brute.remove_repeats([(r.doc_id, r.text) for r in docs.collect()])
     assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs, batches=2).collect()} == want
+
+
+def test_label_model_recovers_voters():
+    """Accuracies of independent voters and a copied voter's correlation, from votes with a few labels wrong."""
+    random = np.random.RandomState(6)
+    y = random.rand(6000) < 0.2
+    right = (0.95, 0.85, 0.7, 0.6)
+    votes = np.stack([np.where(random.rand(6000) < 0.6, np.where((random.rand(6000) < r) == y, 1, -1), 0) for r in right], axis=1)
+    votes = np.concatenate([votes, votes[:, :1]], axis=1)
+    labels = np.where(random.rand(6000) < 0.05, ~y, y)
+    found = toxicity.label_model(votes, labels)
+    assert np.abs(found.accuracy[:4] - right).max() < 0.06
+    assert found.correlation[0, 4] > 0.9 and found.correlation[1, 2] < 0.1 and found.weight[1] > 1.5 * found.weight[0]
+    seen = (votes != 0).sum(axis=1) >= 3
+    assert ((found.posterior >= 0.5) == y)[seen].mean() > 0.93
+    # The row's own label is no vote: rows with the same votes have the same posterior.
+    _, first = np.unique(votes, axis=0, return_inverse=True)
+    assert all(np.ptp(found.posterior[first.ravel() == k]) < 1e-12 for k in range(first.max() + 1))
+
+
+def test_toxicity_learns_through_the_posterior(spark):
+    """Words of a text that stands there many times aren't voters, and labels that no voter supports aren't learned."""
+    random = np.random.RandomState(8)
+    word = lambda: "".join(random.choice(list("abcdefgh"), 5))
+    texts = [" ".join([word() for _ in range(30)] + (["zorkly"] * 2 if i % 5 == 0 else [])) for i in range(600)]
+    copy = " ".join(f"rare{word()}" for _ in range(30))
+    texts += [copy] * 40
+    d = spark.createDataFrame(rows(*texts), SCHEMA)
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0 or i >= 600)) for i in range(640)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(d, labels)
+    assert any(w.startswith("zor") for w in model.lexicon) and not any(w.startswith("rar") for w in model.lexicon)
+    assert model.score(["zorkly zorkly x"])[0] > 0.5 > model.score([copy])[0]
