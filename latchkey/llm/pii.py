@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -13,7 +15,15 @@ from latchkey.llm.common import small_batches, staged, text_column
 
 #: Titles before a person's name, by the gender that they tell.
 TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Sir"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra"), "n": ("Dr", "Prof")}
-_TITLE = "|".join(t for ts in TITLES.values() for t in ts)
+#: Given names that tell a person without a title, by gender.
+GIVEN = {
+    "m": "Adam Alexander Andreas Andrew Antonio Bernd Brian Carlos Charles Christian Claude Daniel David Diego Edward Eric Felix Frank Francisco Frédéric George Hans Henry Ivan Jacques James Jan Javier Jean Jens Johannes John José Juan Jürgen Klaus Lars Lukas Luis Manuel Marc Markus Martin Matthew Michael Miguel Olivier Oscar Pablo Paul Pedro Peter Philippe Pierre Robert Stefan Steven Thomas Tom William Wolfgang".split(),
+    "f": "Alice Ana Andrea Angela Anna Anne Barbara Birgit Brigitte Camille Carmen Caroline Catherine Charlotte Chloé Christine Claudia Cristina Diana Elena Elisabeth Élodie Emily Emma Eva Françoise Gabriele Hannah Heike Helen Ingrid Isabel Isabelle Jane Jennifer Julia Karin Katharina Kate Laura Linda Lisa Lucía Margaret Maria Marie Marta Mary Monika Nathalie Nicole Olga Patricia Petra Sabine Sandra Sarah Sofia Sophie Susan Ursula Victoria".split(),
+}
+_GENDER = {name: g for g, names in GIVEN.items() for name in names}
+_TITLE, _GIVEN = ("|".join(t for ts in group.values() for t in ts) for group in (TITLES, GIVEN))
+#: A name: capital or not of any script, with parts joined by hyphens or apostrophes.
+_NAME = r"[^\W\d_a-z](?:[^\W\d_]|[-'’](?=[^\W\d_]))+"
 ENTITY = re.compile(
     r"(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?<=[=:] )(?P<secret>(?=[A-Za-z0-9_/+-]*\d)[A-Za-z0-9_/+-]{16,})|\b(?P<hex>[0-9a-f]{32,64}|AKIA[0-9A-Z]{16})\b"
@@ -22,13 +32,17 @@ ENTITY = re.compile(
     r"|(?<![\d-])(?P<card>\d{4}(?:[ -]?\d{4}){3}|\d{4}[ -]?\d{6}[ -]?\d{5})(?![\d-])"
     r"|(?<![\d-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d-])"
     r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|(?<![\d-])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4})(?!\d)"
-    rf"|\b(?P<person>(?:{_TITLE})\.? [^\W\d_a-z][^\W\d_]+(?: [^\W\d_a-z][^\W\d_]+)?)"
+    rf"|\b(?P<person>(?:{_TITLE})\.? {_NAME}(?: {_NAME})?|(?:{_GIVEN}) {_NAME})"
 )
-MAYBE = re.compile(rf"[0-9@]|\b(?:{_TITLE})\b")
+MAYBE = re.compile(rf"[0-9@]|\b(?:{_TITLE}|{_GIVEN})\b")
 #: Letters that stand in for letters of the same script and case.
 ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "àâäéèêëïîôöùûüçñß", "ÀÂÄÉÈÊËÏÎÔÖÙÛÜÇÑ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "абвгдежзиклмнопрстуфхцчшщэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ")
 ALPHABET_OF = {c: a for a in ALPHABETS for c in a}
 SYLLABLES = ("ba", "ce", "di", "fo", "gu", "ha", "je", "ki", "lo", "mu", "na", "pe", "ri", "so", "tu", "va", "we", "zi", "bra", "cle", "dri", "flo", "gru", "sta")
+ACCENTS = {"a": "äàâ", "e": "éèê", "i": "îï", "o": "öô", "u": "üû"}
+#: Attempts after which a surrogate gets a letter or syllable more, so that there are ever more of them; and
+#: after which one of fixed length may be another entity of the corpus, which has its own surrogate.
+LONGER, ANY = 4, 40
 ENDINGS = {"m": ("n", "rd", "s", "k"), "f": ("a", "ina", "ella", "ia"), "n": ("y", "el", "is", "en")}
 
 
@@ -55,50 +69,80 @@ def _luhn(digits: str) -> int:
     return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(digits))) % 10
 
 
+def _iban_check(country: str, account: str) -> str:
+    """The two check digits that make the remainder by 97 one."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in account + country + '00')) % 97:02d}"
+
+
+def _name_like(kind: str, part: str, draw, more: int) -> str:
+    """A name in the script, case and accents of ``part``."""
+    if unicodedata.name(part[0], "").startswith("LATIN"):
+        made = "".join(_pick(draw, SYLLABLES) for _ in range(3 + more)) + _pick(draw, ENDINGS.get(kind, ("er", "man", "ov", "son")))
+        if not part.isascii():
+            at = _pick(draw, [i for i, c in enumerate(made) if c in ACCENTS])
+            made = made[:at] + _pick(draw, ACCENTS[made[at]]) + made[at + 1 :]
+    else:
+        letters = [c for c in part if c in ALPHABET_OF]
+        made = "".join(_pick(draw, ALPHABET_OF[c.lower()]) if c.lower() in ALPHABET_OF else c for c in part + "".join(letters[-1:]) * more)
+    return made.upper() if part.isupper() and len(part) > 1 else made.lower() if part.islower() else made.capitalize()
+
+
 def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
-    """The surrogate of a normalised entity: same kind, length, script and case of each letter, and
-    same check digit where the entity has one."""
-    draw = _draw(key, kind, entity, str(attempt))
+    """The surrogate of a normalised entity, of the same kind. Names keep gender, script, accents, case and
+    joined parts; all else keeps its length, the class of each character, what tells its kind (country codes,
+    key prefixes), and valid check digits where the entity's are. Names and e-mail addresses grow with
+    attempts."""
+    draw, more = _draw(key, kind, entity, str(attempt)), attempt // LONGER
     if kind == "ip":
         return ".".join(str(_pick(draw, range(1, 255))) for _ in range(4))
     if kind in ("m", "f", "n", "surname"):
-        if entity[:1].isascii():
-            stem = "".join(_pick(draw, SYLLABLES) for _ in range(3))
-            return (stem + _pick(draw, ENDINGS.get(kind, ("er", "man", "ov", "son")))).capitalize()
+        return "".join(p if p in "-'’" else _name_like(kind, p, draw, more) for p in re.split(r"([-'’])", entity) if p)
     keep = 0
     if kind == "phone":
         keep = max(0, len(entity) - 9)
     elif kind == "iban":
-        keep = 2
+        keep = 4
+    elif kind == "hex" and entity.startswith("AKIA"):
+        keep = 4
     hexed = kind == "hex" and entity == entity.lower()
     out, at = [], entity.rfind(".") if kind == "email" else len(entity)
     for i, c in enumerate(entity):
+        if kind == "email" and c == "@":
+            out += [_pick(draw, ALPHABETS[0]) for _ in range(more)]
         letters = ("abcdef" if c.isalpha() else "0123456789") if hexed else ALPHABET_OF.get(c)
         out.append(c if letters is None or i < keep or i >= at else _pick(draw, letters))
     made = "".join(out)
     if kind == "card" and _luhn(entity) == 0:
         made = next(made[:-1] + d for d in "0123456789" if _luhn(made[:-1] + d) == 0)
+    elif kind == "iban" and entity[2:4] == _iban_check(entity[:2], entity[4:]):
+        made = made[:2] + _iban_check(made[:2], made[4:]) + made[4:]
     return made
 
 
 def pieces(kind: str, text: str) -> list[tuple[str, str]]:
-    """The (kind, entity) that a mention is made of: a person has a first name, whose gender the title
-    tells, and a surname; any other mention is one entity."""
+    """The (kind, entity) that a mention is made of: a person has a given name, whose gender the title or
+    the name itself tells, and a surname; any other mention is one entity."""
     if kind != "person":
         return [(kind, normal(kind, text))]
-    title, *names = text.split(" ")
-    gender = next(g for g, ts in TITLES.items() if title.rstrip(".") in ts)
+    names = text.split(" ")
+    gender = next((g for g, ts in TITLES.items() if names[0].rstrip(".") in ts), None)
+    if gender is not None:
+        names = names[1:]
+    if len(names) > 1 and gender in (None, "n"):
+        gender = _GENDER.get(names[0], gender)
     return [("surname" if i == len(names) - 1 else gender, n) for i, n in enumerate(names)]
 
 
 def rendered(kind: str, text: str, made: list[str]) -> str:
     """The mention with its surrogate, in the mention's own format."""
     if kind == "person":
-        return " ".join([text.split(" ")[0], *made])
+        return " ".join([*text.split(" ")[: -len(made)], *made])
     if kind in ("card", "phone", "iban"):
         new = iter(made[0])
         return "".join(next(new) if c.isascii() and (c.isdigit() or c.isupper()) else c for c in text)
     if kind == "email":
+        if len(text) != len(made[0]):
+            return made[0].upper() if text.isupper() else made[0]
         return "".join(m.upper() if c.isupper() else m for c, m in zip(text, made[0], strict=True))
     return made[0]
 
@@ -121,7 +165,9 @@ def replace(text: str, key: bytes, exceptions: dict[tuple[str, str], int]) -> tu
 def assign(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, entity, attempt) of the entities whose first surrogate can't stand: it is another
     entity's surrogate, or an entity of the corpus itself. Such entities draw again until no
-    surrogate is shared, so distinct entities stay distinct."""
+    surrogate is shared, so distinct entities stay distinct. Names and addresses get longer as they draw,
+    so rounds end whatever their number; numbers of fixed length, of which there are no more than their
+    surrogates, may be another's number after ANY attempts."""
 
     def run(batches):
         for batch in batches:
@@ -145,17 +191,19 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
             return settled.where("attempt > 0").select("kind", "entity", "attempt")
 
 
-def pseudonymise(docs: DataFrame, key: bytes = b"latchkey", broadcast_rows: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes | None = None, broadcast_rows: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, text with surrogates, n_entities.
 
     E-mail and IP addresses, telephone, card, account and social security numbers, secrets, and names
-    after a title are replaced by a keyed function of the entity alone, so mentions of one entity agree
-    across the corpus without a lookup. Only entities whose surrogates collide need one: their
+    after a title or a common given name are replaced by a keyed function of the entity alone, so mentions of one entity agree
+    across the corpus without a lookup. Whoever has ``key`` can find entities again by trying them; without
+    one a random key is drawn for this call, so surrogates agree within it alone. Only entities whose surrogates collide need one: their
     attempts go with the rows that mention them, by broadcast up to ``broadcast_rows`` such rows and by
     an ordinary join beyond. Null texts are empty; repeated rows are each replaced; empty tables give
     an empty result.
     """
     small_batches(docs.sparkSession)
+    key = secrets.token_bytes(32) if key is None else key
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(text_col).alias("text"))
     rows = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
 

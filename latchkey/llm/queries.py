@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from latchkey.llm import decontaminate, exact_dedup, mixing, paragraph_dedup, pii, simhash, suffix_dedup, tokens, toxicity, url_filter
@@ -14,10 +12,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tokenizer_path() -> str:
-    """The file of the public tokenizer; ``LATCHKEY_TOKENIZER`` names another."""
+    """The file of the public tokenizer that the queries use; the operator takes any path."""
     import public_tokenizers
 
-    return os.environ.get("LATCHKEY_TOKENIZER") or public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +52,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_table(spark, sf_dir, "documents"))
+    """With the key that the session's ``latchkey.pii.key`` has in hex, else a random one."""
+    key = spark.conf.get("latchkey.pii.key", None)
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"), bytes.fromhex(key) if key else None)
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
