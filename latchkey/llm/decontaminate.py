@@ -17,12 +17,12 @@ FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 DROPPED = bytes(c for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122))
 #: The same bytes as blanks, A-Z lower-cased.
 SPACED = bytes(32 if c in DROPPED else FOLD[c] for c in range(256))
-#: Normalised bytes of documents that are searched at once.
-BATCH = 2 << 20
+#: Normalised bytes of documents that walks take at once, and that candidates are checked for at once.
+BATCH, GROUP = 2 << 20, 8 << 20
 #: Items that one pass over the documents looks for.
 ITEMS = 5_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+SMALL_MULTIPLIER = np.uint32(0x9E3779B1)
 
 
 def normalise(text: str) -> bytes:
@@ -51,6 +51,64 @@ def edit_distance_inside(item: bytes, text: bytes) -> int:
     return best
 
 
+def edit_distances_inside(items: list[bytes], pairs: list[tuple[int, bytes]]) -> np.ndarray:
+    """``edit_distance_inside`` of many pairs (item's place, text) at once: the same bit-parallel columns,
+    with a row for each pair and items in blocks of 64 bits."""
+    out = np.zeros(len(pairs), np.int64)
+    one, top = np.uint64(1), np.uint64(63)
+    blocks = np.array([-(-len(items[i]) // 64) for i, _ in pairs], np.int64)
+    for n in np.unique(blocks).tolist():
+        mine = np.flatnonzero(blocks == n)
+        mine = mine[np.argsort([len(pairs[k][1]) for k in mine], kind="stable")]
+        for group in np.array_split(mine, -(-len(mine) // 4096)):
+            used, row = np.unique([pairs[k][0] for k in group], return_inverse=True)
+            has = np.zeros((n, len(used), 256), np.uint64)
+            for u, i in enumerate(used.tolist()):
+                for k, c in enumerate(items[i]):
+                    has[k // 64, u, c] |= one << np.uint64(k % 64)
+            longest = max(len(pairs[k][1]) for k in group)
+            # 255 is in no text, and after a text's end it lets no distance fall.
+            text = np.frombuffer(b"".join(pairs[k][1].ljust(longest, b"\xff") for k in group), np.uint8).reshape(len(group), longest).T.copy()
+            size = np.array([len(items[pairs[k][0]]) for k in group], np.int64)
+            last = ((size - 1) % 64).astype(np.uint64)
+            base, flat = row.astype(np.int64) * 256, has.reshape(n, -1)
+            up, down = np.full((n, len(group)), ~np.uint64(0)), np.zeros((n, len(group)), np.uint64)
+            score, best = size.astype(np.int32), size.astype(np.int32)
+            none = np.zeros(len(group), np.uint64)
+            for column in text:
+                at, more, less = base + column, none, none
+                for b in range(n):
+                    eq, p, m = flat[b].take(at), up[b], down[b]
+                    vertical = eq | m
+                    eq |= less
+                    right = eq & p
+                    right += p
+                    right ^= p
+                    right |= eq
+                    left = right & p
+                    right |= p
+                    np.invert(right, out=right)
+                    right |= m
+                    if b == n - 1:
+                        score += ((right >> last) & one).astype(np.int32)
+                        score -= ((left >> last) & one).astype(np.int32)
+                        np.minimum(best, score, out=best)
+                        carry_more = carry_less = none
+                    else:
+                        carry_more, carry_less = right >> top, left >> top
+                    right <<= one
+                    right |= more
+                    left <<= one
+                    left |= less
+                    more, less = carry_more, carry_less
+                    np.bitwise_and(right, vertical, out=down[b])
+                    vertical |= right
+                    np.invert(vertical, out=vertical)
+                    np.bitwise_or(vertical, left, out=up[b])
+            out[group] = best
+    return out
+
+
 @dataclass
 class Index:
     """Items, and for each class of lengths its coins, sampled steps, and windows of items by LSH key."""
@@ -71,34 +129,45 @@ CLASSES = ((110, 28, 20, 2), (60, 24, 18, 3), (24, 20, 14, 5))
 #: Sizes of q-grams.
 SIZES = (3, 4)
 #: Starts that walk together, so that they stay in the processor's cache.
-WALK = 1 << 13
-#: Steps after which windows that can't be an item's are dropped.
-EARLY = 15
+WALK = 1 << 15
+#: Steps after which windows that can't be an item's are dropped, walked in 32 bits: for classes of up to 8,192
+#: windows of items, and for larger ones. Only time depends on it.
+EARLY = (10, 16)
 #: Places of a found window that are checked as one.
 NEAR = 8
 
 
-def walk(coins: np.ndarray, starts: np.ndarray, sampled: np.ndarray, early: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _glance(coins: np.ndarray, sampled: np.ndarray) -> np.ndarray:
+    """20-bit keys of the steps ``sampled`` of walks from all places of ``coins`` but the last 64. It has the
+    upper halves of the bytes' random numbers: the same coins, and as good to tell bytes apart."""
+    at = np.arange(len(coins) - 64)
+    key = np.zeros(len(at), np.uint32)
+    for step, used in enumerate(sampled):
+        v = coins[at]
+        if used:
+            key *= SMALL_MULTIPLIER
+            key ^= v
+        at += ((v >> np.uint32(step)) & np.uint32(1)).astype(np.int64)
+    return (key * SMALL_MULTIPLIER) >> np.uint32(12)
+
+
+def walk(coins: np.ndarray, starts: np.ndarray | None, sampled: np.ndarray, early: np.ndarray | None = None, glance: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Starts of windows and their LSH keys: the CGK random walk writes the byte it stands on at each step
     and moves on if the step's coin for that byte says so, which turns few edits into few differing steps;
     the key is made of the bytes at the sampled steps. ``coins`` has the byte's random number at each place,
-    which stands for the byte in keys and holds its coins as bits. Windows whose key after EARLY steps
-    isn't in the bitmap ``early`` are dropped there."""
-    out = [(starts[:0], np.zeros(0, np.uint64))]
-    for i in range(0, len(starts), WALK):
-        begin = at = starts[i : i + WALK]
-        key = np.zeros(len(at), np.uint64)
-        for step, used in enumerate(sampled):
-            if step == EARLY and early is not None:
-                go = np.flatnonzero(early[(key >> np.uint64(44)).view(np.int64)])
-                begin, at, key = begin[go], at[go], key[go]
-            v = coins.take(at)
-            if used:
-                key *= MULTIPLIER
-                key ^= v
-            at = at + ((v >> np.uint64(32 + step)) & np.uint64(1)).view(np.int64)
-        out.append((begin, key * MULTIPLIER))
-    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+    which stands for the byte in keys and holds its coins as bits. With a bitmap ``early`` walks start at all
+    places but the last 64, and those whose first ``glance`` steps aren't in it are dropped after them."""
+    if early is not None:
+        upper = [(coins[i : i + WALK + 64] >> np.uint64(32)).astype(np.uint32) for i in range(0, len(coins) - 64, WALK)]
+        starts = np.concatenate([np.zeros(0, np.int64), *(i * WALK + np.flatnonzero(early[_glance(part, sampled[:glance])]) for i, part in enumerate(upper))])
+    at, key = starts, np.zeros(len(starts), np.uint64)
+    for step, used in enumerate(sampled):
+        v = coins.take(at)
+        if used:
+            key *= MULTIPLIER
+            key ^= v
+        at = at + ((v >> np.uint64(32 + step)) & np.uint64(1)).view(np.int64)
+    return starts, key * MULTIPLIER
 
 
 def _grams(buffer: np.ndarray, q: int) -> np.ndarray:
@@ -136,13 +205,14 @@ def build_index(items: list[tuple[int, str]], similarity: float = 0.8, classes:
         if not mine:
             continue
         keys, whose, offsets, early = [], [], [], np.zeros((repeats, 1 << 20), bool)
+        glance = EARLY[sum(len(kept[n][1]) for n in mine) > 8192]
         for n in mine:
             b = kept[n][1]
             starts = np.arange(0, len(b) - steps // 2 + 1)
-            padded = np.frombuffer(b + bytes(steps + 1), np.uint8)
+            padded = np.frombuffer(b + bytes(64), np.uint8)
             keys.append(np.stack([walk(coins[r][padded], starts, sampled[r])[1] for r in range(repeats)]))
             for r in range(repeats):
-                early[r, (walk(coins[r][padded], starts, sampled[r, :EARLY])[1] * INVERSE >> np.uint64(44)).view(np.int64)] = True
+                early[r, _glance((coins[r] >> np.uint64(32)).astype(np.uint32)[padded], sampled[r, :glance])[starts]] = True
             whose.append(np.full(len(starts), n, np.int64))
             offsets.append(starts)
         k, w, o = np.concatenate(keys, axis=1), np.concatenate(whose), np.concatenate(offsets)
@@ -150,7 +220,7 @@ def build_index(items: list[tuple[int, str]], similarity: float = 0.8, classes:
         seen = np.zeros((repeats, 1 << 20), bool)
         for r in range(repeats):
             seen[r, (k[r] >> np.uint64(44)).astype(np.int64)] = True
-        out.append({"coins": coins, "sampled": sampled, "keys": np.take_along_axis(k, order, 1), "whose": w[order], "offsets": o[order], "seen": seen, "early": early})
+        out.append({"coins": coins, "sampled": sampled, "keys": np.take_along_axis(k, order, 1), "whose": w[order], "offsets": o[order], "seen": seen, "early": early, "glance": glance})
     grams = {}
     for n, (_, b) in enumerate(kept):
         if len(b) >= least:
@@ -168,10 +238,9 @@ def _spots(index: Index, buffer: np.ndarray, ends: np.ndarray, first: np.ndarray
     grams, out = [_grams(buffer, q) for q in SIZES], [np.zeros((0, 3), np.int64)]
     for lo in range(0, int(ends[-1]) if len(ends) else 0, BATCH):
         part, found = buffer[lo : lo + BATCH + 64], [np.zeros(0, np.int64)]
-        starts = np.arange(min(BATCH, int(ends[-1]) - lo))
         for c in index.classes:
             for r in range(len(c["coins"])):
-                begin, key = walk(c["coins"][r][part], starts, c["sampled"][r], c["early"][r])
+                begin, key = walk(c["coins"][r][part], None, c["sampled"][r], c["early"][r], c["glance"])
                 maybe = np.flatnonzero(c["seen"][r][(key >> np.uint64(44)).astype(np.int64)])
                 left = np.searchsorted(c["keys"][r], key[maybe], "left")
                 many = np.searchsorted(c["keys"][r], key[maybe], "right") - left
@@ -202,6 +271,20 @@ def _spots(index: Index, buffer: np.ndarray, ends: np.ndarray, first: np.ndarray
     return np.unique(np.concatenate(out), axis=0)
 
 
+def _regions(index: Index, spots: np.ndarray):
+    """(text, item, begin, until): parts of texts that hold all that an item may match from its places;
+    places less than two items apart share a part."""
+    if not len(spots):
+        return
+    size = np.array([len(b) for _, b in index.items], np.int64)[spots[:, 1]]
+    most = ((1 - index.similarity) * size + 1e-9).astype(np.int64)
+    begin = spots[:, 2] * NEAR - most
+    order = np.lexsort((begin, spots[:, 1], spots[:, 0]))
+    text, item, begin, until = (x[order] for x in (spots[:, 0], spots[:, 1], begin, begin + size + 2 * most + NEAR))
+    new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (begin[1:] > begin[:-1] + 2 * size[order][1:])])
+    yield from zip(text[new].tolist(), item[new].tolist(), begin[new].tolist(), np.maximum.reduceat(until, new).tolist(), strict=True)
+
+
 def find(index: Index, texts: list[bytes], spaced: list[bytes] | None = None) -> list[tuple[int, int, int]]:
     """(text's place, item's place, edit distance) of texts in which an item is found; ``spaced`` has the
     texts' words for items that are found as they are."""
@@ -209,17 +292,25 @@ def find(index: Index, texts: list[bytes], spaced: list[bytes] | None = None) ->
     ends = np.cumsum(lengths)
     buffer = np.frombuffer(b"".join(texts) + bytes(64), np.uint8)
     found: dict[tuple[int, int], int] = {}
-    for text, item, place in _spots(index, buffer, ends, ends - lengths).tolist():
-        now = found.get((text, item))
-        if now == 0:
-            continue
-        pattern = index.items[item][1]
-        most = int((1 - index.similarity) * len(pattern) + 1e-9)
-        begin = place * NEAR - most
-        part = texts[text][max(0, begin) : max(0, begin + len(pattern) + 2 * most + NEAR)]
-        d = 0 if pattern in part else edit_distance_inside(pattern, part)
-        if d <= most and (now is None or d < now):
-            found[text, item] = d
+    keys, pairs = [], []
+    for text, item, begin, until in _regions(index, _spots(index, buffer, ends, ends - lengths)):
+        part = texts[text][max(0, begin) : max(0, until)]
+        if index.items[item][1] in part:
+            found[text, item] = 0
+        else:
+            keys.append((text, item))
+            pairs.append((item, part))
+    # The edits of an item are no fewer than those of its first 64 bytes and of the next together.
+    items = [b for _, b in index.items]
+    allowed = np.array([int((1 - index.similarity) * len(items[i]) + 1e-9) for i, _ in pairs], np.int64)
+    left, least = np.arange(len(pairs)), np.zeros(len(pairs), np.int64)
+    for k in (0, 64):
+        some = [n for n in left.tolist() if len(items[pairs[n][0]]) > k]
+        least[some] += edit_distances_inside([b[k : k + 64] for b in items], [pairs[n] for n in some])
+        left = left[least[left] <= allowed[left]]
+    for n, d in zip(left.tolist(), edit_distances_inside(items, [pairs[n] for n in left]).tolist(), strict=True):
+        if d <= allowed[n]:
+            found[keys[n]] = min(d, found.get(keys[n], d))
     for item, words in index.exact:
         found.update({(t, item): 0 for t, w in enumerate(spaced or ()) if words in w})
     return [(t, i, d) for (t, i), d in found.items()]
@@ -277,7 +368,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, i
                     if known.exact:
                         spaced.append(_spaced(text))
                     held += len(texts[-1])
-                    if held >= BATCH:
+                    if held >= GROUP:
                         yield flush(ids, texts, spaced)
                         ids, texts, spaced, held = [], [], [], 0
             if ids:
