@@ -20,6 +20,7 @@ QUALITY_WEIGHTS = (
     ("R3", "identifier_signal", 0.10), ("R3", "semantic_ambiguity", 0.12), ("R3", "intent_explanation", 0.08), ("R3", "intent_procedural", 0.10), ("R3", "mixed_signal", 0.16), ("R3", "hop_signal", -0.08), ("R3", "sparse_confidence", 0.20), ("R3", "dense_confidence", 0.20),
     ("R4", "hop_signal", 0.26), ("R4", "comparison_signal", 0.24), ("R4", "temporal_signal", 0.12), ("R4", "intent_comparison", 0.10), ("R4", "query_length", 0.06), ("R4", "identifier_signal", -0.04), ("R4", "sparse_confidence", 0.12), ("R4", "dense_confidence", 0.12),
 )
+# Weights of scope and probe in the risk; depths; prices; thresholds of the evidence gate.
 RESTRICTED_WEIGHT, LOW_PROBE_WEIGHT, LOW_PROBE_REFERENCE, MIN_PROBE = 0.30, 0.45, 0.65, 0.12
 PROBE_K, CANDIDATE_K, RRF_K, RERANK_K, EVIDENCE_K, SUBQUERIES, SUBQUERY_K = 5, 10, 60, 8, 5, 3, 5
 USD_IN, USD_OUT = 3.0, 15.0
@@ -44,6 +45,7 @@ DOC_TYPES = (
     ("report", ("status", "milestone", "project", "quarter", "delivery", "roadmap", "budget burn")),
     ("finance", ("revenue", "margin", "forecast", "ebitda", "salary", "compensation", "budget", "financial")),
 )
+# What counts as a number, and as a date.
 NUMERIC = r"\b\d+(?:[.,]\d+)?\b"
 DATES = r"(?i)\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}|q[1-4]\s*\d{4}|\d{4})\b"
 # Words that carry no signal in a query's features.
@@ -52,4 +54,20 @@ FEATURE_STOPWORDS = "a an and are as at be been being but by can could do does d
 RERANK_STOPWORDS = "a an and are as at be by for from has have how in is it its of on or that the to was were what when where which who why will with would you your do does i my we our".split()
 # What a quantity is about.
 TOPICS = ("leave", "annual leave", "carry over", "carry-over", "carried over", "entitlement", "accrue", "notice", "approval", "respond", "abroad", "attendance", "on site", "deadline", "submitted", "timeout", "allowance")
+# First words that point at the turn before.
 LEADING_PRONOUNS = ("it", "that", "this", "they", "those", "these", "he", "she", "and", "what")
+# How queries are split: openers of two words and of one, words that a topic loses at its end and anywhere, signs of change, connectives.
+OPENERS_TWO = ("what is", "what are", "tell me", "can you", "could you")
+OPENERS_ONE = ("what's", "what", "how", "why", "when", "which", "who", "explain", "describe", "please")
+TOPIC_ENDS = ("the", "a", "an", "is", "are", "was", "were", "do", "does", "did", "between", "of", "for", "in", "on")
+CHANGE_WORDS = ("difference", "differences", "differ", "change", "changed", "compare", "comparison", "contrast")
+ARTICLES = ("the", "a", "an")
+VERSUS = r"(?i)\s+(?:versus|vs\.?|compared to|compared with|against|and how does)\s+"
+JOINED = r"(?i)\s*(?:;|\?|\band also\b|\band then\b|\bas well as\b)\s*"
+BETWEEN = r"(?is)\bbetween\s+(.+?)\s+and\s+(.+?)(?:\?|$)"
+# Tokens of search and of query features, headings, units of quantities, citations.
+TOKEN = r"[a-z0-9]+(?:[-_.][a-z0-9]+)*"
+WORD = r"[A-Za-z0-9][A-Za-z0-9\-_.']*"
+HEADING = r"^\s*(?:#{1,6}\s+\S.*|\d+(?:\.\d+)*\.?\s+[A-Z][^.!?]{0,58}|[A-Z][A-Z \-/&]{6,58})\s*$"
+UNITS = r"days?|working days?|calendar days?|weeks?|months?|years?|hours?|percent|%|per cent|basis points?|miles?|nights?"
+CITATION = r"\[([A-Za-z0-9][A-Za-z0-9\-_.]*::c\d+)\]"

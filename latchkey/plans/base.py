@@ -61,7 +61,7 @@ class Base:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return self._kept("chunks", lambda: I.chunks(self.table("documents").select("doc_id", "text")))
+        return self._kept("chunks", lambda: I.chunks(S0.texts(self.spark, self.dir)))
 
     @cached_property
     def per_doc(self) -> DataFrame:
@@ -124,7 +124,7 @@ class Base:
     @cached_property
     def features(self) -> DataFrame:
         def build() -> DataFrame:
-            q = R.text_features(self.queries.withColumn("history", F.lit(None).cast("string")))
+            q = R.text_features(self.queries)
             asked = self.queries.select("user_id").distinct()
             s = self.summary.join(asked, "user_id", "left_semi").select("user_id", "allowed_chunks", "restricted_fraction")
             return R.features(q.join(self.probe.drop("user_id"), "query_id").join(s, "user_id"))
@@ -198,7 +198,7 @@ class Base:
 
     @cached_property
     def sufficiency(self) -> DataFrame:
-        return self._kept("sufficiency", lambda: E.sufficiency(self.asks, self.packs, self.ask_features, self.today))
+        return self._kept("sufficiency", lambda: E.sufficiency(self.asks, self.packs, self.ask_features, self.today, self.scope))
 
     @cached_property
     def selected(self) -> DataFrame:
@@ -208,13 +208,21 @@ class Base:
 
         return self._kept("selected", build)
 
+    @cached_property
+    def claims(self) -> DataFrame:
+        return self._kept("claims", lambda: E.claims(self.chunks))
+
+    @cached_property
+    def drafts(self) -> DataFrame:
+        """(query_id, answer) with all conflicts disclosed, before citations are verified."""
+        return E.answer_text(self.selected, E.version_conflicts(self.packs, self.today), E.freshness_notes(self.packs, self.today), E.numeric_conflicts(self.packs, self.claims))
+
     @cached_property
     def answers(self) -> DataFrame:
         """(query_id, text, citations, stripped, abstained, failure_reason, cost) of every query and route."""
 
         def build() -> DataFrame:
-            drafts = E.answer_text(self.selected, E.version_conflicts(self.packs, self.today), E.freshness_notes(self.packs, self.today))
-            verified = E.verify_citations(drafts, self.packs)
+            verified = E.verify_citations(self.drafts, self.packs)
             read = self.packs.join(self.chunks.select("chunk_id", "text"), "chunk_id").groupBy("query_id").agg(F.sum(F.length("text")).alias("chars"))
             a = self.asks.select("query_id", "item_id", "route", "user_id", "query").join(self.sufficiency.select("query_id", "sufficient", "failure_reason"), "query_id").join(verified, "query_id", "left").join(read, "query_id", "left")
             a = a.join(E.clarifying_question(self.ask_features, self.packs), "query_id")

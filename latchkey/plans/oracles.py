@@ -19,7 +19,7 @@ def _marks(marks) -> str:
 
 
 def _list(words) -> str:
-    return "(" + ", ".join("'" + w + "'" for w in words) + ")"
+    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 
 
 TOKENS = r"regexp_extract_all(lower({}), '[a-z0-9]+(?:[-_.][a-z0-9]+)*')"
@@ -61,14 +61,24 @@ type_roles(doc_type, role) as (values ('policy','employee'),('policy','hr'),('po
 doc_roles as (select doc_id, role from meta join type_roles using (doc_type)),
 seg_roles(seg, role) as (values ('HOUSEHOLD','hr'),('MACHINERY','engineering'),('FURNITURE','manager'),('BUILDING','finance')),
 user_roles as (select c_custkey as user_id, 'employee' as role from customer where c_custkey % 50 <> 0 union all select c_custkey, role from customer join seg_roles on seg = c_mktsegment where c_custkey % 50 <> 0),
-qs as (select item_id as query_id, array_to_string(regexp_split_to_array(text, '\s+')[1:12], ' ') as query, 1 + (item_id * 17) % 150 as user_id, text as passage, item_id % 3 = 0 as freshness_sensitive from benchmark),
+qs0 as (select item_id as query_id, regexp_split_to_array(text, '\s+') as w, 1 + (item_id * 17) % 150 as user_id, text as passage, item_id % 3 = 0 as freshness_sensitive from benchmark),
+qs1 as (select *, case query_id % 5 when 1 then 'difference between ' || array_to_string(w[1:5], ' ') || ' and ' || array_to_string(w[6:10], ' ') when 2 then array_to_string(w[1:5], ' ') || ' versus ' || array_to_string(w[6:10], ' ')
+    when 3 then array_to_string(w[1:6], ' ') || '; ' || array_to_string(w[7:12], ' ') when 4 then 'what about ' || array_to_string(w[7:9], ' ') else array_to_string(w[1:12], ' ') end as asked, case when query_id % 5 = 4 then array_to_string(w[1:6], ' ') end as history from qs0),
+qs2 as (select *, trim(regexp_replace(asked, '\s+', ' ', 'g')) as q, TOKENS_OF_ASKED as t from qs1),
+qs as materialized (select query_id, case when history is not null and len(t) <= 8 and coalesce(t[1] in PRONOUNS, false) then trim(trim(history) || ' ' || q) else q end as query, asked, history, user_id, passage, freshness_sensitive from qs2),
 scope as materialized (select distinct user_id, doc_id from user_roles join doc_roles using (role) where user_id in (select user_id from qs))"""
 
-CHUNKS = r"""
-body as (select doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') as b from documents),
-wins as (select doc_id, i, case when length(b) <= 1440 then b else substr(b, 1 + i * 750, 900) end as w from body, unnest(case when length(b) <= 1440 then [0] else range(0, (length(b) - 1) // 750 + 1) end) as t(i)),
-chunks as materialized (select printf('%d::c%03d', doc_id, row_number() over (partition by doc_id order by i) - 1) as chunk_id, doc_id, (row_number() over (partition by doc_id order by i) - 1)::int as ordinal, null::varchar as heading,
-    regexp_replace(w, '^\s+|\s+$', '', 'g') as text from wins where regexp_replace(w, '^\s+|\s+$', '', 'g') <> '')"""
+META = META.replace("TOKENS_OF_ASKED", TOKENS.format(r"trim(regexp_replace(asked, '\s+', ' ', 'g'))")).replace("PRONOUNS", _list(P.LEADING_PRONOUNS))
+
+CHUNKS = rf"""
+texts as (select doc_id, case doc_id % 3 when 0 then '# Part ' || doc_id || chr(10) || text || chr(10) || '2. Terms of notice' || chr(10) || 'The notice period is ' || (10 + doc_id % 4) || ' days.' when 1 then text || chr(10) || 'An allowance of ' || (5 + doc_id % 5) || ' percent applies.' else text end as text from documents),
+sc0 as (select doc_id, i, ls[i] as line, regexp_matches(ls[i], '{P.HEADING}') and trim(ls[i]) <> '' as h from (select doc_id, string_split(text, chr(10)) as ls from texts), unnest(range(1, len(ls) + 1)) t(i)),
+sc1 as (select *, sum(h::int) over (partition by doc_id order by i) as s from sc0),
+sc2 as (select doc_id, s, max(case when h then trim(regexp_replace(line, '^\s*#{{1,6}}\s+', '')) end) as heading, regexp_replace(coalesce(string_agg(case when not h then line end, chr(10) order by i), ''), '^\s+|\s+$', '', 'g') as b, min(s) over (partition by doc_id) as s0 from sc1 group by doc_id, s),
+body as materialized (select doc_id, (s - s0)::bigint as section, heading, b from sc2 where b <> '' union all select doc_id, 0, null, regexp_replace(text, '^\s+|\s+$', '', 'g') from texts where doc_id not in (select doc_id from sc2 where b <> '')),
+wins as (select doc_id, section, heading, i, case when length(b) <= 1440 then b else substr(b, 1 + i * 750, 900) end as w from body, unnest(case when length(b) <= 1440 then [0] else range(0, (length(b) - 1) // 750 + 1) end) as t(i)),
+chunks as materialized (select printf('%d::c%03d', doc_id, ordinal) as chunk_id, * from (select doc_id, (row_number() over (partition by doc_id order by section, i) - 1)::int as ordinal, heading,
+    regexp_replace(case when heading is null then w else heading || chr(10) || chr(10) || w end, '^\s+|\s+$', '', 'g') as text from wins where regexp_replace(w, '^\s+|\s+$', '', 'g') <> ''))"""
 
 POST = rf"""
 toks as (select chunk_id, doc_id, {TOKENS.format('text')} as t from chunks),
@@ -113,7 +123,7 @@ summary as materialized (select user_id, sum(case when list_has_any(uset, dset)
     round(case when sum(chunks) > 0 then sum(case when list_has_any(uset, dset) then 0 else chunks end)::double / sum(chunks) else 0.0 end, 6) as restricted_fraction from user_sets, doc_groups group by user_id)"""
 
 FEATURES = (
-    "qf as (select query_id as id, query, null::varchar as history from qs),"
+    "qf as (select query_id as id, query, history from qs),"
     + text_features("qf")
     + r""",
 ff0 as (select fh.*, p.* exclude (query_id), allowed_chunks, restricted_fraction, fh.id as query_id from fh join probe p on p.query_id = fh.id join summary using (user_id)),
@@ -146,10 +156,37 @@ dec as materialized (select query_id, max(case when n = 1 then route end) as rou
 decision as materialized (select query_id, route, coalesce(nx0, 'R0') as fallback, case when nok0 = 1 then round(greatest(0.0, least(1.0, 0.5 + 2.0 * (utility - nu0))), 3) else 1.0 end as confidence, utility, rejected from dec)"""
 
 
-CANDS = r"""
+def _topic(text: str) -> str:
+    """What a part of a query is about; lists of one carry values on."""
+    start = f"case when lower(array_to_string(w[1:2], ' ')) in {_list(P.OPENERS_TWO)} then 3 when lower(w[1]) in {_list(P.OPENERS_ONE)} then 2 else 1 end"
+    rest = f"list_transform([string_split(trim(regexp_replace({text}, '\\s+', ' ', 'g')), ' ')], lambda w: w[{start}:])"
+    whole = f"list_transform({rest}, lambda w: case when len(w) > 0 and lower(w[len(w)]) in {_list(P.TOPIC_ENDS)} then w[1:len(w) - 1] else w end)"
+    return f"list_transform({whole}, lambda w: trim(array_to_string(list_filter(w, lambda v: lower(v) not in {_list(P.CHANGE_WORDS + P.ARTICLES)}), ' '), ' ,.?'))[1]"
+
+
+_ABOUT = "(case when {0} <> '' then {0} || ' ' || trim({1}) else trim({1}) end)"
+SUBS = rf"""
+dq0 as (select query_id, user_id, trim(regexp_replace(query, '\s+', ' ', 'g')) as q from qs),
+dq1 as (select *, {_topic(r"regexp_replace(q, '(?is)\bbetween\s.*$', '')")} as frame, {_topic('q')} as whole, regexp_split_to_array(q, '{P.VERSUS}') as sides, list_filter(list_transform(regexp_split_to_array(q, '{P.JOINED}'), lambda x: trim(x)), lambda x: x <> '') as parts from dq0),
+dq2 as (select *, {_topic('sides[1]')} as side from dq1),
+dq3 as (select query_id, user_id, q, case when regexp_matches(q, '{P.BETWEEN}') then [{_ABOUT.format('frame', f"regexp_extract(q, '{P.BETWEEN}', 1)")}, {_ABOUT.format('frame', f"regexp_extract(q, '{P.BETWEEN}', 2)")}]
+    when len(sides) > 1 then list_transform(sides, lambda s, i: case when i = 1 then trim(s) else {_ABOUT.format('side', 's')} end)
+    when regexp_matches(q, '(?i)\b(?:{'|'.join(P.CHANGE_WORDS)})\b') and whole <> '' then ['current ' || whole, 'previous ' || whole] when len(parts) > 1 then parts else [] end as found from dq2),
+dq4 as (select query_id, user_id, [q] || list_filter(list_transform(found, lambda c: trim(trim(regexp_replace(c, '\s+', ' ', 'g')), ' ,.?')), lambda c: len(string_split(c, ' ')) >= 2) as said from dq3 where q <> ''),
+dq5 as (select query_id, user_id, list_filter(said, lambda c, i: list_position(list_transform(said, lambda x: lower(x)), lower(c)) = i)[1:3] as subs from dq4),
+subq as materialized (select query_id, user_id, i - 1 as sub_no, subs[i] as query from dq5, unnest(range(1, len(subs) + 1)) t(i))"""
+
+CANDS = SUBS + rf""",
 lists as (select query_id, user_id, chunk_id, doc_id, rank from sparse union all select query_id, user_id, chunk_id, doc_id, rank from dense),
 r3 as (select query_id, user_id, chunk_id, doc_id, round(sum(1.0 / (60 + rank)), 9) as score from lists group by all),
-r4 as (select query_id, user_id, chunk_id, doc_id, round(sum(1.0 / (60 + rank)), 9) as score from lists where rank <= 5 group by all),
+bt as materialized (select query_id, user_id, sub_no, term, count(*) as qtf from (select query_id, user_id, sub_no, unnest({TOKENS.format('query')}) as term from subq) group by all),
+bs as (select query_id, user_id, sub_no, chunk_id, doc_id, round(sum(idf * qtf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score
+    from bt join post using (term) join idf using (term) join scope using (user_id, doc_id) cross join size group by all having score > 0),
+bw as (select query_id, user_id, sub_no, term, (1 + ln(qtf)) * idf as w from bt join tidf using (term)),
+bq as (select query_id, user_id, sub_no, term, w / greatest(sqrt(sum(w * w) over (partition by query_id, sub_no)), 1e-9) as qw from bw),
+bd as (select query_id, user_id, sub_no, chunk_id, doc_id, round(sum(qw * weight), 6) as score from bq join vec using (term) join scope using (user_id, doc_id) group by all),
+br as materialized (select * from (select *, row_number() over (partition by query_id, sub_no, kind order by score desc, chunk_id) as rank from (select *, 's' as kind from bs union all select *, 'd' as kind from bd)) where rank <= 5),
+r4 as (select query_id, user_id, chunk_id, doc_id, round(sum(pow(0.75, sub_no) / (60 + rank)), 9) as score from br group by all),
 fused as (select * from (select query_id, user_id, 'R3' as route, chunk_id, doc_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from r3) where rank <= 10
     union all select * from (select query_id, user_id, 'R4' as route, chunk_id, doc_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from r4) where rank <= 10),
 cand as materialized (select query_id, user_id, 'R1' as route, chunk_id, doc_id, normalised as score, rank from sparse union all select query_id, user_id, 'R2', chunk_id, doc_id, greatest(0.0, score), rank from dense union all select * from fused)"""
@@ -159,15 +196,17 @@ rq as materialized (select query_id, lower(query) as ql, list_filter({TOKENS.for
 rw as (select query_id, term, coalesce(idf, ln(1.0 + n) + 1) as w from (select query_id, unnest(list_distinct(terms)) as term from rq) left join tidf using (term) cross join size),
 rc as materialized (select distinct query_id, chunk_id from cand),
 rp as (select query_id, chunk_id, coalesce(sum(w * tf / (tf + 0.35)), 0.0) as matched, sum(w) as total, count(tf) as hits, count(*) as n from rc join rw using (query_id) left join post using (chunk_id, term) group by all),
-rb as (select query_id, chunk_id, ql, terms, lower(text) as tl, len({TOKENS.format('text')}) as dl, list_filter(list_transform(range(1, len(terms)), lambda i: case when length(terms[i]) + length(terms[i + 1]) > 6 then terms[i] || ' ' || terms[i + 1] end), lambda x: x is not null) as bg
+rb as (select query_id, chunk_id, ql, terms, case when heading is null then 0.0 else len(list_intersect(list_distinct(HEADING_TOKENS), list_distinct(terms)))::double / greatest(len(list_distinct(terms)), 1) end as hs, lower(text) as tl, len({TOKENS.format('text')}) as dl, list_filter(list_transform(range(1, len(terms)), lambda i: case when length(terms[i]) + length(terms[i + 1]) > 6 then terms[i] || ' ' || terms[i + 1] end), lambda x: x is not null) as bg
     from rc join rq using (query_id) join chunks using (chunk_id)),
-rs as (select query_id, chunk_id, terms, dl, case when length(ql) > 12 and contains(tl, ql) then 1.0 else least(1.0, (case when len(bg) > 0 then len(list_filter(bg, lambda x: contains(tl, x)))::double / len(bg) else 0.0 end)
+rs as (select query_id, chunk_id, terms, dl, hs, case when length(ql) > 12 and contains(tl, ql) then 1.0 else least(1.0, (case when len(bg) > 0 then len(list_filter(bg, lambda x: contains(tl, x)))::double / len(bg) else 0.0 end)
     + (case when len(list_filter(terms, lambda t: length(t) >= 4 and regexp_matches(t, '[0-9]') and regexp_matches(t, '[a-z]') and not regexp_matches(t, '^(19|20)[0-9]{{2}}$') and contains(tl, t))) > 0 then 0.6 else 0.0 end)) end as phrase from rb),
-scored as materialized (select query_id, chunk_id, round(coalesce(matched / total, 0.0), 4) as overlap, round(phrase::double, 4) as phrase, 0.0::double as heading_score, round(coalesce(hits::double / n, 0.0), 4) as coverage,
-    round(least(1.0, case when len(terms) = 0 then 0.0 else (0.40 * coalesce(matched / total, 0.0) + 0.18 * phrase + 0.32 * coalesce(hits::double / n, 0.0)) / (1.0 + greatest(0.0, (greatest(dl, 1) - 220) / 900.0)) end)::double, 6) as score from rs left join rp using (query_id, chunk_id)),
+scored as materialized (select query_id, chunk_id, round(coalesce(matched / total, 0.0), 4) as overlap, round(phrase::double, 4) as phrase, round(hs::double, 4) as heading_score, round(coalesce(hits::double / n, 0.0), 4) as coverage,
+    round(least(1.0, case when len(terms) = 0 then 0.0 else (0.40 * coalesce(matched / total, 0.0) + 0.18 * phrase + 0.10 * hs + 0.32 * coalesce(hits::double / n, 0.0)) / (1.0 + greatest(0.0, (greatest(dl, 1) - 220) / 900.0)) end)::double, 6) as score from rs left join rp using (query_id, chunk_id)),
 rr as materialized (select * from (select query_id, user_id, route, chunk_id, doc_id, overlap, phrase, heading_score, coverage, s.score, row_number() over (partition by query_id, route order by s.score desc, chunk_id) as rank
     from cand join scored s using (query_id, chunk_id)) where rank <= 8)"""
 
+RERANK = RERANK.replace("HEADING_TOKENS", TOKENS.format("heading"))
+
 PACK = rf"""
 pk0 as (select rr.query_id, rr.user_id, route, chunk_id, rr.doc_id, m.* exclude (doc_id, lang, source, supersedes, created_date), freshness_sensitive,
     case when freshness_sensitive then round(least(1.0, score * (case when superseded_by is not null then 0.55 else 1.0 end) * (case when effective_date > {TODAY} then 0.55 else 1.0 end) * (0.9 + 0.05 * (authority_score - 1)))::double, 6) else score end as score
@@ -175,10 +214,11 @@ pk0 as (select rr.query_id, rr.user_id, route, chunk_id, rr.doc_id, m.* exclude
 pk1 as (select * from pk0 a where freshness_sensitive or not exists (select 1 from pk0 b where b.query_id = a.query_id and b.route = a.route and b.doc_id = a.superseded_by)),
 pack as materialized (select * from (select *, row_number() over (partition by query_id, route order by score desc, chunk_id) as position from pk1) where position <= 5),
 ask as (select query_id, user_id, query, freshness_sensitive, route from qs, (values ('R0'), ('R1'), ('R2'), ('R3'), ('R4')) r(route)),
-sf0 as (select query_id, route, count(*) as chunks, count(distinct doc_id) as documents, max(score) as top, avg(score) as mean, max(case when doc_type = 'policy' then authority_score end) as authority,
+sf0 as (select query_id, route, count(*) as chunks, count(distinct doc_id) as documents, max(score) as top, sum(round(score * 1e6)::bigint)::bigint / (count(*) * 1e6) as mean, max(case when doc_type = 'policy' then authority_score end) as authority,
     bool_or(position = 1 and superseded_by is null and effective_date <= {TODAY}) as cur from pack group by all),
-suff as materialized (select query_id, route, failure_reason is null as sufficient, failure_reason, coalesce(chunks, 0) as chunks, coalesce(documents, 0) as documents, round(top, 4) as top_score, round(mean, 4) as mean_score, fresh from (
-    select ask.query_id, ask.route, chunks, documents, top, mean, (not freshness_required) or coalesce(cur, false) as fresh,
+suff as materialized (select query_id, route, failure_reason is null as sufficient, failure_reason, coalesce(chunks, 0) as chunks, coalesce(documents, 0) as documents, round(top + 1e-9, 4) as top_score, round(mean + 1e-9, 4) as mean_score, fresh, failing from (
+    select ask.query_id, ask.route, chunks, documents, top, mean, array_to_string(list_filter([case when chunks is null then 'evidence' end, case when top < 0.10 or mean < 0.09 then 'relevance' end, case when intent in ('comparison', 'summarisation') and documents < 2 then 'diversity' end, case when authority < 3 then 'authority' end,
+      case when query_length_tokens <= 4 and semantic_ambiguity >= 0.6 and top < 0.2 then 'clarity' end, case when freshness_required and not coalesce(cur, false) then 'freshness' end], lambda x: x is not null), ',') as failing, (not freshness_required) or coalesce(cur, false) as fresh,
     case when chunks is null then 'no_authorised_evidence' when top < 0.10 or mean < 0.09 then 'low_relevance' when chunks < 1 then 'insufficient_evidence' when intent in ('comparison', 'summarisation') and documents < 2 then 'insufficient_diversity'
       when authority < 3 then 'low_authority' when query_length_tokens <= 4 and semantic_ambiguity >= 0.6 and top < 0.2 then 'ambiguous_needs_clarification' end as failure_reason
     from ask join feat using (query_id) left join sf0 on sf0.query_id = ask.query_id and sf0.route = ask.route))"""
@@ -203,7 +243,11 @@ vc as materialized (select query_id, route, policy_family, count(distinct doc_id
 nt as materialized (select query_id, route, string_agg('- ' || note, chr(10) order by position) as notes from (select query_id, route, position, case when superseded_by is not null then '''' || title || ''' v' || version || ' has been superseded by ' || superseded_by
     when effective_date > {TODAY} then '''' || title || ''' v' || version || ' takes effect ' || effective_date end as note from pack) where note is not null group by all),
 bod as (select query_id, route, string_agg('- ' || sentence || ' [' || chunk_id || ']', chr(10) order by chunk_rank, place) as body from sel group by all),
-cf as (select query_id, route, string_agg('- several versions: ' || versions, chr(10) order by '- several versions: ' || versions) as disclosed from vc group by all),
+CLAIMS,
+nc as materialized (select query_id, route, policy_family, topic, unit, array_to_string(list_transform(list_sort(list(distinct value)), lambda v: v::varchar), ',') as values_stated, array_to_string(list_sort(list(distinct chunk_id)), ',') as chunk_ids from (select query_id, route, policy_family, chunk_id from pack) join claim using (chunk_id)
+    group by all having count(distinct value) > 1 and count(distinct doc_id) > 1),
+cf as (select query_id, route, string_agg('- ' || line, chr(10) order by line) as disclosed from (select query_id, route, 'several versions: ' || versions as line from vc union all
+    select query_id, route, 'different values for ' || topic || ' in ' || unit || ': ' || replace(regexp_replace(values_stated, '\\.0(,|$)', '\\1', 'g'), ',', ' and ') from nc) group by all),
 draft as materialized (select query_id, route, body || (case when disclosed is not null then chr(10) || chr(10) || '**Conflicting sources**' || chr(10) || disclosed else '' end) || (case when notes is not null then chr(10) || chr(10) || '**Freshness notes**' || chr(10) || notes else '' end) as answer
     from bod left join cf using (query_id, route) left join nt using (query_id, route)),
 cited as materialized (select query_id, route, chunk_id, min(chunk_rank * 10000 + place) as first from sel group by all),
@@ -214,6 +258,15 @@ fin as materialized (select ask.query_id, ask.route, ask.user_id, (ask.route = '
 ans as materialized (select query_id, route, user_id, abstained, failure_reason, case when abstained then '' else coalesce((select string_agg(chunk_id, ',' order by first) from cited c where c.query_id = fin.query_id and c.route = fin.route), '') end as citations,
     case when abstained then 0.0 else round((greatest(1, floor((coalesce(chars, 0) + length(query)) / 4)) * 3.0 + greatest(1, floor(length(text) / 4)) * 15.0) / 1e6, 6) end as cost, text from fin)"""
 
+_QUANTITY = rf"(?i)(\d+(?:\.\d+)?)\s*({P.UNITS})(?:$|[^A-Za-z0-9_])"
+CLAIMS = (
+    "cs0 as (select chunk_id, doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.;:!?])\\s+', '\\1' || chr(1), 'g'), '\\n', chr(1), 'g'), chr(1))) as s from chunks),"
+    "cs1 as (select chunk_id, doc_id, s, case " + " ".join(f"when contains(lower(s), '{t}') then '{t}'" for t in sorted(P.TOPICS, key=lambda t: -len(t))) + " end as topic from cs0),"
+    f"cs2 as (select chunk_id, doc_id, topic, unnest(regexp_extract_all(s, '{_QUANTITY}', 1)) as v, unnest(regexp_extract_all(s, '{_QUANTITY}', 2)) as u from cs1 where topic is not null),"
+    "claim as materialized (select chunk_id, doc_id, topic, case when u in ('%', 'per cent') then 'percent' else regexp_replace(u, 's+$', '') end as unit, v::double as value from (select chunk_id, doc_id, topic, v, regexp_replace(lower(trim(u)), '^(working|calendar)\\s+', '') as u from cs2))"
+)
+ANSWER = ANSWER.replace("CLAIMS", CLAIMS)
+
 GOLD = r"""
 holder as materialized (select query_id, doc_id, user_id from qs, documents d where contains(d.text, qs.passage)),
 gold as materialized (select query_id, doc_id from holder join scope using (user_id, doc_id)),

@@ -135,14 +135,14 @@ def role_list(b):
     return b.user_roles.select("role").unionByName(b.doc_roles.select("role")).distinct()
 
 
-@query(O.upto("ANSWER", "select doc_id, t.chunk_id, length(text) as length from chunks t where doc_id % 2 = 0").replace("length(text) as length", "length(t.text)::int as length"))
+@query(O.upto("ANSWER", "select doc_id, t.chunk_id, t.heading, length(t.text)::int as length from chunks t"))
 def chunk_assign(b):
-    return b.chunks.where("doc_id % 2 = 0").select("doc_id", "chunk_id", F.length("text").alias("length"))
+    return b.chunks.select("doc_id", "chunk_id", "heading", F.length("text").alias("length"))
 
 
-@query("with " + O.META + "," + O.CHUNKS + r" select doc_id, 0::bigint as section, b as body from body where b <> ''")
+@query("with " + O.META + "," + O.CHUNKS + r" select doc_id, section, heading, b as body from body where b <> ''")
 def section_split(b):
-    return I.sections(b.table("documents").select("doc_id", "text")).where("body <> ''").select("doc_id", "section", "body")
+    return I.sections(S0.texts(b.spark, b.dir)).where("body <> ''").select("doc_id", "section", "heading", "body")
 
 
 @query()
@@ -151,10 +151,10 @@ def paragraph_pack(b):
     return d.select("doc_id", F.posexplode(I.packed(F.col("body"))).alias("part", "piece"))
 
 
-@query("with " + O.META + "," + O.CHUNKS + r" select doc_id, i::int as part, w as piece from wins where regexp_replace(w, '^\s+|\s+$', '', 'g') <> ''")
+@query("with " + O.META + "," + O.CHUNKS + r" select doc_id, section, i::int as part, w as piece from wins where regexp_replace(w, '^\s+|\s+$', '', 'g') <> ''")
 def hard_split(b):
-    d = b.table("documents").select("doc_id", T.strip("text").alias("body")).select("doc_id", F.posexplode(F.transform(I.windows(F.col("body")), lambda w: w)).alias("part", "piece"))
-    return d
+    cut = I.sections(S0.texts(b.spark, b.dir))
+    return cut.select("doc_id", "section", F.posexplode(I.windows(F.col("body"))).alias("part", "piece"))
 
 
 @query("with " + O.META + " select doc_id, superseded_by from meta")
@@ -197,10 +197,15 @@ def acl_assert(b):
     return G.assert_allowed(b.sparse, b.scope, "sparse").groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"))
 
 
-@query(O.upto("CHUNKS", "select distinct user_id, chunk_id from scope join chunks using (doc_id) where ordinal = 0 and doc_id % 10 = 0"))
+_ASKED = "asked as (select distinct qv.user_id, vec.chunk_id from qv join vec using (term) union select user_id, 'gone::c' || query_id from qs)"
+
+
+@query(O.upto("SEARCH", "select a.user_id, a.chunk_id, c.ordinal from asked a join chunks c using (chunk_id) join scope using (user_id, doc_id)").replace("\nselect a.user_id", ", " + _ASKED + "\nselect a.user_id"))
 def acl_resolve(b):
-    asked = b.chunks.where("ordinal = 0 and doc_id % 10 = 0")
-    return b.scope.join(asked, "doc_id").select("user_id", "chunk_id")
+    """The ids of all chunks that a query's words are in, and one that is not there, asked for by the query's user."""
+    found = S.query_terms(b.queries).join(b.vectors, "term").select("user_id", "chunk_id")
+    asked = found.unionByName(b.queries.select("user_id", F.concat(F.lit("gone::c"), "query_id").alias("chunk_id"))).distinct()
+    return G.allowed(asked.join(b.chunks.select("chunk_id", "doc_id", "ordinal"), "chunk_id"), b.scope).select("user_id", "chunk_id", "ordinal")
 
 
 _FRESH = "(case when superseded_by is not null then 0.55 else 1.0 end) * (case when effective_date > date '2026-08-19' then 0.55 else 1.0 end)"
@@ -290,7 +295,7 @@ def query_normalise(b):
     return b.turns.select("turn_id", R.normalise_query(F.col("query"), F.col("history")).alias("query"))
 
 
-@query()
+@query(O.upto("CANDS", "select query_id, sub_no::int as sub_no, query from subq"))
 def query_decompose(b):
     return b.subqueries.select("query_id", "sub_no", "query")
 
@@ -316,13 +321,20 @@ def _route(name: str, route: str):
         return b.candidates.where(F.col("route") == route).select("query_id", "chunk_id", "score", "rank")
 
     run.__name__ = name
-    query(O.upto("CANDS", f"select query_id, chunk_id, score, rank::int as rank from cand where route = '{route}'") if route != "R4" else None)(run)
+    query(O.upto("CANDS", f"select query_id, chunk_id, score, rank::int as rank from cand where route = '{route}'"))(run)
 
 
-for _n, _r in (("route_sparse", "R1"), ("route_dense", "R2"), ("route_hybrid", "R3"), ("route_iterative", "R4")):
+for _n, _r in (("route_sparse", "R1"), ("route_dense", "R2"), ("route_hybrid", "R3")):
     _route(_n, _r)
 
 
+@query(O.upto("CANDS", "select c.query_id, c.chunk_id, c.score, c.rank::int as rank, f.sub_no::int as sub_no, f.query as subquery from cand c join (select query_id, chunk_id, min(sub_no) as sub_no from br group by all) m using (query_id, chunk_id) join subq f on f.query_id = m.query_id and f.sub_no = m.sub_no where route = 'R4'"))
+def route_iterative(b):
+    """Each chunk with the first sub-query that found it."""
+    first = b.iterative.groupBy("query_id", "chunk_id").agg(F.min("sub_no").alias("sub_no")).join(b.subqueries.select("query_id", "sub_no", F.col("query").alias("subquery")), ["query_id", "sub_no"])
+    return b.candidates.where("route = 'R4'").join(first, ["query_id", "chunk_id"]).select("query_id", "chunk_id", "score", "rank", "sub_no", "subquery")
+
+
 @query(O.upto("CANDS", "select query_id, chunk_id, score from r3"))
 def rrf(b):
     cols = ("query_id", "user_id", "chunk_id", "doc_id", "rank")
@@ -466,14 +478,17 @@ def router_fixed(b):
 # Evidence and answers.
 
 
-@query(O.upto("PACK", "select query_id, route, chunk_id, position::int as position, round(score, 4) as served_score, title, version from pack"))
+@query(O.upto("PACK", "select query_id, route, chunk_id, position::int as position, round(score + 1e-9, 4) as served_score, title, version from pack"))
 def evidence_pack(b):
     return _split(b.packs).select("query_id", "route", "chunk_id", "position", "served_score", "title", "version")
 
 
-@query(O.upto("PACK", "select query_id, route, sufficient, failure_reason, chunks, documents, top_score, mean_score, fresh from suff"))
+@query(O.upto("PACK", "select query_id, route, sufficient, failure_reason, chunks, documents, top_score, mean_score, fresh, failing from suff"))
 def sufficiency(b):
-    return _split(b.sufficiency)
+    """With the names of all checks that fail."""
+    names = ("acl", "evidence", "relevance", "count", "diversity", "authority", "clarity", "freshness")
+    failing = F.array_join(F.filter(F.array(*(F.when(~F.col(f"checks.{n}"), n) for n in names)), lambda x: x.isNotNull()), ",")
+    return _split(b.sufficiency.withColumn("failing", failing).drop("checks"))
 
 
 @query(O.upto("PACK", "select query_id, ask.route, case when t is null then 'Please name the document, topic or period that you mean.' else 'Which of these do you mean: ' || array_to_string(t[1:3], '; ') || '?' end as question from ask left join (select query_id, route, list_sort(list(distinct title)) as t from pack group by all) p using (query_id, route)"))
@@ -486,22 +501,14 @@ def version_conflicts(b):
     return _split(E.version_conflicts(b.packs, b.today))
 
 
-_QUANTITY = rf"(?i)(\d+(?:\.\d+)?)\s*({E.UNITS})(?:$|[^A-Za-z0-9_])"
-_CLAIMS = (
-    "cs0 as (select chunk_id, doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.;:!?])\\s+', '\\1' || chr(1), 'g'), '\\n', chr(1), 'g'), chr(1))) as s from chunks),"
-    "cs1 as (select chunk_id, doc_id, s, case " + " ".join(f"when contains(lower(s), '{t}') then '{t}'" for t in sorted(P.TOPICS, key=lambda t: -len(t))) + " end as topic from cs0),"
-    f"cs2 as (select chunk_id, doc_id, topic, unnest(regexp_extract_all(s, '{_QUANTITY}', 1)) as v, unnest(regexp_extract_all(s, '{_QUANTITY}', 2)) as u from cs1 where topic is not null)"
-)
-
-
-@query("with " + O.META + "," + O.CHUNKS + "," + _CLAIMS + " select chunk_id, topic, case when u in ('%', 'per cent') then 'percent' else regexp_replace(u, 's+$', '') end as unit, v::double as value from (select chunk_id, topic, v, regexp_replace(lower(trim(u)), '^(working|calendar)\\s+', '') as u from cs2)")
+@query("with " + O.META + "," + O.CHUNKS + "," + O.CLAIMS + " select chunk_id, topic, unit, value from claim")
 def extract_claims(b):
-    return E.claims(b.chunks).select("chunk_id", "topic", "unit", "value")
+    return b.claims.select("chunk_id", "topic", "unit", "value")
 
 
-@query()
+@query(O.upto("ANSWER", "select * from nc"))
 def numeric_conflicts(b):
-    return _split(E.numeric_conflicts(b.packs, E.claims(b.chunks)))
+    return _split(E.numeric_conflicts(b.packs, b.claims))
 
 
 @query(O.upto("ANSWER", "select query_id, route, chunk_id, place::int as place, sentence from ss1"))
@@ -528,13 +535,12 @@ def select_sentences(b):
 
 @query(O.upto("ANSWER", "select query_id, route, answer from draft"))
 def answer_text(b):
-    return _split(E.answer_text(b.selected, E.version_conflicts(b.packs, b.today), E.freshness_notes(b.packs, b.today)))
+    return _split(b.drafts)
 
 
 @query(O.upto("ANSWER", "select query_id, route, regexp_replace(regexp_replace(regexp_replace(answer, '[ \\t]{2,}', ' ', 'g'), '\\s+([.,;:])', '\\1', 'g'), '^\\s+|\\s+$', '', 'g') as text, (select string_agg(chunk_id, ',' order by first) from cited c where c.query_id = draft.query_id and c.route = draft.route) as citations, 'zz::c999' as stripped from draft"))
 def verify_citations(b):
-    d = E.answer_text(b.selected, E.version_conflicts(b.packs, b.today), E.freshness_notes(b.packs, b.today))
-    invented = d.withColumn("answer", F.concat("answer", F.lit(" [zz::c999]")))
+    invented = b.drafts.withColumn("answer", F.concat("answer", F.lit(" [zz::c999]")))
     return _split(E.verify_citations(invented, b.packs))
 
 
@@ -646,7 +652,7 @@ def route_agreement(b):
     return b.eval_rows.groupBy("system").agg(F.round(F.avg((F.col("route") == F.col("expected_route")).cast("double")), 4).alias("agreement"))
 
 
-@query()
+@query(O.upto("EVAL", "select system, query_id as item_id, route from sys"))
 def six_systems(b):
     return b.systems
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from latchkey.operators.routing import normalise_query
+
 REFERENCE_DATE = "2026-08-19"
 # Who may read what.
 TYPE_ROLES = (("policy", "employee"), ("policy", "hr"), ("policy", "manager"), ("runbook", "engineering"), ("report", "employee"), ("report", "engineering"), ("report", "manager"), ("finance", "finance"), ("wiki", "employee"))
@@ -57,12 +59,30 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text) of all documents: whole texts, in every third one with headings and terms of notice,
+    in another third with an allowance, so that sections and stated quantities occur."""
+    n, line = F.col("doc_id"), "\n"
+    headed = F.concat(F.lit("# Part "), n, F.lit(line), "text", F.lit(line + "2. Terms of notice" + line + "The notice period is "), 10 + n % 4, F.lit(" days."))
+    allowed = F.concat("text", F.lit(line + "An allowance of "), 5 + n % 5, F.lit(" percent applies."))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(n % 3 == 0, headed).when(n % 3 == 1, allowed).otherwise(F.col("text")).alias("text"))
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled queries: the first words of benchmark passages, asked by one of 150 users."""
-    return table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"),
-        F.array_join(F.slice(F.split("text", r"\s+"), 1, 12), " ").alias("query"),
-        (1 + F.col("item_id") * 17 % 150).alias("user_id"),
-        F.col("text").alias("passage"),
-        (F.col("item_id") % 3 == 0).alias("freshness_sensitive"),
+    """Labelled queries about benchmark passages, in words of these, asked by one of 150 users: plain ones,
+    comparisons, conjunctions, and follow-ups to a turn before (history). ``query`` is what is searched for."""
+    words = F.split("text", r"\s+")
+    some = lambda first, n: F.array_join(F.slice(words, first, n), " ")
+    kind = F.col("item_id") % 5
+    asked = (
+        F.when(kind == 1, F.concat(F.lit("difference between "), some(1, 5), F.lit(" and "), some(6, 5)))
+        .when(kind == 2, F.concat(some(1, 5), F.lit(" versus "), some(6, 5)))
+        .when(kind == 3, F.concat(some(1, 6), F.lit("; "), some(7, 6)))
+        .when(kind == 4, F.concat(F.lit("what about "), some(7, 3)))
+        .otherwise(some(1, 12))
     )
+    q = table(spark, sf_dir, "benchmark").select("item_id", "text", asked.alias("asked"), F.when(kind == 4, some(1, 6)).alias("history"))
+    return q.select(
+        F.col("item_id").alias("query_id"), normalise_query(F.col("asked"), F.col("history")).alias("query"), "asked", "history",
+        (1 + F.col("item_id") * 17 % 150).alias("user_id"), F.col("text").alias("passage"), (F.col("item_id") % 3 == 0).alias("freshness_sensitive"),
+    )
