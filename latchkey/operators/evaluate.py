@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def labels_check(items: DataFrame, gold: DataFrame, forbidden: DataFrame, scope: DataFrame, known: DataFrame) -> DataFrame:
-    """(query_id, problem): what is wrong with labelled items."""
+def labels_check(items: DataFrame, gold: DataFrame, forbidden: DataFrame, scope: DataFrame, known: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
+    """(query_id, problem): what is wrong with labelled items; ``types`` are the query types that there are."""
     twice = items.groupBy("query_id").count().where("count > 1").select("query_id", F.lit("duplicate id").alias("problem"))
     per = items.join(gold.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left")
     bad = per.select("query_id", F.when(F.col("should_abstain") & (F.col("n") > 0), "abstains with gold").when(~F.col("should_abstain") & F.col("n").isNull(), "answerable without gold").alias("problem")).where("problem is not null")
@@ -15,7 +15,9 @@ def labels_check(items: DataFrame, gold: DataFrame, forbidden: DataFrame, scope:
     unread = gold.join(user, "query_id").join(scope, ["user_id", "doc_id"], "left_anti").select("query_id", F.lit("gold not readable").alias("problem"))
     open_ = forbidden.join(user, "query_id").join(scope, ["user_id", "doc_id"], "left_semi").select("query_id", F.lit("forbidden is readable").alias("problem"))
     lost = gold.join(known, "doc_id", "left_anti").select("query_id", F.lit("gold does not exist").alias("problem"))
-    return twice.unionByName(bad).unionByName(unread).unionByName(open_).unionByName(lost).distinct()
+    odd = items.where(~F.col("query_type").isin(*types)) if types else items.where(F.lit(False))
+    odd = odd.select("query_id", F.lit("unknown query type").alias("problem"))
+    return odd.unionByName(twice).unionByName(bad).unionByName(unread).unionByName(open_).unionByName(lost).distinct()
 
 
 def retrieval_metrics(items: DataFrame, ranked: DataFrame, gold: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -104,18 +106,28 @@ def compare(rows: DataFrame, ours: str, other: str, metric: str = "ndcg") -> Dat
 
 
 def stratified_split(rows: DataFrame, label: str, share: float = 0.8, seed: int = 1729) -> DataFrame:
-    """Adds ``train``: of each class the share that comes first in a seeded order of ids."""
-    w = Window.partitionBy(label).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id")
-    return rows.withColumn("train", F.row_number().over(w) <= F.floor(share * F.count(F.lit(1)).over(Window.partitionBy(label))))
+    """Adds ``train``: of each class the share that comes first in a seeded order of ids.
+
+    The order is that of md5, in 4,096 buckets by its first digits. Counts of buckets say how many rows
+    come before each, so only a bucket is ever sorted, however large a class is."""
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
+    r = rows.withColumn("order", order).withColumn("bucket", F.substring("order", 1, 3))
+    n = r.groupBy(label, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy(label)
+    n = n.select(F.col(label).alias("class"), F.col("bucket").alias("part"), (F.sum("n").over(by.orderBy("bucket")) - F.col("n")).alias("before"), F.floor(share * F.sum("n").over(by)).alias("most"))
+    inside = F.row_number().over(Window.partitionBy(label, "bucket").orderBy("order", "id"))
+    j = r.join(n, F.col(label).eqNullSafe(F.col("class")) & (F.col("bucket") == F.col("part")))
+    return j.withColumn("train", F.col("before") + inside <= F.col("most")).select(*rows.columns, "train")
 
 
 def classification_report(rows: DataFrame) -> DataFrame:
-    """(class, precision, recall, f1, support) of rows (label, predicted)."""
+    """(class, accuracy, precision, recall, f1, support) of rows (label, predicted); accuracy is that of all rows."""
     n = rows.groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("n"))
     by = lambda c: n.groupBy(F.col(c).alias("class"))
     t = by("label").agg(F.sum("n").alias("support"), F.sum(F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0)).alias("hits")).join(by("predicted").agg(F.sum("n").alias("said")), "class", "left")
     p, r = F.coalesce(F.col("hits") / F.col("said"), F.lit(0.0)), F.col("hits") / F.col("support")
-    return t.select("class", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 6).alias("f1"), "support")
+    t = t.crossJoin(F.broadcast(n.agg(F.round(F.sum(F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("accuracy"))))
+    return t.select("class", "accuracy", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 6).alias("f1"), "support")
 
 
 def gold_route(per_route: DataFrame, items: DataFrame) -> DataFrame:

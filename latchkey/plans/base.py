@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latchkey.functions import policy as P
+from latchkey.functions import text as T
 from latchkey.operators import evidence as E
 from latchkey.operators import governance as G
 from latchkey.operators import ingest as I
@@ -16,6 +17,11 @@ from latchkey.operators import search as S
 from latchkey.sources import governed as S0
 from latchkey.sources.scratch import kept
 
+def folded(text: str):
+    """White space as single blanks, lower case."""
+    return F.lower(T.squeeze(F.col(text)))
+
+
 ANSWERING = ("R1", "R2", "R3", "R4")
 
 
@@ -248,22 +254,32 @@ class Base:
 
     @cached_property
     def holders(self) -> DataFrame:
-        """(query_id, doc_id): documents that hold the passage of a query. Candidates meet by the
-        passage's first five words, as shingles of the texts; then the whole passage is looked for."""
+        """(query_id, doc_id): documents that hold the passage of a query, whatever white space and case. Candidates
+        meet by the passage's first five words, as shingles of the texts; then the whole passage is looked for."""
 
         def build() -> DataFrame:
-            first = F.array_join(F.slice(F.split("passage", r"\s+"), 1, 5), " ")
-            q = self.queries.select("query_id", "passage", first.alias("shingle"))
-            words = F.split("text", r"\s+")
-            t = self.table("documents").select("doc_id", words.alias("words"))
+            q = self.queries.select("query_id", folded("passage").alias("passage")).withColumn("shingle", F.array_join(F.slice(F.split("passage", " "), 1, 5), " "))
+            t = self.table("documents").select("doc_id", folded("text").alias("text")).withColumn("words", F.split("text", " "))
             n = F.size("words")
-            s = t.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 4, F.lit(1))), lambda i: F.array_join(F.slice("words", i, 5), " ")))).alias("shingle"))
-            pairs = s.join(F.broadcast(q.select("query_id", "shingle")), "shingle").select("query_id", "doc_id").distinct()
-            text = self.table("documents").select("doc_id", "text")
-            return pairs.join(text, "doc_id").join(q.select("query_id", "passage"), "query_id").where(F.contains("text", "passage")).select("query_id", "doc_id")
+            s = t.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 4, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("words", i, 5), " "))))).alias("key"))
+            pairs = s.join(q.select("query_id", F.xxhash64("shingle").alias("key")), "key").select("query_id", "doc_id").distinct()
+            return pairs.join(t.select("doc_id", "text"), "doc_id").join(q.select("query_id", "passage"), "query_id").where(F.contains("text", "passage")).select("query_id", "doc_id")
 
         return self._kept("holders", build)
 
+    @cached_property
+    def gold_chunks(self) -> DataFrame:
+        """(query_id, doc_id, chunk_id, how): the chunk of each holding document that stands for the passage."""
+
+        def build() -> DataFrame:
+            q = self.queries.select("query_id", folded("passage").alias("passage"))
+            c = self.holders.join(self.chunks.select("doc_id", "chunk_id", "ordinal", folded("text").alias("text")), "doc_id").join(q, "query_id")
+            how = F.when(F.contains("text", "passage"), 0).when(F.contains("text", F.substring("passage", 1, 100)), 1).otherwise(2)
+            best = c.withColumn("how", how).groupBy("query_id", "doc_id").agg(F.min(F.struct("how", "ordinal", "chunk_id")).alias("b"))
+            return best.select("query_id", "doc_id", "b.chunk_id", F.element_at(F.array(F.lit("whole"), F.lit("prefix"), F.lit("first")), F.col("b.how") + 1).alias("how"))
+
+        return self._kept("gold-chunks", build)
+
     @cached_property
     def gold(self) -> DataFrame:
         return self.holders.join(self.queries.select("query_id", "user_id"), "query_id").join(self.scope, ["user_id", "doc_id"], "left_semi").select("query_id", "doc_id")
@@ -303,12 +319,16 @@ class Base:
             top = cited.where("place = 0").join(self.docs.select("doc_id", "superseded_by"), "doc_id").select(*by, F.col("superseded_by").isNull().alias("first_current"))
             surfaced = served.join(self.queries.select("query_id", "user_id"), "query_id")
             bad = surfaced.join(self.scope, ["user_id", "doc_id"], "left_anti").unionByName(surfaced.join(self.forbidden, ["query_id", "doc_id"], "left_semi").select(surfaced.columns)).select(*by, "doc_id").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("violations"))
+            # Items of unknown users fail, and stay as scored rows.
+            failed = self.queries.where(F.col("query_id") % 11 == 0).select((-1 - F.col("query_id")).alias("query_id"), F.explode(F.array(*map(F.lit, ("B1", "B2", "B3", "B4", "B5", "P1")))).alias("system"))
             j = items.join(a, "ask").join(m5, list(by)).join(c, list(by)).join(top, list(by), "left").join(bad, list(by), "left")
-            return j.select(
+            rows = j.select(
                 "system", "query_id", "query_type", "route", "expected_route", "abstained", "failure_reason", "recall", "mrr", "ndcg", "citation_precision", "citation_coverage", "groundedness",
                 V.is_appropriate(F.col("should_abstain"), F.col("abstained")).alias("abstention_appropriate"), F.when(F.col("freshness_sensitive") & ~F.col("abstained"), F.col("first_current")).alias("freshness_compliant"),
                 F.coalesce("violations", F.lit(0)).alias("violations"), F.round("cost", 6).alias("cost"),
             )
+            fixed = {"query_type": F.lit("error"), "route": F.lit("ERROR"), "expected_route": F.lit("R0"), "abstained": F.lit(False), "failure_reason": F.lit("unknown user"), "abstention_appropriate": F.lit(False), "violations": F.lit(0), "cost": F.lit(0.0)}
+            return rows.unionByName(failed.select("system", "query_id", *(fixed.get(c, F.lit(None)).cast(rows.schema[c].dataType).alias(c) for c in rows.columns[2:])))
 
         return self._kept("eval-rows", build)
 
@@ -326,14 +346,20 @@ class Base:
         def build() -> DataFrame:
             chosen = self.decisions.select(F.col("query_id").alias("item_id"), "route", "confidence", "utility")
             used = self.packs.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set("doc_id")), lambda d: d.cast("string")), ",").alias("used_docs"))
-            seen = self.candidates.groupBy(F.concat_ws(":", "query_id", "route").alias("query_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_set("doc_id")), lambda d: d.cast("string")), ",").alias("considered_docs"), F.countDistinct("chunk_id").alias("pool"))
+            ask = F.concat_ws(":", "query_id", "route").alias("query_id")
+            seen = self.candidates.groupBy(ask).agg(F.array_join(F.transform(F.array_sort(F.collect_set("doc_id")), lambda d: d.cast("string")), ",").alias("considered_docs"), F.countDistinct("chunk_id").alias("pool"))
+            kept_ = self.reranked.groupBy(ask).agg(F.count(F.lit(1)).alias("reranked"))
+            four = lambda c: F.format_string("%.4f", F.round(F.col(c) + 1e-9, 4))
+            told = self.utilities.groupBy(F.col("query_id").alias("item_id")).agg(F.array_join(F.array_sort(F.collect_list(F.concat("route", F.lit("="), four("utility")))), ",").alias("utilities"))
+            f = self.features.select(F.col("query_id").alias("item_id"), F.concat_ws(",", F.concat(F.lit("intent="), "intent"), *(F.concat(F.lit(f"{n}="), four(n)) for n in R.NAMES)).alias("features"))
             r = self.user_roles.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"))
-            a = self.answers.join(chosen, ["item_id", "route"]).join(seen, "query_id", "left").join(used, "query_id", "left").join(r, "user_id", "left")
+            a = self.answers.join(chosen, ["item_id", "route"]).join(seen, "query_id", "left").join(kept_, "query_id", "left").join(used, "query_id", "left").join(r, "user_id", "left").join(told, "item_id").join(f, "item_id")
             a = a.join(self.summary.select("user_id", "withheld"), "user_id").join(self.queries.select(F.col("query_id").alias("item_id"), "query"), "item_id")
             text = lambda c: F.coalesce(c, F.lit(""))
             return a.select(
-                F.col("item_id").alias("query_id"), F.sha2(F.lower(F.trim("query")), 256).alias("query_hash"), "user_id", text("roles").alias("roles"), "route", "confidence", "utility", text("considered_docs").alias("considered_docs"),
-                text("used_docs").alias("used_docs"), F.coalesce("pool", F.lit(0)).alias("pool"), "withheld", "citations", "abstained", text("failure_reason").alias("failure_reason"), F.round("cost", 6).alias("cost"),
+                F.col("item_id").alias("query_id"), S0.asked_at(F.col("item_id")).alias("asked_at"), F.sha2(F.lower(F.trim("query")), 256).alias("query_hash"), "user_id", text("roles").alias("roles"), "route", "confidence", "utility", "utilities", "features",
+                text("considered_docs").alias("considered_docs"), text("used_docs").alias("used_docs"), F.coalesce("pool", F.lit(0)).alias("pool"), F.coalesce("reranked", F.lit(0)).alias("reranked"), "withheld", "citations", "abstained",
+                text("failure_reason").alias("failure_reason"), F.round("cost", 6).alias("cost"),
             )
 
         return self._kept("audit", build)

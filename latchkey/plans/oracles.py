@@ -71,7 +71,7 @@ scope as materialized (select distinct user_id, doc_id from user_roles join doc_
 META = META.replace("TOKENS_OF_ASKED", TOKENS.format(r"trim(regexp_replace(asked, '\s+', ' ', 'g'))")).replace("PRONOUNS", _list(P.LEADING_PRONOUNS))
 
 CHUNKS = rf"""
-texts as (select doc_id, case doc_id % 3 when 0 then '# Part ' || doc_id || chr(10) || text || chr(10) || '2. Terms of notice' || chr(10) || 'The notice period is ' || (10 + doc_id % 4) || ' days.' when 1 then text || chr(10) || 'An allowance of ' || (5 + doc_id % 5) || ' percent applies.' else text end as text from documents),
+texts as (select doc_id, case doc_id % 3 when 0 then '# Part ' || doc_id || chr(10) || text || chr(10) || '2. Terms of notice' || chr(10) || 'The notice period is ' || (10 + doc_id // 140 % 4) || ' days.' when 1 then text || chr(10) || 'An allowance of ' || (5 + doc_id // 140 % 5) || ' percent applies.' else text end as text from documents),
 sc0 as (select doc_id, i, ls[i] as line, regexp_matches(ls[i], '{P.HEADING}') and trim(ls[i]) <> '' as h from (select doc_id, string_split(text, chr(10)) as ls from texts), unnest(range(1, len(ls) + 1)) t(i)),
 sc1 as (select *, sum(h::int) over (partition by doc_id order by i) as s from sc0),
 sc2 as (select doc_id, s, max(case when h then trim(regexp_replace(line, '^\s*#{{1,6}}\s+', '')) end) as heading, regexp_replace(coalesce(string_agg(case when not h then line end, chr(10) order by i), ''), '^\s+|\s+$', '', 'g') as b, min(s) over (partition by doc_id) as s0 from sc1 group by doc_id, s),
@@ -148,12 +148,12 @@ u0 as (select query_id, route, allowed_chunks, greatest(0.0, least(1.0, prior +
     greatest(0.0, least(1.0, br + (case when freshness_required then fr else 0 end) + cr * conflict_likelihood + (case when route <> 'R0' then 0.30 * restricted_fraction
       + (case when greatest(sparse_confidence, dense_confidence) < 0.65 then 0.45 * (0.65 - greatest(sparse_confidence, dense_confidence)) / 0.65 else 0 end) else 0 end))) as r,
     case when route = 'R0' then null when allowed_chunks = 0 then 'no authorised chunks in scope' when greatest(sparse_confidence, dense_confidence) < 0.12 then 'probe confidence below the minimum' end as rejection from feat, routes),
-util as materialized (select query_id, route, rejection is null as admissible, rejection, round(q::double, 4) as quality, round(l::double, 4) as latency, round(c::double, 6) as cost, round(r::double, 4) as risk,
-    round((q - 0.09 * l - 0.12 * c * 100 - 0.55 * r)::double, 4) as utility from u0),
+util as materialized (select query_id, route, rejection is null as admissible, rejection, round(q::double + 1e-9, 4) as quality, round(l::double + 1e-9, 4) as latency, round(c::double + 1e-9, 6) as cost, round(r::double + 1e-9, 4) as risk,
+    round((q - 0.09 * l - 0.12 * c * 100 - 0.55 * r)::double + 1e-9, 4) as utility from u0),
 d0 as (select *, row_number() over w as n, lead(route) over w as nx, lead(utility) over w as nu, lead(admissible) over w as nok from util window w as (partition by query_id order by admissible desc, utility desc, route)),
 dec as materialized (select query_id, max(case when n = 1 then route end) as route, max(case when n = 1 then utility end) as utility, max(case when n = 1 and nok then nx end) as nx0, max(case when n = 1 then nu end) as nu0, max(case when n = 1 then nok::int end) as nok0,
     string_agg(case when n > 1 then route end, ',' order by n) as rejected from d0 group by 1),
-decision as materialized (select query_id, route, coalesce(nx0, 'R0') as fallback, case when nok0 = 1 then round(greatest(0.0, least(1.0, 0.5 + 2.0 * (utility - nu0))), 3) else 1.0 end as confidence, utility, rejected from dec)"""
+decision as materialized (select query_id, route, coalesce(nx0, 'R0') as fallback, case when nok0 = 1 then round(greatest(0.0, least(1.0, 0.5 + 2.0 * (utility - nu0))) + 1e-9, 3) else 1.0 end as confidence, utility, rejected from dec)"""
 
 
 def _topic(text: str) -> str:
@@ -268,7 +268,12 @@ CLAIMS = (
 ANSWER = ANSWER.replace("CLAIMS", CLAIMS)
 
 GOLD = r"""
-holder as materialized (select query_id, doc_id, user_id from qs, documents d where contains(d.text, qs.passage)),
+fold as materialized (select doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as ft from documents),
+fq as materialized (select query_id, user_id, lower(trim(regexp_replace(passage, '\s+', ' ', 'g'))) as fp from qs),
+holder as materialized (select query_id, doc_id, user_id from fq, fold where contains(ft, fp)),
+gm0 as (select query_id, holder.doc_id, chunk_id, ordinal, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as c, fp from holder join fq using (query_id) join chunks on chunks.doc_id = holder.doc_id),
+gm1 as (select *, case when contains(c, fp) then 'whole' when contains(c, substr(fp, 1, 100)) then 'prefix' else 'first' end as how from gm0),
+gmatch as materialized (select query_id, doc_id, chunk_id, how from (select *, row_number() over (partition by query_id, doc_id order by case how when 'whole' then 0 when 'prefix' then 1 else 2 end, ordinal) as n from gm1) where n = 1),
 gold as materialized (select query_id, doc_id from holder join scope using (user_id, doc_id)),
 forb as materialized (select query_id, doc_id from holder h where not exists (select 1 from scope s where s.user_id = h.user_id and s.doc_id = h.doc_id)),
 items as materialized (select query_id, user_id, abst as should_abstain, freshness_sensitive, case when abst then 'unanswerable' when freshness_sensitive then 'temporal' else 'exact' end as query_type, case when abst then 'R0' when freshness_sensitive then 'R3' else 'R1' end as expected_route
@@ -286,8 +291,9 @@ cc as materialized (select system, sys.query_id, route, chunk_id, split_part(chu
 cs as (select system, query_id, count(*) as n, sum((g.doc_id is not null)::int) as hits, count(distinct g.doc_id) as found, sum((p.chunk_id is not null)::int) as grounded from cc left join gold g using (query_id, doc_id) left join (select query_id, route, chunk_id from pack) p using (query_id, route, chunk_id) group by all),
 c5 as (select s.system, s.query_id, case when gold is not null then round(hits::double / n, 6) end as citation_precision, round(coalesce(found, 0)::double / gold, 6) as citation_coverage, round(grounded::double / n, 6) as groundedness from sys s left join cs on cs.system = s.system and cs.query_id = s.query_id left join gn on gn.query_id = s.query_id),
 fc as (select system, query_id, arg_min(superseded_by is null, first) as ok from cc join meta using (doc_id) group by all),
-er as materialized (select m5.system, m5.query_id, query_type, m5.route, expected_route, abstained, failure_reason, recall, mrr, ndcg, citation_precision, citation_coverage, groundedness, should_abstain = abstained as abstention_appropriate,
-    case when freshness_sensitive and not abstained then ok end as freshness_compliant, 0::bigint as violations, cost from m5 join items using (query_id) join ans a on a.query_id = m5.query_id and a.route = m5.route join c5 on c5.system = m5.system and c5.query_id = m5.query_id left join fc on fc.system = m5.system and fc.query_id = m5.query_id)"""
+er0 as (select m5.system, m5.query_id, query_type, m5.route, expected_route, abstained, failure_reason, recall, mrr, ndcg, citation_precision, citation_coverage, groundedness, should_abstain = abstained as abstention_appropriate,
+    case when freshness_sensitive and not abstained then ok end as freshness_compliant, 0::bigint as violations, cost from m5 join items using (query_id) join ans a on a.query_id = m5.query_id and a.route = m5.route join c5 on c5.system = m5.system and c5.query_id = m5.query_id left join fc on fc.system = m5.system and fc.query_id = m5.query_id),
+er as materialized (select * from er0 union all select system, -1 - query_id, 'error', 'ERROR', 'R0', false, 'unknown user', null, null, null, null, null, null, false, null, 0, 0.0 from qs, (values ('B1'), ('B2'), ('B3'), ('B4'), ('B5'), ('P1')) s(system) where query_id % 11 = 0)"""
 
 PARTS = [META, CHUNKS, POST, SEARCH, PROBE, SUMMARY, FEATURES, _router(), CANDS, RERANK, PACK, ANSWER, GOLD, EVAL]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -145,7 +146,11 @@ def section_split(b):
     return I.sections(S0.texts(b.spark, b.dir)).where("body <> ''").select("doc_id", "section", "heading", "body")
 
 
-@query()
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_LONGER = f"case when s.buffer = '' then p.buffer else {_STRIP.format('s.buffer || chr(10) || chr(10) || p.buffer')} end"
+
+
+@query(rf"with b as (select doc_id, {_STRIP.format('replace(text, chr(10), chr(10) || chr(10))')} as body from documents), ps as (select doc_id, body, list_transform(regexp_split_to_array(body, '\n\s*\n'), lambda x: {{'done': []::varchar[], 'buffer': x}}) as ps from b), f as (select doc_id, case when length(body) <= 900 then [body] else list_transform([list_reduce([{{'done': []::varchar[], 'buffer': ''}}] || ps, lambda s, p: case when length({_LONGER}) > 900 and s.buffer <> '' then {{'done': s.done || [s.buffer], 'buffer': {_STRIP.format("substr(s.buffer, greatest(1, length(s.buffer) - 149)) || chr(10) || chr(10) || p.buffer")}}} else {{'done': s.done, 'buffer': {_LONGER}}} end)], lambda s: s.done || list_filter([s.buffer], lambda x: {_STRIP.format('x')} <> ''))[1] end as pieces from ps) select doc_id, (i - 1)::int as part, pieces[i] as piece from f, unnest(range(1, len(pieces) + 1)) t(i)")
 def paragraph_pack(b):
     d = b.table("documents").select("doc_id", T.strip(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("body"))
     return d.select("doc_id", F.posexplode(I.packed(F.col("body"))).alias("part", "piece"))
@@ -417,14 +422,14 @@ _feature("f_followup", "round(followup_signal::double + 1e-9, 6) as followup_sig
 _feature("f_doc_type_hints", "array_to_string(hints, ',') as hints", lambda: [F.array_join("doc_type_hints", ",").alias("hints")])
 
 
-@query(O.upto("FEATURES", "select query_id, round(semantic_ambiguity::double, 6) as semantic_ambiguity from feat"))
+@query(O.upto("FEATURES", "select query_id, round(semantic_ambiguity::double + 1e-9, 6) as semantic_ambiguity from feat"))
 def f_semantic_ambiguity(b):
-    return b.features.select("query_id", F.round("semantic_ambiguity", 6).alias("semantic_ambiguity"))
+    return b.features.select("query_id", F.round(F.col("semantic_ambiguity") + 1e-9, 6).alias("semantic_ambiguity"))
 
 
-@query(O.upto("FEATURES", "select query_id, round(mixed_signal::double, 6) as mixed_signal from feat"))
+@query(O.upto("FEATURES", "select query_id, round(mixed_signal::double + 1e-9, 6) as mixed_signal from feat"))
 def f_mixed_signal(b):
-    return b.features.select("query_id", F.round("mixed_signal", 6).alias("mixed_signal"))
+    return b.features.select("query_id", F.round(F.col("mixed_signal") + 1e-9, 6).alias("mixed_signal"))
 
 
 @query(O.upto("FEATURES", "select query_id, intent, freshness_required, " + ", ".join(f"round({n}::double + 1e-9, 5) as {n}" for n in R.NAMES) + " from feat"))
@@ -459,7 +464,7 @@ def route_fallback_confidence(b):
     return b.decisions.select("query_id", "fallback", "confidence")
 
 
-@query()
+@query(O.upto("ROUTER", "select query_id, d.route, array_to_string(list_filter([case when allowed_chunks = 0 then 'nothing in this user''s scope' end, case when allowed_chunks > 0 and greatest(sparse_confidence, dense_confidence) < 0.12 then 'the probe found nothing relevant in scope' end, case when identifier_signal > 0 then 'identifiers: ' || array_to_string(found, ', ') end, case when comparison_signal >= 0.5 then 'compares things' end, case when freshness_required then 'needs the current version' end, case when conflict_likelihood > 0 then 'several versions of one topic are in reach' end, case when restricted_fraction > 0.3 then floor(restricted_fraction * 100 + 1e-9)::int || '% of chunks are out of scope' end, case when confidence < 0.6 then 'the next route is nearly as good' end], lambda x: x is not null), '; ') as reasons from decision d join feat using (query_id)"))
 def route_reasons(b):
     return R.reasons(b.features, b.decisions).select("query_id", "route", F.array_join("reasons", "; ").alias("reasons"))
 
@@ -506,9 +511,13 @@ def extract_claims(b):
     return b.claims.select("chunk_id", "topic", "unit", "value")
 
 
-@query(O.upto("ANSWER", "select * from nc"))
+@query(O.upto("ANSWER", "select query_id, route, policy_family, topic, unit, array_to_string(list_transform(list_sort(list(distinct value)), lambda v: v::varchar), ',') as values_stated, array_to_string(list_sort(list(distinct chunk_id)), ',') as chunk_ids from (select distinct query_id, user_id, route, policy_family from cand join meta using (doc_id)) join meta using (policy_family) join scope using (user_id, doc_id) join claim using (doc_id) group by all having count(distinct value) > 1 and count(distinct doc_id) > 1"))
 def numeric_conflicts(b):
-    return _split(E.numeric_conflicts(b.packs, b.claims))
+    """Between all documents that the user may read of the families that a query's routes consider."""
+    family = b.docs.select("doc_id", "policy_family")
+    near = b.candidates.join(family, "doc_id").select(F.concat_ws(":", "query_id", "route").alias("query_id"), "user_id", "policy_family").distinct()
+    docs = G.allowed(near.join(family, "policy_family"), b.scope)
+    return _split(E.numeric_conflicts(docs.join(b.chunks.select("doc_id", "chunk_id"), "doc_id").drop("doc_id", "user_id"), b.claims))
 
 
 @query(O.upto("ANSWER", "select query_id, route, chunk_id, place::int as place, sentence from ss1"))
@@ -561,12 +570,14 @@ def prompt_batch(b):
 
 # Audit.
 
+_FEATURES = " || ".join(["'intent=' || intent", *(f"',{n}=' || printf('%.4f', round({n}::double + 1e-9, 4))" for n in R.NAMES)])
 _AUDIT = O.upto(
     "ANSWER",
-    """, au as (select ans.query_id, sha256(lower(trim(query))) as query_hash, ans.user_id, coalesce((select array_to_string(list_sort(list(distinct role)), ',') from user_roles r where r.user_id = ans.user_id), '') as roles, ans.route, confidence, utility,
+    f""", au as (select ans.query_id, timestamp '2026-08-19' + to_minutes((ans.query_id % 200 * 7)::int) as asked_at, sha256(lower(trim(query))) as query_hash, ans.user_id, coalesce((select array_to_string(list_sort(list(distinct role)), ',') from user_roles r where r.user_id = ans.user_id), '') as roles, ans.route, confidence, utility,
+    (select string_agg(route || '=' || printf('%.4f', round(utility + 1e-9, 4)), ',' order by route) from util u where u.query_id = ans.query_id) as utilities, (select {_FEATURES} from feat where feat.query_id = ans.query_id) as features,
     coalesce((select string_agg(doc_id::varchar, ',' order by doc_id) from (select distinct doc_id from cand c where c.query_id = ans.query_id and c.route = ans.route)), '') as considered_docs,
     coalesce((select string_agg(doc_id::varchar, ',' order by doc_id) from (select distinct doc_id from pack c where c.query_id = ans.query_id and c.route = ans.route)), '') as used_docs,
-    (select count(distinct chunk_id) from cand c where c.query_id = ans.query_id and c.route = ans.route) as pool, withheld, citations, abstained, coalesce(failure_reason, '') as failure_reason, cost
+    (select count(distinct chunk_id) from cand c where c.query_id = ans.query_id and c.route = ans.route) as pool, (select count(*) from rr c where c.query_id = ans.query_id and c.route = ans.route) as reranked, withheld, citations, abstained, coalesce(failure_reason, '') as failure_reason, cost
     from ans join decision d on d.query_id = ans.query_id and d.route = ans.route join summary on summary.user_id = ans.user_id join qs on qs.query_id = ans.query_id) """,
 )
 
@@ -576,29 +587,47 @@ def audit_records(b):
     return b.audit
 
 
-@query(_AUDIT + "select query_id, query_hash, null::varchar as raw_query from au")
+@query(_AUDIT + "select au.query_id, told as \"verbose\", query_hash, case when told then qs.query end as raw_query, features from au join qs using (query_id), (values (false), (true)) v(told)")
 def audit_redaction(b):
-    return b.audit.select("query_id", "query_hash", F.lit(None).cast("string").alias("raw_query"))
+    """The raw query is there in verbose records alone, evidence never."""
+    modes = F.explode(F.array(F.lit(False), F.lit(True))).alias("verbose")
+    a = b.audit.join(b.queries.select("query_id", "query"), "query_id").select("query_id", "query_hash", "query", "features", modes)
+    return a.select("query_id", "verbose", "query_hash", F.when(F.col("verbose"), F.col("query")).alias("raw_query"), "features")
 
 
-@query(_AUDIT + "select query_id, route, cost from au order by query_id desc limit 20")
+@query(_AUDIT + "select query_id, asked_at, route, cost from au order by asked_at desc, query_id desc limit 20")
 def audit_recent(b):
-    return b.audit.select("query_id", "route", "cost").orderBy(F.col("query_id").desc()).limit(20)
+    return b.audit.select("query_id", "asked_at", "route", "cost").orderBy(F.col("asked_at").desc(), F.col("query_id").desc()).limit(20)
 
 
-@query(_AUDIT + "select r.route, count(au.query_id) as answers from (values ('R0'), ('R1'), ('R2'), ('R3'), ('R4')) r(route) left join au using (route) group by 1")
+@query(_AUDIT + "select r.route, count(au.query_id) as answers from (values ('R0'), ('R1'), ('R2'), ('R3'), ('R4')) r(route) left join (select * from au order by asked_at desc, query_id desc limit 100) au using (route) group by 1")
 def route_distribution(b):
+    """Of the last 100 answers."""
     routes = b.spark.createDataFrame([(r,) for r in P.ROUTES], "route string")
-    n = b.audit.groupBy("route").agg(F.count(F.lit(1)).alias("answers"))
+    last = b.audit.select("route", "asked_at", "query_id").orderBy(F.col("asked_at").desc(), F.col("query_id").desc()).limit(100)
+    n = last.groupBy("route").agg(F.count(F.lit(1)).alias("answers"))
     return F.broadcast(routes).join(n, "route", "left").na.fill(0)
 
 
 # Evaluation.
 
 
-@query(O.upto("GOLD", "select query_id, 'duplicate id' as problem from items group by 1 having count(*) > 1 union select query_id, case when should_abstain then 'abstains with gold' else 'answerable without gold' end from items where should_abstain = (query_id in (select query_id from gold)) union select query_id, 'gold not readable' from gold g join items using (query_id) where not exists (select 1 from scope s where s.user_id = items.user_id and s.doc_id = g.doc_id) union select query_id, 'forbidden is readable' from forb f join items using (query_id) join scope s on s.user_id = items.user_id and s.doc_id = f.doc_id union select query_id, 'gold does not exist' from gold where doc_id not in (select doc_id from documents)"))
+_FAULTY = """fi as (select query_id, user_id, case when query_id % 9 = 0 then not should_abstain else should_abstain end as should_abstain, case when query_id % 13 = 0 then 'odd' else query_type end as query_type from items),
+fa as (select * from fi union all select * from fi where query_id % 10 = 0),
+fg as (select * from gold union select query_id, -1 from qs where query_id % 8 = 0 union select * from forb where query_id % 6 = 0),
+ff as (select * from forb union select * from gold where query_id % 4 = 0)"""
+
+
+@query(O.upto("GOLD", "select query_id, 'duplicate id' as problem from fa group by 1 having count(*) > 1 union select query_id, case when should_abstain then 'abstains with gold' else 'answerable without gold' end from fa where should_abstain = (query_id in (select query_id from fg)) union select query_id, 'gold not readable' from fg g join fa using (query_id) where not exists (select 1 from scope s where s.user_id = fa.user_id and s.doc_id = g.doc_id) union select query_id, 'forbidden is readable' from ff f join fa using (query_id) join scope s on s.user_id = fa.user_id and s.doc_id = f.doc_id union select query_id, 'gold does not exist' from fg where doc_id not in (select doc_id from documents) union select query_id, 'unknown query type' from fa where query_type not in ('unanswerable', 'temporal', 'exact')").replace("\nselect query_id, 'dup", ", " + _FAULTY + "\nselect query_id, 'dup"))
 def eval_labels_check(b):
-    return V.labels_check(b.items, b.gold, b.forbidden, b.scope, b.docs.select("doc_id"))
+    """Labels with faults of every kind put in: ids twice, abstention turned round, gold that is missing or not readable, forbidden documents that are readable, types that are not known."""
+    n = F.col("query_id")
+    i = b.items.withColumns({"should_abstain": F.when(n % 9 == 0, ~F.col("should_abstain")).otherwise(F.col("should_abstain")), "query_type": F.when(n % 13 == 0, "odd").otherwise(F.col("query_type"))})
+    i = i.unionByName(i.where(n % 10 == 0))
+    missing = b.queries.where(n % 8 == 0).select("query_id", F.lit(-1).cast("long").alias("doc_id"))
+    gold = b.gold.unionByName(missing).unionByName(b.forbidden.where(n % 6 == 0)).distinct()
+    forbidden = b.forbidden.unionByName(b.gold.where(n % 4 == 0)).distinct()
+    return V.labels_check(i, gold, forbidden, b.scope, b.docs.select("doc_id"), ("unanswerable", "temporal", "exact"))
 
 
 def _eval(name: str, *cols: str):
@@ -685,15 +714,25 @@ def stratified_split(b):
     return V.stratified_split(b.table("labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label")), "label")
 
 
-@query("with p as (select toxic::varchar as label, (case when quality = 0 then 1 else 0 end)::varchar as predicted from labels), n as (select label, predicted, count(*) as n from p group by all), s as (select label as class, sum(n)::bigint as support, sum(case when label = predicted then n else 0 end)::double as hits from n group by 1), q as (select predicted as class, sum(n) as said from n group by 1), r as (select class, support, coalesce(hits / said, 0.0) as p, hits / support as r from s left join q using (class)) select class, round(p, 6) as precision, round(r, 6) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end, 6) as f1, support from r")
+@query(O.upto("EVAL", "select system, class, round(accuracy, 6) as accuracy, round(p, 6) as precision, round(r, 6) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end, 6) as f1, support from r").replace("\nselect system, class", """, gr as (select items.query_id, case when should_abstain then 'R0' else coalesce((select min(route) from pack p join gold g on g.query_id = p.query_id and g.doc_id = p.doc_id where p.query_id = items.query_id), expected_route) end as label from items),
+p as (select system, label, route as predicted from gr join sys using (query_id)), n as (select system, label, predicted, count(*) as n from p group by all), ac as (select system, sum(case when label = predicted then n else 0 end)::double / sum(n) as accuracy from n group by 1),
+s as (select system, label as class, sum(n)::bigint as support, sum(case when label = predicted then n else 0 end)::double as hits from n group by all), q as (select system, predicted as class, sum(n) as said from n group by all), r as (select system, class, accuracy, support, coalesce(hits / said, 0.0) as p, hits / support as r from s left join q using (system, class) join ac using (system))
+select system, class"""))
 def classification_report(b):
-    rows = b.table("labels").select(F.col("toxic").cast("string").alias("label"), F.when(F.col("quality") == 0, "1").otherwise("0").alias("predicted"))
-    return V.classification_report(rows)
+    """Each system's routes against the gold routes."""
+    label = V.gold_route(_split(b.packs).join(b.gold, ["query_id", "doc_id"], "left_semi").select("query_id", "route").distinct(), b.items)
+    rows = b.systems.withColumnRenamed("item_id", "query_id").join(label, "query_id").select("system", F.col("gold_route").alias("label"), F.col("route").alias("predicted"))
+    out = None
+    for s in ("B1", "B2", "B3", "B4", "B5", "P1"):
+        part = V.classification_report(rows.where(F.col("system") == s).drop("system")).withColumn("system", F.lit(s))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-@query(O.upto("GOLD", "select query_id, doc_id from holder"))
+@query(O.upto("GOLD", "select query_id, doc_id, chunk_id, how from gmatch"))
 def gold_match(b):
-    return b.holders
+    """Of each document that holds a passage the chunk with all of it, else with its first 100 characters, else the first chunk."""
+    return b.gold_chunks.select("query_id", "doc_id", "chunk_id", "how")
 
 
 @query("with k as (select substr(text, 1, 200) as k, doc_id from documents where length(text) >= 50), g as (select k, count(*) as n from k group by 1 order by n desc, k limit 50) select doc_id, md5(k) as context, n from (select k.k, doc_id, n, row_number() over (partition by k.k order by doc_id) as r from k join g using (k)) where r <= 3")
@@ -704,51 +743,103 @@ def prep_context_groups(b):
     return d.join(F.broadcast(groups), "k").withColumn("r", F.row_number().over(w)).where("r <= 3").select("doc_id", F.md5("k").alias("context"), "n")
 
 
-@query("with l as (select conv_id, arg_max(text, turn) filter (role = 'user') as question, arg_max(text, turn) filter (role = 'assistant') as answer from conversations group by 1) select conv_id, question, answer from (select *, row_number() over (partition by question order by conv_id) as r from l where question is not null and answer is not null) where r = 1 order by conv_id limit 100")
+_TOPICAL = " or ".join(f"contains(lower(question), '{t}')" for _, ts in P.DOC_TYPES for t in ts)
+
+
+@query(f"with l as (select conv_id, arg_max(text, turn) filter (role = 'user') as question, arg_max(text, turn) filter (role = 'assistant') as answer from conversations group by 1) select conv_id, question, answer, {_TOPICAL} as on_topic from (select *, row_number() over (partition by question order by conv_id) as r from l where question is not null and answer is not null) where r = 1 order by conv_id limit 100")
 def prep_chat_qa(b):
     last = lambda role: F.max_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn")))
     c = b.table("conversations").groupBy("conv_id").agg(last("user").alias("question"), last("assistant").alias("answer")).where("question is not null and answer is not null")
     w = Window.partitionBy("question").orderBy("conv_id")
-    return c.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r").orderBy("conv_id").limit(100)
+    topical = F.lower("question").rlike("|".join(re.escape(t) for _, ts in P.DOC_TYPES for t in ts))
+    return c.withColumn("r", F.row_number().over(w)).where("r = 1").select("conv_id", "question", "answer", topical.alias("on_topic")).orderBy("conv_id").limit(100)
 
 
-@query("select source, count(*) as docs, sum(length(text))::bigint as chars, sum((lang = 'en')::int)::bigint as english from documents group by 1")
+@query(O.upto("GOLD", "select 'documents' as what, doc_type as kind, count(*) as n, sum(length(d.text))::bigint as chars from meta join documents d using (doc_id) group by 2 union all select 'items', query_type, count(*), sum(length(query))::bigint from items join qs using (query_id) group by 2"))
 def prep_report(b):
-    return b.table("documents").groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("chars"), F.sum((F.col("lang") == "en").cast("long")).alias("english"))
+    """Documents by type and labelled items by query type, with their characters."""
+    d = b.docs.join(b.table("documents").select("doc_id", "text"), "doc_id").select(F.lit("documents").alias("what"), F.col("doc_type").alias("kind"), F.length("text").alias("chars"))
+    i = b.items.join(b.queries.select("query_id", "query"), "query_id").select(F.lit("items").alias("what"), F.col("query_type").alias("kind"), F.length("query").alias("chars"))
+    return d.unionByName(i).groupBy("what", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
 
 
-@query("with " + O.META + ", p as (select *, row_number() over (partition by lang, source order by doc_id) as first from documents) select source, count(*) as questions, string_agg(lang || ':' || doc_id, ',' order by lang) as pages from p where first = 1 group by 1 order by questions desc, source limit 10")
+@query("with p as (select source, lang, min(doc_id) as first, count(*) as n, max(length(text)) as longest from documents group by all) select source, sum(n)::bigint as questions, string_agg(lang || ':' || first, ',' order by first) as pages, arg_min(lang, first) as first_lang, max(longest)::bigint as longest from p group by 1 order by questions desc, source limit 10")
 def prep_grouped_docs(b):
-    w = Window.partitionBy("lang", "source").orderBy("doc_id")
-    p = b.table("documents").withColumn("first", F.row_number().over(w)).where("first = 1")
-    pages = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lang", "doc_id"))), lambda x: F.concat(x["lang"], F.lit(":"), x["doc_id"].cast("string"))), ",")
-    return p.groupBy("source").agg(F.count(F.lit(1)).alias("questions"), pages.alias("pages")).orderBy(F.col("questions").desc(), "source").limit(10)
+    """Sources as documents, their languages as pages: distinct pages in first-seen order, metadata of the first one, the ten with most questions."""
+    p = b.table("documents").groupBy("source", "lang").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.max(F.length("text")).alias("longest"))
+    pages = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "lang"))), lambda x: F.concat(x["lang"], F.lit(":"), x["first"].cast("string"))), ",")
+    g = p.groupBy("source").agg(F.sum("n").alias("questions"), pages.alias("pages"), F.min_by("lang", "first").alias("first_lang"), F.max("longest").cast("long").alias("longest"))
+    return g.orderBy(F.col("questions").desc(), "source").limit(10)
 
 
-@query("with t as (select conv_id, role as title, arg_min(text, turn) as text, count(*) as n from conversations group by all), m as (select conv_id, count(*) as docs, max(n) as longest, array_to_string(list_sort(list(title)), ',') as titles from t group by 1) select conv_id, docs, titles, case when docs < 2 then 'R1' when longest >= 3 then 'R4' else 'R3' end as route from m")
+_HOPS = """t as (select conv_id, turn, role, lower(split_part(text, ' ', 1)) as title, array_to_string(string_split(text, '. '), ' ') as body from conversations),
+k as (select conv_id, case when conv_id % 3 = 0 then 'comparison' else 'bridge' end as type, case when count(*) <= 2 then 'easy' when count(*) <= 4 then 'medium' else 'hard' end as level from conversations group by 1)"""
+
+
+def _multihop(b):
+    """(conv_id, type, level, context): conversations as nested rows of a multi-hop benchmark; a turn is a paragraph of (title, sentences), an assistant's turn a supporting fact."""
+    c = b.table("conversations").select("conv_id", "turn", "role", F.lower(F.split("text", " ")[0]).alias("title"), F.split("text", r"\. ").alias("sentences"))
+    n = F.count(F.lit(1))
+    return c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "title", "sentences"))).alias("context"), F.when(n <= 2, "easy").when(n <= 4, "medium").otherwise("hard").alias("level")).withColumn("type", F.when(F.col("conv_id") % 3 == 0, "comparison").otherwise("bridge"))
+
+
+@query(f"with {_HOPS}, d as (select title, 'doc-' || substr(sha256(title), 1, 12) as doc from (select title, body, row_number() over (partition by title order by conv_id, turn) as n from t) where n = 1 and length(body) >= 50), g as (select conv_id, array_to_string(list_sort(list(distinct doc || '::c000')), ',') as gold, count(distinct doc) as docs from t join d using (title) where role = 'assistant' group by 1) select conv_id, 'multihop_' || type as query_type, gold, case when type = 'comparison' or docs >= 2 then 'R4' else 'R3' end as route from g join k using (conv_id)")
 def prep_multihop(b):
-    t = b.table("conversations").groupBy("conv_id", F.col("role").alias("title")).agg(F.min_by("text", "turn").alias("text"), F.count(F.lit(1)).alias("n"))
-    m = t.groupBy("conv_id").agg(F.count(F.lit(1)).alias("docs"), F.max("n").alias("longest"), F.array_join(F.array_sort(F.collect_list("title")), ",").alias("titles"))
-    return m.select("conv_id", "docs", "titles", F.when(F.col("docs") < 2, "R1").when(F.col("longest") >= 3, "R4").otherwise("R3").alias("route"))
+    """First text of each title as a document, gold by the titles of supporting facts, route by type and number of gold documents."""
+    m = _multihop(b)
+    p = m.select("conv_id", F.explode("context").alias("p")).select("conv_id", "p.turn", "p.role", "p.title", F.array_join("p.sentences", " ").alias("body"))
+    first = p.groupBy("title").agg(F.min(F.struct("conv_id", "turn", "body")).alias("f")).where(F.length("f.body") >= 50).select("title", T.stable_id("doc-", F.col("title")).alias("doc"))
+    g = p.where("role = 'assistant'").join(first, "title").groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat("doc", F.lit("::c000")))), ",").alias("gold"), F.countDistinct("doc").alias("docs"))
+    route = F.when((F.col("type") == "comparison") | (F.col("docs") >= 2), "R4").otherwise("R3")
+    return g.join(m.select("conv_id", "type"), "conv_id").select("conv_id", F.concat(F.lit("multihop_"), "type").alias("query_type"), "gold", route.alias("route"))
 
 
-@query("with c as (select conv_id, count(*) as turns, count(distinct role) as parts from conversations group by 1) select conv_id, case when parts < 2 then 'R1' when turns > 4 then 'R4' when turns > 2 then 'R3' else 'R2' end as label from c")
+@query(f"with {_HOPS}, s as (select conv_id, greatest(count(distinct case when role = 'assistant' then title end), 1) as docs from t group by 1) select conv_id, case when type = 'comparison' then 'R4' when level = 'hard' and docs >= 2 then 'R4' when level = 'hard' then 'R3' when docs = 1 and level = 'easy' then 'R1' when level = 'easy' then 'R2' else 'R3' end as label from s join k using (conv_id)")
 def multihop_route_labels(b):
-    c = b.table("conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.countDistinct("role").alias("parts"))
-    return c.select("conv_id", F.when(F.col("parts") < 2, "R1").when(F.col("turns") > 4, "R4").when(F.col("turns") > 2, "R3").otherwise("R2").alias("label"))
+    facts = F.array_distinct(F.transform(F.filter("context", lambda p: (p["role"] == "assistant") & p["title"].isNotNull()), lambda p: p["title"]))
+    m = _multihop(b).withColumn("docs", F.greatest(F.size(facts), F.lit(1)))
+    hard, easy = F.col("level") == "hard", F.col("level") == "easy"
+    label = F.when((F.col("type") == "comparison") | (hard & (F.col("docs") >= 2)), "R4").when(hard, "R3").when(easy & (F.col("docs") == 1), "R1").when(easy, "R2").otherwise("R3")
+    return m.select("conv_id", label.alias("label"))
 
 
-@query(O.upto("GOLD", "select qs.query_id, query as question, coalesce(string_agg(distinct 'doc ' || doc_id, ' ' order by 'doc ' || doc_id), 'I cannot answer this.') as ground_truth from qs left join gold using (query_id) group by all"))
-def judge_export(b):
-    g = b.gold.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("doc "), F.col("doc_id").cast("string")))), " ").alias("t"))
-    return b.queries.join(g, "query_id", "left").select("query_id", F.col("query").alias("question"), F.coalesce("t", F.lit("I cannot answer this.")).alias("ground_truth"))
+_SAYS = "case failure_reason " + " ".join(f"when '{r}' then '{m}'" for r, m in E.MESSAGES) + " else 'The router chose not to answer.' end"
+_ANSWERS = O.upto("EVAL", "").rstrip() + f""", cq as (select query_id, ask.route, case when t is null then 'Please name the document, topic or period that you mean.' else 'Which of these do you mean: ' || array_to_string(t[1:3], '; ') || '?' end as question from ask left join (select query_id, route, list_sort(list(distinct title)) as t from pack group by all) p using (query_id, route)),
+told as (select ans.query_id, ans.route, confidence, abstained, failure_reason, case when abstained then 'I can''t answer this from the documents that you may read.' || chr(10) || chr(10) || {_SAYS} || chr(10) || chr(10) || question else text end as text, citations, cost from ans join decision d on d.query_id = ans.query_id and d.route = ans.route join cq on cq.query_id = ans.query_id and cq.route = ans.route)
+"""
 
 
-@query()
+@query(_ANSWERS + "select 'q' || query_id as request_id, null::varchar as error, route, confidence, abstained, failure_reason, text, citations, cost from told union all select 'e' || query_id, 'empty query', null, null, null, null, null, null, null from qs where query_id % 7 = 0 union all select 'u' || query_id, 'unknown user', null, null, null, null, null, null, null from qs where query_id % 11 = 0")
 def answer_batch(b):
-    """Every labelled query as the governed system answers it."""
+    """Every labelled query, follow-ups with their history, as the governed system answers it; requests without words or from unknown users are rows with an error."""
     chosen = b.decisions.select(F.col("query_id").alias("item_id"), "route", "confidence")
-    return b.answers.join(chosen, ["item_id", "route"]).select(F.col("item_id").alias("query_id"), "route", "confidence", "abstained", "failure_reason", "text", "citations", "cost")
+    told = b.answers.join(chosen, ["item_id", "route"])
+    n = F.col("query_id")
+    request = lambda kind: F.concat(F.lit(kind), n).alias("request_id")
+    asked = b.queries.select(request("q"), n, "asked", "user_id").unionByName(b.queries.where(n % 7 == 0).select(request("e"), n, F.lit(" ").alias("asked"), "user_id")).unionByName(b.queries.where(n % 11 == 0).select(request("u"), n, "asked", F.lit(-1).cast("long").alias("user_id")))
+    checked = E.checked_requests(asked, b.users)
+    good = checked.where("error is null").join(told.withColumnRenamed("item_id", "number").drop("query_id", "user_id"), n == F.col("number"), "left")
+    cols = ("route", "confidence", "abstained", "failure_reason", "text", "citations", "cost")
+    bad = checked.where("error is not null").select("request_id", "error", *(F.lit(None).cast(good.schema[c].dataType).alias(c) for c in cols))
+    return good.select("request_id", "error", *cols).unionByName(bad)
+
+
+@query(_ANSWERS + "select told.query_id, query as question, case when abstained then '[ABSTAINED: ' || failure_reason || '] ' || question else text end as answer, coalesce((select string_agg(c.text, chr(10) || '---' || chr(10) order by position) from pack p join chunks c using (chunk_id) where p.query_id = told.query_id and p.route = told.route), '') as contexts, case when should_abstain then 'The system should abstain from answering this question.' else coalesce((select string_agg(c.text, ' ' order by c.chunk_id) from gold g join gmatch m using (query_id, doc_id) join chunks c using (chunk_id) where g.query_id = told.query_id), '') end as ground_truth from told join qs using (query_id) join items using (query_id) join cq on cq.query_id = told.query_id and cq.route = told.route")
+def judge_export(b):
+    """Question, answer, contexts and the gold chunks' texts of every query as the governed system answers it."""
+    chosen = b.decisions.select(F.col("query_id").alias("item_id"), "route")
+    told = b.answers.join(chosen, ["item_id", "route"]).join(E.clarifying_question(b.ask_features, b.packs), "query_id")
+    texts = b.chunks.select("chunk_id", F.col("text").alias("chunk"))
+    in_order = lambda by, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, "chunk"))), lambda x: x["chunk"]), sep)
+    contexts = b.packs.join(texts, "chunk_id").groupBy("query_id").agg(in_order("position", "\n---\n").alias("contexts"))
+    truth = b.gold.join(b.gold_chunks, ["query_id", "doc_id"]).join(texts, "chunk_id").groupBy(F.col("query_id").alias("item_id")).agg(in_order("chunk_id", " ").alias("truth"))
+    i = b.items.select(F.col("query_id").alias("item_id"), "should_abstain").join(b.queries.select(F.col("query_id").alias("item_id"), F.col("query").alias("asked_query")), "item_id")
+    j = told.join(contexts, "query_id", "left").join(truth, "item_id", "left").join(i, "item_id")
+    none = lambda c: F.coalesce(c, F.lit(""))
+    return j.select(
+        F.col("item_id").alias("query_id"), F.col("asked_query").alias("question"), F.when(F.col("abstained"), F.concat(F.lit("[ABSTAINED: "), "failure_reason", F.lit("] "), "question")).otherwise(F.col("text")).alias("answer"),
+        none("contexts").alias("contexts"), F.when(F.col("should_abstain"), "The system should abstain from answering this question.").otherwise(none("truth")).alias("ground_truth"),
+    )
 
 
 # Files, embeddings, learning and streams: beyond SQL.
@@ -822,8 +913,9 @@ def feature_vectors(b):
 
 @query()
 def train_router(b):
-    """Labels from the rule router, so that the forest learns to agree with it."""
-    v = L.feature_vectors(b.features).join(b.decisions.select("query_id", F.col("route").alias("label")), "query_id").withColumn("id", F.col("query_id"))
+    """Labels are the gold routes: the cheapest route whose evidence holds gold."""
+    gold = V.gold_route(_split(b.packs).join(b.gold, ["query_id", "doc_id"], "left_semi").select("query_id", "route").distinct(), b.items)
+    v = L.feature_vectors(b.features).join(gold.select("query_id", F.col("gold_route").alias("label")), "query_id").withColumn("id", F.col("query_id"))
     v = V.stratified_split(v, "label")
     return L.predict(L.train_router(v), v).select("query_id", "label", "train", "predicted", "confidence")
 

@@ -13,6 +13,11 @@ TYPE_ROLES = (("policy", "employee"), ("policy", "hr"), ("policy", "manager"), (
 SEGMENT_ROLES = (("HOUSEHOLD", "hr"), ("MACHINERY", "engineering"), ("FURNITURE", "manager"), ("BUILDING", "finance"))
 
 
+def asked_at(query_id):
+    """When a query was asked: one every seven minutes of the reference day, so several share a time."""
+    return F.timestamp_add("MINUTE", query_id % 200 * 7, F.lit(REFERENCE_DATE).cast("timestamp_ntz"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -63,8 +68,9 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text) of all documents: whole texts, in every third one with headings and terms of notice,
     in another third with an allowance, so that sections and stated quantities occur."""
     n, line = F.col("doc_id"), "\n"
-    headed = F.concat(F.lit("# Part "), n, F.lit(line), "text", F.lit(line + "2. Terms of notice" + line + "The notice period is "), 10 + n % 4, F.lit(" days."))
-    allowed = F.concat("text", F.lit(line + "An allowance of "), 5 + n % 5, F.lit(" percent applies."))
+    number = F.floor(n / 140)
+    headed = F.concat(F.lit("# Part "), n, F.lit(line), "text", F.lit(line + "2. Terms of notice" + line + "The notice period is "), 10 + number % 4, F.lit(" days."))
+    allowed = F.concat("text", F.lit(line + "An allowance of "), 5 + number % 5, F.lit(" percent applies."))
     return table(spark, sf_dir, "documents").select("doc_id", F.when(n % 3 == 0, headed).when(n % 3 == 1, allowed).otherwise(F.col("text")).alias("text"))
 
 
