@@ -29,13 +29,19 @@ def scope_summary(users: DataFrame, user_roles: DataFrame, docs: DataFrame, doc_
     u = users.join(of(user_roles, "user_id"), "user_id", "left").withColumn("roles", F.coalesce("roles", F.array().cast("array<string>")))
     d = docs.select("doc_id", "doc_type").join(of(doc_roles, "doc_id"), "doc_id", "left").join(per_doc, "doc_id", "left").withColumn("roles", F.coalesce("roles", F.array().cast("array<string>")))
     groups = d.groupBy(F.col("roles").alias("doc_set"), "doc_type").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.coalesce("chunks", F.lit(0))).alias("chunks"))
-    can = F.arrays_overlap("roles", "doc_set")
-    sets = u.select("roles").distinct().crossJoin(F.broadcast(groups)).groupBy("roles").agg(
-        F.sum(F.when(can, F.col("chunks")).otherwise(0)).alias("allowed_chunks"),
-        F.sum(F.when(can, F.col("docs")).otherwise(0)).alias("allowed_docs"),
-        F.sum("chunks").alias("total_chunks"),
-        F.sum(F.when(~can, F.col("chunks")).otherwise(0)).alias("withheld"),
-        F.array_sort(F.collect_set(F.when(~can, F.col("doc_type")))).alias("withheld_types"),
+    # Sets of roles of users meet those of documents by role; nothing is broadcast and no set meets one that it shares no role with.
+    role = lambda df, c: df.select(c, F.explode(c).alias("role"))
+    reach = role(u.select("roles").distinct(), "roles").join(role(groups.select("doc_set").distinct(), "doc_set"), "role").select("roles", "doc_set").distinct()
+    mine = reach.join(groups, "doc_set").groupBy("roles", "doc_type").agg(F.sum("docs").alias("docs"), F.sum("chunks").alias("chunks"))
+    types = groups.groupBy("doc_type").agg(F.sum("docs").alias("all_docs"), F.sum("chunks").alias("all_chunks"))
+    # One row for each set of users' roles and document type, of which there are a handful.
+    per = u.select("roles").distinct().crossJoin(types).join(mine, ["roles", "doc_type"], "left").na.fill(0, ["docs", "chunks"])
+    sets = per.groupBy("roles").agg(
+        F.sum("chunks").alias("allowed_chunks"),
+        F.sum("docs").alias("allowed_docs"),
+        F.sum("all_chunks").alias("total_chunks"),
+        F.sum(F.col("all_chunks") - F.col("chunks")).alias("withheld"),
+        F.array_sort(F.collect_set(F.when(F.col("all_docs") > F.col("docs"), F.col("doc_type")))).alias("withheld_types"),
     )
     part = F.when(F.col("total_chunks") > 0, F.col("withheld") / F.col("total_chunks")).otherwise(0.0)
     return u.join(sets, "roles").select("user_id", "allowed_chunks", "allowed_docs", "total_chunks", "withheld", F.array_join("withheld_types", ",").alias("withheld_types"), F.round(part, 6).alias("restricted_fraction"))

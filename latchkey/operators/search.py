@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,11 +100,41 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / (norm(a) * norm(b))
 
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score, rank): exact search of all ``vectors`` for the query vectors, which are
-    few and broadcast; each partition keeps its own best before the shuffle."""
-    pairs = vectors.select("vec_id", "embedding").crossJoin(F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))))
-    scored = pairs.where("query_id <> vec_id").select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+def _block_best(k: int):
+    """Pairs of a block of vectors and a block of queries that may be among a query's best ``k``: all that are
+    within rounding of the block's ``k``-th."""
+
+    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("q", pa.list_(pa.float64())), ("embedding", pa.list_(pa.float64()))])
+        if not vectors.num_rows or not queries.num_rows:
+            return schema.empty_table()
+        unit = lambda x: x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
+        read = lambda t, c: np.array(t.column(c).to_pylist(), np.float64)
+        v, q = read(vectors, "embedding"), read(queries, "q")
+        ids, asked = vectors.column("vec_id").to_numpy(), queries.column("query_id").to_numpy()
+        score = unit(q) @ unit(v).T
+        score[asked[:, None] == ids[None, :]] = -2.0
+        least = np.partition(score, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
+        a, b = np.nonzero((score >= least[:, None] - 2e-6) & (score > -2.0))
+        return pa.table([pa.array(asked[a]), pa.array(ids[b]), pa.array(list(q[a]), schema.field("q").type), pa.array(list(v[b]), schema.field("q").type)], schema=schema)
+
+    return run
+
+
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 16_384, asked: int = 4_096) -> DataFrame:
+    """(query_id, vec_id, score, rank): exact search of all ``vectors`` for the query vectors.
+
+    Both sides are dealt out to blocks of about ``block`` vectors and ``asked`` queries; each pair of blocks is
+    one product of matrices, which passes on its best ``k`` for each query. Nothing is broadcast, and no
+    task holds more than two blocks, whatever the sizes."""
+    n = vectors.count() // block + 1
+    m = queries.count() // asked + 1
+    double = lambda c: F.transform(c, lambda x: x.cast("double"))
+    v = vectors.select("vec_id", double("embedding").alias("embedding"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("qb"))
+    q = queries.select(F.col("vec_id").alias("query_id"), double("embedding").alias("q"), F.pmod(F.xxhash64("vec_id"), F.lit(m)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("vb"))
+    v, q = (d.withColumns({"vb": F.col("vb").cast("int"), "qb": F.col("qb").cast("int")}) for d in (v, q))
+    pairs = v.groupBy("vb", "qb").cogroup(q.groupBy("vb", "qb")).applyInArrow(_block_best(k), "query_id long, vec_id long, q array<double>, embedding array<double>")
+    scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

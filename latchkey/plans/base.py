@@ -29,15 +29,20 @@ class Base:
     """All stages from documents to answers as relations of one directory. A stage that others build on
     is written to the shared folder once per application."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.dir = spark, sf_dir
+    #: Stages that don't depend on who asks what.
+    CORPUS = frozenset(("docs", "chunks", "postings", "size", "bm25-idf", "term-idf", "tfidf", "claims"))
+
+    def __init__(self, spark: SparkSession, sf_dir: str, asked: DataFrame | None = None, tag: str = "") -> None:
+        """``asked`` replaces the labelled queries of the directory; its stages are kept under ``tag``."""
+        self.spark, self.dir, self.asked, self.tag = spark, sf_dir, asked, tag
         self.today = F.lit(S0.REFERENCE_DATE).cast("date")
 
     def table(self, name: str) -> DataFrame:
         return S0.table(self.spark, self.dir, name)
 
     def _kept(self, name: str, build) -> DataFrame:
-        return kept(self.spark, f"{self.dir}/{name}", build)
+        of = f"{self.dir}/{{documents,benchmark,customer}}.parquet"
+        return kept(self.spark, f"{self.dir}/{name if name in self.CORPUS else self.tag + name}", build, (of,))
 
     @cached_property
     def docs(self) -> DataFrame:
@@ -57,7 +62,7 @@ class Base:
 
     @cached_property
     def queries(self) -> DataFrame:
-        return S0.queries(self.spark, self.dir)
+        return S0.queries(self.spark, self.dir) if self.asked is None else self.asked
 
     @cached_property
     def scope(self) -> DataFrame:

@@ -892,12 +892,14 @@ def hash_embed(b):
 
 @query()
 def lsa_fit(b):
-    return D.lsa_fit(b.vectors, 16, most_terms=4000).select("term", F.size("vector").alias("dimensions"))
+    """Every term with its vector."""
+    return D.lsa_fit(b.vectors, 64)
 
 
 @query()
 def lsa_fold_in(b):
-    return D.lsa_fold_in(b.vectors, D.lsa_fit(b.vectors, 16, most_terms=4000))
+    """Every chunk with its vector."""
+    return D.lsa_fold_in(b.vectors, D.lsa_fit(b.vectors, 64))
 
 
 @query()
@@ -920,12 +922,13 @@ def train_router(b):
     return L.predict(L.train_router(v), v).select("query_id", "label", "train", "predicted", "confidence")
 
 
-@query("select conv_id * 1000 + turn as turn_id, sha256(lower(trim(text))) as query_hash from conversations where role = 'user'")
+@query(_AUDIT + "select query_id, query_hash, user_id, route, used_docs, citations, abstained, failure_reason, cost from au")
 def audit_stream(b):
-    """Users' turns arrive as a stream of files; each micro-batch writes hashed audit rows once."""
+    """Queries arrive as a stream of files; each micro-batch is answered like a batch, and its audit rows are written once."""
     at = _folder(b, "stream")
-    turns = b.turns.select("turn_id", "query")
-    turns.write.parquet(f"{at}/in")
-    stream = b.spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 4).parquet(f"{at}/in")
-    start_audit_stream(stream, lambda d: d.select("turn_id", F.sha2(F.lower(F.trim("query")), 256).alias("query_hash")), f"{at}/out", f"{at}/state").awaitTermination()
-    return b.spark.read.parquet(f"{at}/out").select("turn_id", "query_hash")
+    b.queries.repartition(2, "query_id").write.parquet(f"{at}/in")
+    stream = b.spark.readStream.schema(b.queries.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    cols = ("query_id", "query_hash", "user_id", "route", "used_docs", "citations", "abstained", "failure_reason", "cost")
+    answer = lambda batch: Base(b.spark, b.dir, batch, f"{uuid.uuid4().hex}/").audit.select(*cols)
+    start_audit_stream(stream, answer, f"{at}/out", f"{at}/state").awaitTermination()
+    return b.spark.read.parquet(f"{at}/out").select(*cols)

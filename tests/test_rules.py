@@ -1,10 +1,12 @@
 """Rules on small literal tables with results worked out by hand."""
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from latchkey.functions import text as T
+from latchkey.operators import embed as D
 from latchkey.operators import evaluate as V
 from latchkey.operators import evidence as E
 from latchkey.operators import governance as G
@@ -141,3 +143,74 @@ def test_corpus_scan(spark, tmp_path):
     got = {r.path[-4:]: (r.text, r.error) for r in S1.corpus_scan(spark, str(tmp_path)).collect()}
     assert got["a.md"[-4:]] == ("café", None) and got[".txt"[-4:]][1] in (None, "empty file") and got[".exe"][1] == "unsupported type: exe"
     assert S1.run_id({"a": 1, "b": 2}) == S1.run_id({"b": 2, "a": 1})
+
+
+def test_latent_semantics_of_all_terms(spark):
+    """Term vectors and texts against a plain singular value decomposition; every term has a vector."""
+    random = np.random.RandomState(3)
+    a = np.where(random.rand(40, 25) < 0.3, random.rand(40, 25), 0) + np.outer(random.rand(40), random.rand(25))
+    rows = [(f"t{j}", f"c{i}", float(a[i, j])) for i in range(40) for j in range(25) if a[i, j]]
+    vectors = spark.createDataFrame(rows, "term string, chunk_id string, weight double")
+    got = {r.term: np.array(r.vector) for r in D.lsa_fit(vectors, 6, extra=19).collect()}
+    _, s, v = np.linalg.svd(a, full_matrices=False)
+    want = (v[:6] * s[:6, None]).T
+    found = np.stack([got[f"t{j}"] for j in range(25)])
+    assert len(got) == 25 and np.allclose(found @ found.T, want @ want.T, atol=1e-6)
+    texts = {r.chunk_id: np.array(r.vector) for r in D.lsa_fold_in(vectors, D.lsa_fit(vectors, 6, extra=19)).collect()}
+    plain = a @ want
+    plain /= np.linalg.norm(plain, axis=1, keepdims=True)
+    both = np.stack([texts[f"c{i}"] for i in range(40)])
+    assert np.allclose(both @ both.T, plain @ plain.T, atol=1e-6)
+    unknown = spark.createDataFrame([("zz", "new", 1.0), ("t1", "old", 1.0)], vectors.schema)
+    folded = {r.chunk_id: r.vector for r in D.lsa_fold_in(unknown, D.lsa_fit(vectors, 6)).collect()}
+    assert not any(folded["new"]) and any(folded["old"])
+    with pytest.raises(ValueError):
+        D.lsa_fit(vectors.limit(0), 6)
+
+
+def test_nearest_vectors_in_blocks(spark):
+    """Small blocks give what one product gives; approximate search never returns too few."""
+    random = np.random.RandomState(4)
+    x = random.randn(300, 8)
+    v = spark.createDataFrame([(i, [float(y) for y in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    q = v.where("vec_id % 50 = 0")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in S.cosine_topk(q, v, 5, block=37, asked=2).collect()}
+    unit = x.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    for i in range(0, 300, 50):
+        score = np.round(unit @ unit[i], 6)
+        score[i] = -2
+        assert [got[i, n] for n in range(1, 6)] == sorted(range(300), key=lambda j: (-score[j], j))[:5]
+    assert S.cosine_topk(q.limit(0), v, 5).count() == 0
+    near = D.ann_topk(q, v, 299).groupBy("query_id").count().collect()
+    assert len(near) == 6 and all(r["count"] == 299 for r in near)
+
+
+def test_evidence_gate(spark):
+    today = F.lit("2026-08-19").cast("date")
+    evidence = spark.createDataFrame(
+        [(1, 7, 10, 0.5, "policy", 4, 1, None), (2, 7, 11, 0.05, "wiki", 1, 1, None), (3, 7, 12, 0.5, "policy", 2, 1, None), (4, 7, 13, 0.5, "wiki", 2, 1, 99), (5, 7, 99, 0.9, "wiki", 5, 1, None)],
+        "query_id int, user_id int, doc_id int, score double, doc_type string, authority_score int, position int, superseded_by int",
+    ).withColumn("effective_date", F.lit("2024-01-01").cast("date"))
+    f = spark.createDataFrame([(1, "lookup", 9, 0.1, False), (2, "lookup", 9, 0.1, False), (3, "lookup", 9, 0.1, False), (4, "comparison", 9, 0.1, True), (5, "lookup", 9, 0.1, False), (6, "lookup", 9, 0.1, False)], "query_id int, intent string, query_length_tokens int, semantic_ambiguity double, freshness_required boolean")
+    scope = spark.createDataFrame([(7, d) for d in (10, 11, 12, 13)], "user_id int, doc_id int")
+    got = {r.query_id: r for r in E.sufficiency(f.select("query_id"), evidence, f, today, scope).collect()}
+    assert [got[i].failure_reason for i in range(1, 7)] == [None, "low_relevance", "low_authority", "insufficient_diversity", "acl_violation", "no_authorised_evidence"]
+    assert got[4].checks.freshness is False and got[4].checks.diversity is False and got[1].checks.asDict() == {"acl": True, "evidence": True, "relevance": True, "count": True, "diversity": True, "authority": True, "clarity": True, "freshness": True}
+
+
+def test_requests_and_numeric_disclosure(spark):
+    r = spark.createDataFrame([("a", " ", 1), ("b", "x", 2), ("c", "x", 1), ("d", None, 1)], "request_id string, asked string, user_id int")
+    users = spark.createDataFrame([(1,)], "user_id int")
+    assert {x.request_id: x.error for x in E.checked_requests(r, users).collect()} == {"a": "empty query", "b": "unknown user", "c": None, "d": "empty query"}
+    selected = spark.createDataFrame([(1, "a::c000", 0, 0, "Notice is 20 days.")], "query_id int, chunk_id string, chunk_rank int, place int, sentence string")
+    none = spark.createDataFrame([], "query_id int, versions string")
+    notes = spark.createDataFrame([], "query_id int, notes string")
+    numeric = spark.createDataFrame([(1, "notice", "day", "20.0,30.5")], "query_id int, topic string, unit string, values_stated string")
+    assert E.answer_text(selected, none, notes, numeric).head().answer == "- Notice is 20 days. [a::c000]\n\n**Conflicting sources**\n- different values for notice in day: 20 and 30.5"
+
+
+def test_stratified_split_of_hash_order(spark):
+    rows = spark.range(2000).select("id", F.when(F.col("id") % 7 == 0, "a").otherwise("b").alias("c")).unionByName(spark.createDataFrame([(5000, None), (5001, None)], "id long, c string"))
+    got = V.stratified_split(rows, "c").groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("train").cast("int")).alias("t")).collect()
+    assert all(r.t == int(0.8 * r.n) for r in got) and len(got) == 3
