@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.conf.get("latchkey.checkpoint.dir", None)
+        if not at and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not at:
             at = "file://" + tempfile.mkdtemp(prefix="latchkey-")
             spark.conf.set("latchkey.checkpoint.dir", at)
