@@ -64,6 +64,19 @@ def text_column(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def join_hot(rows: DataFrame, table: DataFrame, key: str, most: int = 2000) -> DataFrame:
+    """``rows`` with the columns of ``table`` (one row for each key) for their key, null where it has none.
+
+    Keys that hold more than one in ``most`` of all rows are fewer than ``most`` whatever the input, so
+    their part of ``table`` is broadcast and their rows stay where they are; the others' rows are too
+    few to fill a task and are joined by an ordinary shuffle."""
+    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    hot = staged(n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("all")))).where(F.col("n") * most > F.col("all")).select(key), "hot")
+    few = F.broadcast(table.join(F.broadcast(hot), key, "left_semi"))
+    busy = rows.join(F.broadcast(hot), key, "left_semi").join(few, key, "left")
+    return busy.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key, "left"))
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): ``component`` is the smallest node that links reach from ``node``.
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latchkey.llm.common import connected_components, small_batches, staged, text_column
+from latchkey.llm.common import connected_components, join_hot, small_batches, staged, text_column
 
 SEED = 42
 #: Words that are hashed at once, for texts of any length.
@@ -137,7 +137,7 @@ def components_of(prints: DataFrame, distance: int = 3, short: int = 256, long:
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
     linked = linked.join(least, "component").select("fp", "least", F.lit(True).alias("linked"))
     known = nodes.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("first")).alias("component_id"))
-    return prints.join(known, "fp").select("doc_id", "fp", "component_id")
+    return join_hot(prints, staged(known, "components"), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, short: int = 256, long: int = 16_384) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latchkey.llm.common import staged
+from latchkey.llm.common import join_hot, staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, rule); a rule is a host, then the start of a path.
@@ -34,16 +34,8 @@ def _suffixes(host):
 
 
 def _with_host(pages: DataFrame, table: DataFrame, most: int = 2000) -> DataFrame:
-    """``pages`` with the columns of ``table`` (one row for each host) for their host, null where it has none.
-
-    Hosts that hold more than one in ``most`` of all pages are fewer than ``most`` whatever the input, so
-    their rows of ``table`` are broadcast and their pages stay where they are; the others' pages are
-    too few to fill a task and are joined by an ordinary shuffle."""
-    n = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    hot = staged(n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("all")))).where(F.col("n") * most > F.col("all")).select("host"), "hot")
-    few = F.broadcast(table.join(F.broadcast(hot), "host", "left_semi"))
-    busy = pages.join(F.broadcast(hot), "host", "left_semi").join(few, "host", "left")
-    return busy.unionByName(pages.join(F.broadcast(hot), "host", "left_anti").join(table, "host", "left"))
+    """``pages`` with the columns of ``table`` (one row for each host) for their host, null where it has none."""
+    return join_hot(pages, table, "host", most)
 
 
 def apply_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
