@@ -130,39 +130,44 @@ CLASSES = ((110, 28, 20, 2), (60, 24, 18, 3), (24, 20, 14, 5))
 SIZES = (3, 4)
 #: Starts that walk together, so that they stay in the processor's cache.
 WALK = 1 << 15
-#: Steps after which windows that can't be an item's are dropped, walked in 32 bits: for classes of up to 8,192
-#: windows of items, and for larger ones. Only time depends on it.
-EARLY = (10, 16)
+#: Steps after which windows that can't be an item's are dropped, walked in 32 bits. Only time depends on it.
+EARLY = 20
 #: Places of a found window that are checked as one.
 NEAR = 8
 
 
 def _glance(coins: np.ndarray, sampled: np.ndarray) -> np.ndarray:
     """20-bit keys of the steps ``sampled`` of walks from all places of ``coins`` but the last 64. It has the
-    upper halves of the bytes' random numbers: the same coins, and as good to tell bytes apart."""
-    at = np.arange(len(coins) - 64)
-    key = np.zeros(len(at), np.uint32)
-    for step, used in enumerate(sampled):
-        v = coins[at]
-        if used:
+    upper halves of the bytes' random numbers: the same coins, and as good to tell bytes apart. Walks are
+    followed from their last step back: what is left of a walk goes on from its place or from the next one,
+    so each step takes all places at once in their order."""
+    key = np.zeros(len(coins) - 64 + len(sampled), np.uint32)
+    for step in range(len(sampled) - 1, -1, -1):
+        v = coins[: len(key) - 1]
+        moves = v >> np.uint32(step)
+        moves &= np.uint32(1)
+        np.negative(moves, out=moves)
+        moves &= key[:-1] ^ key[1:]
+        key = key[:-1] ^ moves
+        if sampled[step]:
             key *= SMALL_MULTIPLIER
             key ^= v
-        at += ((v >> np.uint32(step)) & np.uint32(1)).astype(np.int64)
     return (key * SMALL_MULTIPLIER) >> np.uint32(12)
 
 
-def walk(coins: np.ndarray, starts: np.ndarray | None, sampled: np.ndarray, early: np.ndarray | None = None, glance: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def walk(numbers: np.ndarray, text: np.ndarray, starts: np.ndarray | None, sampled: np.ndarray, early: np.ndarray | None = None, glance: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Starts of windows and their LSH keys: the CGK random walk writes the byte it stands on at each step
     and moves on if the step's coin for that byte says so, which turns few edits into few differing steps;
-    the key is made of the bytes at the sampled steps. ``coins`` has the byte's random number at each place,
-    which stands for the byte in keys and holds its coins as bits. With a bitmap ``early`` walks start at all
-    places but the last 64, and those whose first ``glance`` steps aren't in it are dropped after them."""
+    the key is made of the bytes at the sampled steps. ``numbers`` has a random number for each byte, which
+    stands for the byte in keys and holds its coins as bits. With a bitmap ``early`` walks start at all
+    places of ``text`` but the last 64, and those whose first ``glance`` steps aren't in it are dropped after them."""
     if early is not None:
-        upper = [(coins[i : i + WALK + 64] >> np.uint64(32)).astype(np.uint32) for i in range(0, len(coins) - 64, WALK)]
-        starts = np.concatenate([np.zeros(0, np.int64), *(i * WALK + np.flatnonzero(early[_glance(part, sampled[:glance])]) for i, part in enumerate(upper))])
+        upper = (numbers >> np.uint64(32)).astype(np.uint32)
+        parts = (upper.take(text[i : i + WALK + 64]) for i in range(0, len(text) - 64, WALK))
+        starts = np.concatenate([np.zeros(0, np.int64), *(i * WALK + np.flatnonzero(early.take(_glance(part, sampled[:glance]))) for i, part in enumerate(parts))])
     at, key = starts, np.zeros(len(starts), np.uint64)
     for step, used in enumerate(sampled):
-        v = coins.take(at)
+        v = numbers.take(text.take(at))
         if used:
             key *= MULTIPLIER
             key ^= v
@@ -205,12 +210,12 @@ def build_index(items: list[tuple[int, str]], similarity: float = 0.8, classes:
         if not mine:
             continue
         keys, whose, offsets, early = [], [], [], np.zeros((repeats, 1 << 20), bool)
-        glance = EARLY[sum(len(kept[n][1]) for n in mine) > 8192]
+        glance = min(EARLY, steps)
         for n in mine:
             b = kept[n][1]
             starts = np.arange(0, len(b) - steps // 2 + 1)
             padded = np.frombuffer(b + bytes(64), np.uint8)
-            keys.append(np.stack([walk(coins[r][padded], starts, sampled[r])[1] for r in range(repeats)]))
+            keys.append(np.stack([walk(coins[r], padded, starts, sampled[r])[1] for r in range(repeats)]))
             for r in range(repeats):
                 early[r, _glance((coins[r] >> np.uint64(32)).astype(np.uint32)[padded], sampled[r, :glance])[starts]] = True
             whose.append(np.full(len(starts), n, np.int64))
@@ -240,7 +245,7 @@ def _spots(index: Index, buffer: np.ndarray, ends: np.ndarray, first: np.ndarray
         part, found = buffer[lo : lo + BATCH + 64], [np.zeros(0, np.int64)]
         for c in index.classes:
             for r in range(len(c["coins"])):
-                begin, key = walk(c["coins"][r][part], None, c["sampled"][r], c["early"][r], c["glance"])
+                begin, key = walk(c["coins"][r], part, None, c["sampled"][r], c["early"][r], c["glance"])
                 maybe = np.flatnonzero(c["seen"][r][(key >> np.uint64(44)).astype(np.int64)])
                 left = np.searchsorted(c["keys"][r], key[maybe], "left")
                 many = np.searchsorted(c["keys"][r], key[maybe], "right") - left
@@ -265,8 +270,9 @@ def _spots(index: Index, buffer: np.ndarray, ends: np.ndarray, first: np.ndarray
                     begin = first[some[:, 0]] + some[:, 2] * NEAR - most
                     places = np.clip(begin[:, None] + np.arange(n + 2 * most + NEAR - q + 1), 0, len(every) - 1)
                     shared = np.cumsum(np.unpackbits(has).view(bool)[every[places]], axis=1, dtype=np.int32)
-                    shared[:, n + most - q + 1 :] -= shared[:, : shared.shape[1] - (n + most - q + 1)].copy()
-                    some = some[shared.max(axis=1) >= least]
+                    width = n + most - q + 1
+                    inside = np.maximum(shared[:, width - 1], (shared[:, width:] - shared[:, :-width]).max(axis=1, initial=0))
+                    some = some[inside >= least]
                 out.append(some)
     return np.unique(np.concatenate(out), axis=0)
 
