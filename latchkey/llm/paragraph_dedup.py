@@ -31,26 +31,46 @@ def bands_for(similarity: float, recall: float, rows: int) -> int:
     return int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**rows)))
 
 
+def _shingle_numbers(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of the lower-cased word shingles of all ``texts`` one after another, and where each
+    text's begin; a text of fewer words gives one. Words are hashed once, shingles from their words' hashes."""
+    import xxhash
+
+    split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    n = np.array([len(w) for w in split], np.int64)
+    # Zeros after each text's words, so that a shingle of a short text has as many numbers as any other.
+    width = np.maximum(n, 1) + words - 1
+    begin = np.cumsum(width) - width
+    h = np.zeros(int(width.sum()), np.uint64)
+    place = np.arange(int(n.sum())) + np.repeat(begin - (np.cumsum(n) - n), n)
+    h[place] = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for w in split for x in w), np.uint64, len(place))
+    grams = np.zeros(len(h) - words + 1, np.uint64)
+    for k in range(words):
+        grams *= np.uint64(0x9E3779B97F4A7C15)
+        grams += h[k : k + len(grams)]
+    grams ^= grams >> np.uint64(29)
+    grams *= np.uint64(0xBF58476D1CE4E5B9)
+    many = np.maximum(n - words + 1, 1)
+    starts = np.cumsum(many) - many
+    return (grams >> np.uint64(32)).astype(np.uint32)[np.arange(int(many.sum())) + np.repeat(begin - starts, many)], starts
+
+
 def band_keys(texts: list[str], words: int, bands: int, rows: int) -> np.ndarray:
     """A 64-bit key for each text and band."""
     random = np.random.RandomState(SEED)
     odd = (random.randint(0, 1 << 31, bands * rows).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
     flip = random.randint(0, 1 << 32, bands * rows, dtype=np.uint64).astype(np.uint32)
-    out = np.zeros((len(texts), bands), np.uint64)
-    for i, t in enumerate(texts):
-        h = shingles(t, words)
-        least = np.full(bands * rows, 0xFFFFFFFF, np.uint32)
-        for k in range(0, len(h), 4096):
-            x = (h[k : k + 4096] >> np.uint64(32)).astype(np.uint32)[:, None] ^ flip[None, :]
-            x = x * odd[None, :]
-            x ^= x >> np.uint32(15)
-            x *= np.uint32(0x2C1B3C6D)
-            least = np.minimum(least, x.min(axis=0))
-        key = np.arange(bands, dtype=np.uint64) + np.uint64(1)
-        for j in range(rows):
-            key = (key ^ least[j::rows]) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(31)
-        out[i] = key
+    if not texts:
+        return np.zeros((0, bands), np.uint64)
+    h, starts = _shingle_numbers(texts, words)
+    out = np.tile(np.arange(bands, dtype=np.uint64) + np.uint64(1), (len(texts), 1))
+    for j in range(bands * rows):
+        x = h ^ flip[j]
+        x *= odd[j]
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x2C1B3C6D)
+        key = (out[:, j // rows] ^ np.minimum.reduceat(x, starts)) * np.uint64(0x9E3779B97F4A7C15)
+        out[:, j // rows] = key ^ (key >> np.uint64(31))
     return out
 
 
@@ -278,7 +298,9 @@ def repeated_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8
     """
     small_batches(docs.sparkSession)
     lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text_column(text_col), "\n")).alias("paragraph", "text"))
-    lines = lines.where(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) >= least_words)
+    blank, word = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+    if least_words > 0:
+        lines = lines.where(F.col("text").rlike(f"^{blank}*+(?:{word}++{blank}++){{{least_words - 1}}}{word}"))
     keyed = lines.select("doc_id", "paragraph", F.substring(F.sha2("text", 256), 1, 32).alias("id"), "text")
     places = staged(keyed.select("doc_id", "paragraph", "id"), "places")
     distinct = staged(keyed.groupBy("id").agg(F.min("text").alias("text")), "paragraphs")
