@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latchkey.llm import decontaminate, exact_dedup, mixing, paragraph_dedup, pii, simhash, suffix_dedup, tokens, toxicity, url_filter
+from latchkey.llm import decontaminate, exact_dedup, mixing, paragraph_dedup, periodic, pii, simhash, suffix_dedup, tokens, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.periodic_runs(periodic.planted(_table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -74,6 +78,7 @@ QUERIES = {
         op8_toxicity,
         op9_pii_surrogates,
         op10_url_filter,
+        op11_periodic_runs,
     )
 }
 ORACLE_SQL = {"op3_source_mixing": mixing.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
