@@ -63,9 +63,9 @@ def shouting(text: str, words: list[str]) -> bool:
 
 
 def repeated_lines(text: str, words: list[str]) -> bool:
-    """Over three of ten lines with a word are equal to an earlier one."""
+    """Over half of the lines with a word are equal to an earlier one."""
     lines = _lines(text)
-    return 10 * (len(lines) - len(set(lines))) > 3 * len(lines)
+    return 2 * (len(lines) - len(set(lines))) > len(lines)
 
 
 def top_word(text: str, words: list[str]) -> bool:
@@ -217,6 +217,6 @@ s AS (
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
   NOT (base_failed OR 10 * n_symbols > n_words OR marks > n_words OR 10 * digits > 3 * word_chars OR word_chars < 3 * n_words OR word_chars > 12 * n_words
-    OR 10 * lettered < 6 * n_words OR 2 * shouted > n_words OR 10 * n_dup_lines > 3 * n_lines OR 10 * top > 3 * n_words) AS kept
+    OR 10 * lettered < 6 * n_words OR 2 * shouted > n_words OR 2 * n_dup_lines > n_lines OR 10 * top > 3 * n_words) AS kept
 FROM b
 """

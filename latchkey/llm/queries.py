@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latchkey.llm import decontaminate, exact_dedup, mixing, paragraph_dedup, periodic, pii, quality, simhash, suffix_dedup, tokens, toxicity, url_filter
+from latchkey.llm import conversations, decontaminate, exact_dedup, mixing, paragraph_dedup, periodic, pii, quality, simhash, suffix_dedup, tokens, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.periodic_runs(periodic.planted(_table(spark, sf_dir, "documents"))))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents")).drop("failed_rule")
 
@@ -83,6 +87,7 @@ QUERIES = {
         op9_pii_surrogates,
         op10_url_filter,
         op11_periodic_runs,
+        op12_conversation_repair,
         op13_quality_rules,
     )
 }

@@ -25,7 +25,7 @@ def test_repeat_words():
 def texts():
     upper = " ".join(f"{w.upper()}!!" for w in PROSE.split())
     junk = " ".join(w + "***" for w in PROSE.split())
-    lines = "\n".join(f"{w} {v}" for w, v in zip(PROSE.split(), reversed(PROSE.split()), strict=True)) + "\nsame line\n" * 14
+    lines = "\n".join(f"{w} {v}\nsame\nline" for w, v in zip(PROSE.split(), reversed(PROSE.split()), strict=True))
     return [None, "", " \n", "short text", PROSE, PROSE + " " + PROSE, upper, junk, lines, " ".join(map(str, range(100, 140))), " ".join("ab" * 9 + str(i) for i in range(30)), " ".join(f"the w{i}" for i in range(25)), "a " * 100, PROSE + " " * 5, " ".join("xyzwv"[i % 5] + chr(97 + i) for i in range(26)), "x" * 300_000 + " " + PROSE]
 
 
