@@ -122,6 +122,8 @@ def repaired(rows: list[Row], audit: str, state: int) -> list[str]:
 _ROW = pa.struct([("role", pa.string()), ("text", pa.string()), ("copies", pa.int64()), ("truncated", pa.bool_()), ("gone", pa.bool_())])
 _FACTS = ["blank", "duplicate", "truncated", "illegal", "turns", "first_turn", "last_turn"]
 _BLOCK = f"conv_id string, part int, block int, {', '.join(f'{n} bigint' for n in _FACTS)}, first_role string, last_role string, cross array<bigint>, rows array<struct<role:string,text:string,copies:bigint,truncated:boolean,gone:boolean>>"
+_RESULT = pa.schema([("conv_id", pa.string()), *[(n, pa.int64()) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")], ("audit", pa.string()), ("repaired_sha256", pa.string())])
+_ANSWER = "conv_id string, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string"
 _LEGAL = ("su", "ua", "au")
 
 
@@ -163,7 +165,14 @@ class _Block:
                 "rows": [dict(zip(("role", "text", "copies", "truncated", "gone"), r, strict=True)) for r in self.rows]}
 
 
-_BLOCK_ARROW = pa.schema([("conv_id", pa.string()), ("part", pa.int32()), ("block", pa.int32()), *[(n, pa.int64()) for n in _FACTS], ("first_role", pa.string()), ("last_role", pa.string()), ("cross", pa.list_(pa.int64())), ("rows", pa.list_(_ROW))])
+    def solved(self) -> dict:
+        audit, state = walk(self.rows, END, 0, True)
+        done = _Joined(self.conv)
+        done.add({**self.facts, "first_role": self.first_role, "last_role": self.last_role, "audits": [audit], "exits": [state]}, self.rows)
+        return {"done": done.row()}
+
+
+_BLOCK_ARROW = pa.schema([("conv_id", pa.string()), ("part", pa.int32()), ("block", pa.int32()), *[(n, pa.int64()) for n in _FACTS], ("first_role", pa.string()), ("last_role", pa.string()), ("cross", pa.list_(pa.int64())), ("rows", pa.list_(_ROW)), ("done", pa.struct(list(_RESULT)))])
 
 
 def _emit(rows: Iterator[tuple[dict, int]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -180,11 +189,12 @@ def _emit(rows: Iterator[tuple[dict, int]], schema: pa.Schema) -> Iterator[pa.Re
 
 
 def _cutter(first: int):
-    """Blocks of the sorted rows of one partition. A marker row before a row says that its text is new."""
+    """Blocks of the sorted rows of one partition. A marker row before a row says that its text is new.
+        A conversation of one block that lies inside the partition is solved at once."""
 
     def cut(batches):
         def blocks():
-            now, new = None, None
+            now, new, inner = None, None, False
             for batch in batches:
                 for part, conv, turn, role, key, text, n in zip(*[batch.column(c).to_pylist() for c in ("part", "conv_id", "turn", "role", "key", "text", "n")], strict=True):
                     if n == 0:
@@ -192,7 +202,11 @@ def _cutter(first: int):
                         continue
                     same = now is not None and now.conv == conv
                     if now is not None and (not same or len(now.rows) >= first + now.block or now.chars >= MOST_CHARS):
-                        yield now.row(), now.chars
+                        if inner and not same and now.block == 0:
+                            yield now.solved(), 0
+                        else:
+                            yield now.row(), now.chars
+                        inner = inner or not same
                         now = _Block(conv, part, now.block + 1 if same else 0)
                     now = now or _Block(conv, part, 0)
                     now.add(turn, role, text, n, new != (conv, turn, role, key))
@@ -227,7 +241,7 @@ def _checkpoints(batches):
     return _emit(marks(), _MARK)
 
 
-_PIECE = pa.schema([*[f for f in _BLOCK_ARROW if f.name not in ("cross",)], ("audits", pa.list_(pa.string())), ("exits", pa.list_(pa.int64()))])
+_PIECE = pa.schema([*[f for f in _BLOCK_ARROW if f.name not in ("cross", "done")], ("audits", pa.list_(pa.string())), ("exits", pa.list_(pa.int64()))])
 
 
 def _walks(batches):
@@ -243,9 +257,6 @@ def _walks(batches):
     return _emit(pieces(), _PIECE)
 
 
-_RESULT = pa.schema([("conv_id", pa.string()), *[(n, pa.int64()) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")], ("audit", pa.string()), ("repaired_sha256", pa.string())])
-
-
 class _Joined:
     """A conversation put together from its blocks in order; texts only pass through the digest."""
 
@@ -255,7 +266,7 @@ class _Joined:
         self.low = self.high = self.role = None
         self.kept_truncated = 0
 
-    def add(self, b: dict) -> None:
+    def add(self, b: dict, rows: list[Row]) -> None:
         for n in self.sums:
             self.sums[n] += b[n]
         if b["first_turn"] is not None:
@@ -265,7 +276,6 @@ class _Joined:
         if self.role is not None:
             self.sums["illegal"] += self.role + b["first_role"] not in _LEGAL
         self.role = b["last_role"]
-        rows = [tuple(r.values()) for r in b["rows"]]
         audit = b["audits"][self.state]
         for line in repaired(rows, audit, self.state):
             self.sha.update((("\n" if self.any else "") + line).encode())
@@ -296,7 +306,7 @@ def _join_blocks(batches):
                     if now is not None:
                         yield now.row(), sum(map(len, now.audit))
                     now = _Joined(b["conv_id"])
-                now.add(b)
+                now.add(b, [tuple(r.values()) for r in b["rows"]])
         if now is not None:
             yield now.row(), sum(map(len, now.audit))
 
@@ -323,7 +333,7 @@ def repair(rows: DataFrame, first: int = FIRST) -> DataFrame:
     empty result; other columns are not looked at.
 
     No task needs a whole conversation in memory: equal rows are counted before they move, sorted ranges
-    cut a long conversation anywhere, its blocks grow with the square root of its rows, only the costs
+    cut a long conversation anywhere (one of a single block inside a range is solved there), its blocks grow with the square root of its rows, only the costs
     of crossing a block go to the backward pass that leaves a checkpoint behind each block, and blocks are walked
     forward on their own for each state they may be entered in. The last pass streams blocks in order.
     """
@@ -339,7 +349,8 @@ def repair(rows: DataFrame, first: int = FIRST) -> DataFrame:
     new = new.select("conv_id", F.col("t.turn").alias("turn"), "role", "key", F.lit("").alias("text"), F.lit(0).cast("long").alias("n"))
     order = ["conv_id", "turn", "role", "key"]
     dealt = once.unionByName(new).repartitionByRange(*order).sortWithinPartitions(*order, "n")
-    blocks = staged(dealt.withColumn("part", F.spark_partition_id()).mapInArrow(_cutter(first), _BLOCK), "blocks")
+    blocks = staged(dealt.withColumn("part", F.spark_partition_id()).mapInArrow(_cutter(first), _BLOCK + ", done struct<" + _ANSWER.replace(" ", ":").replace(",:", ",") + ">"), "blocks")
+    done, blocks = blocks.where("done is not null").select("done.*"), blocks.where("done is null").drop("done")
 
     light = blocks.select("conv_id", "part", "block", "cross").repartition("conv_id").sortWithinPartitions("conv_id", F.desc("part"), F.desc("block"))
     marks = light.mapInArrow(_checkpoints, "part int, block int, conv_id string, after array<bigint>, last boolean, alone boolean")
@@ -347,7 +358,7 @@ def repair(rows: DataFrame, first: int = FIRST) -> DataFrame:
     met = blocks.join(marks, on).select(*[blocks[c] for c in blocks.columns if c != "cross"], marks["after"], marks["last"], marks["alone"])
     pieces = met.mapInArrow(_walks, f"{_BLOCK.replace(' cross array<bigint>,', '')}, audits array<string>, exits array<bigint>")
     joined = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "part", "block")
-    found = joined.mapInArrow(_join_blocks, "conv_id string, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string")
+    found = joined.mapInArrow(_join_blocks, _ANSWER).unionByName(done)
     return found.withColumn("conv_id", F.col("conv_id").cast(kind))
 
 

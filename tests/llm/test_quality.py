@@ -67,4 +67,4 @@ def test_odd_rows(spark):
     assert quality.judge(spark.createDataFrame([], schema)).count() == 0
     rows = [(None, PROSE), (None, None), (3, PROSE), (3, PROSE)]
     got = quality.judge(spark.createDataFrame(rows, schema)).collect()
-    assert sorted((r.doc_id or -1, r.n_words, r.kept) for r in got) == [(-1, 0, False), (-1, 24, True), (3, 24, True), (3, 24, True)]
+    assert sorted((r.doc_id or -1, r.n_words, r.kept) for r in got) == [(-1, 0, False), (-1, 25, True), (3, 25, True), (3, 25, True)]
