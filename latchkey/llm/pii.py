@@ -40,9 +40,11 @@ ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "012345
 ALPHABET_OF = {c: a for a in ALPHABETS for c in a}
 SYLLABLES = ("ba", "ce", "di", "fo", "gu", "ha", "je", "ki", "lo", "mu", "na", "pe", "ri", "so", "tu", "va", "we", "zi", "bra", "cle", "dri", "flo", "gru", "sta")
 ACCENTS = {"a": "äàâ", "e": "éèê", "i": "îï", "o": "öô", "u": "üû"}
-#: Attempts after which a surrogate gets a letter or syllable more, so that there are ever more of them; and
-#: after which one of fixed length may be another entity of the corpus, which has its own surrogate.
-LONGER, ANY = 4, 40
+#: Attempts after which the surrogate of a name or address gets a letter or syllable more, so that there are ever more of them.
+LONGER = 4
+#: Kinds whose surrogates are drawn and may collide; all others are permuted.
+DRAWN = ("m", "f", "n", "surname", "email")
+ROUNDS = 8
 ENDINGS = {"m": ("n", "rd", "s", "k"), "f": ("a", "ina", "ella", "ia"), "n": ("y", "el", "is", "en")}
 
 
@@ -87,36 +89,88 @@ def _name_like(kind: str, part: str, draw, more: int) -> str:
     return made.upper() if part.isupper() and len(part) > 1 else made.lower() if part.islower() else made.capitalize()
 
 
+def _layout(kind: str, entity: str) -> tuple[list[str | None], bool]:
+    """For each character those that may stand there, None where it stays or follows from the others; and
+    whether check digits (or, of an address, all four numbers) are valid."""
+    keep, checked, skip = 0, False, ()
+    if kind == "phone":
+        keep = max(0, len(entity) - 9)
+    elif kind == "card":
+        checked = _luhn(entity) == 0
+        skip = (len(entity) - 1,) if checked else ()
+    elif kind == "iban":
+        keep, checked = 4, entity[2:4] == _iban_check(entity[:2], entity[4:])
+    elif kind == "ip":
+        checked = all(n == str(int(n)) and int(n) < 256 for n in entity.split("."))
+    elif kind == "hex" and entity.startswith("AKIA"):
+        keep = 4
+    hexed = kind == "hex" and all(c in "0123456789abcdef" for c in entity)
+    places = [None if i < keep or i in skip else "abcdef" if hexed and c.isalpha() else ALPHABET_OF.get(c) for i, c in enumerate(entity)]
+    return places, checked
+
+
+def _permuted(x: int, size: int, key: bytes, name: str) -> int:
+    """x's image under a keyed permutation of the numbers below ``size``: a Feistel network over the bits
+    that hold them, applied again where it leaves them."""
+    bits = max(2, (size - 1).bit_length())
+    while True:
+        low, high = bits // 2, bits - bits // 2
+        a, b = x >> high, x & (1 << high) - 1
+        for i in range(ROUNDS):
+            h = hashlib.blake2b(f"{name}\0{size}\0{i}\0{b}".encode("utf-8", "surrogatepass"), key=key).digest()
+            a, b, low, high = b, (a ^ int.from_bytes(h, "big")) & (1 << low) - 1, high, low
+        x = a << high | b
+        if x < size:
+            return x
+
+
+def _rearranged(kind: str, entity: str, key: bytes) -> str:
+    """The surrogate of an entity of fixed length, by a keyed permutation of all entities of its layout: distinct
+    entities have distinct surrogates whatever their number, without a look at the others."""
+    places, checked = _layout(kind, entity)
+    made = entity
+    while True:
+        if kind == "ip" and checked:
+            x = _permuted(int.from_bytes(bytes(map(int, made.split("."))), "big"), 1 << 32, key, "ip")
+            return ".".join(map(str, x.to_bytes(4, "big")))
+        x, size = 0, 1
+        for c, among in zip(made, places, strict=True):
+            if among is not None:
+                x, size = x * len(among) + among.index(c), size * len(among)
+        name = kind + "\0" + "".join(c if among is None else among[0] for c, among in zip(entity, places, strict=True) if among is not None or kind not in ("card", "iban"))
+        x, out = _permuted(x, size, key, name), []
+        for c, among in zip(reversed(entity), reversed(places), strict=True):
+            if among is None:
+                out.append(c)
+            else:
+                x, i = divmod(x, len(among))
+                out.append(among[i])
+        made = "".join(reversed(out))
+        if kind == "card" and checked:
+            made = next(made[:-1] + d for d in "0123456789" if _luhn(made[:-1] + d) == 0)
+        elif kind == "iban" and checked:
+            made = made[:2] + _iban_check(made[:2], made[4:]) + made[4:]
+        if _layout(kind, made) == (places, checked):
+            return made
+
+
 def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     """The surrogate of a normalised entity, of the same kind. Names keep gender, script, accents, case and
     joined parts; all else keeps its length, the class of each character, what tells its kind (country codes,
     key prefixes), and valid check digits where the entity's are. Names and e-mail addresses grow with
-    attempts."""
+    attempts; all others are permuted and know no attempts."""
+    if kind not in DRAWN:
+        return _rearranged(kind, entity, key)
     draw, more = _draw(key, kind, entity, str(attempt)), attempt // LONGER
-    if kind == "ip":
-        return ".".join(str(_pick(draw, range(1, 255))) for _ in range(4))
-    if kind in ("m", "f", "n", "surname"):
+    if kind != "email":
         return "".join(p if p in "-'’" else _name_like(kind, p, draw, more) for p in re.split(r"([-'’])", entity) if p)
-    keep = 0
-    if kind == "phone":
-        keep = max(0, len(entity) - 9)
-    elif kind == "iban":
-        keep = 4
-    elif kind == "hex" and entity.startswith("AKIA"):
-        keep = 4
-    hexed = kind == "hex" and entity == entity.lower()
-    out, at = [], entity.rfind(".") if kind == "email" else len(entity)
+    out, at = [], entity.rfind(".")
     for i, c in enumerate(entity):
-        if kind == "email" and c == "@":
+        if c == "@":
             out += [_pick(draw, ALPHABETS[0]) for _ in range(more)]
-        letters = ("abcdef" if c.isalpha() else "0123456789") if hexed else ALPHABET_OF.get(c)
-        out.append(c if letters is None or i < keep or i >= at else _pick(draw, letters))
-    made = "".join(out)
-    if kind == "card" and _luhn(entity) == 0:
-        made = next(made[:-1] + d for d in "0123456789" if _luhn(made[:-1] + d) == 0)
-    elif kind == "iban" and entity[2:4] == _iban_check(entity[:2], entity[4:]):
-        made = made[:2] + _iban_check(made[:2], made[4:]) + made[4:]
-    return made
+        letters = ALPHABET_OF.get(c)
+        out.append(c if letters is None or i >= at else _pick(draw, letters))
+    return "".join(out)
 
 
 def pieces(kind: str, text: str) -> list[tuple[str, str]]:
@@ -165,9 +219,9 @@ def replace(text: str, key: bytes, exceptions: dict[tuple[str, str], int]) -> tu
 def assign(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, entity, attempt) of the entities whose first surrogate can't stand: it is another
     entity's surrogate, or an entity of the corpus itself. Such entities draw again until no
-    surrogate is shared, so distinct entities stay distinct. Names and addresses get longer as they draw,
-    so rounds end whatever their number; numbers of fixed length, of which there are no more than their
-    surrogates, may be another's number after ANY attempts."""
+    surrogate is shared, so distinct entities stay distinct. Only names and e-mail addresses draw, and get
+    longer as they do, so rounds end whatever their number; all others are distinct by construction."""
+    entities = entities.where(F.col("kind").isin(*DRAWN))
 
     def run(batches):
         for batch in batches:
