@@ -19,6 +19,8 @@ DROPPED = bytes(c for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or
 SPACED = bytes(32 if c in DROPPED else FOLD[c] for c in range(256))
 #: Normalised bytes of documents that walks take at once, and that candidates are checked for at once.
 BATCH, GROUP = 2 << 20, 8 << 20
+#: Texts of a group at most; the numbers of places have 21 bits for them.
+MOST_TEXTS = 1 << 20
 #: Items that one pass over the documents looks for.
 ITEMS = 5_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -374,7 +376,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, i
                     if known.exact:
                         spaced.append(_spaced(text))
                     held += len(texts[-1])
-                    if held >= GROUP:
+                    if held >= GROUP or len(texts) >= MOST_TEXTS:
                         yield flush(ids, texts, spaced)
                         ids, texts, spaced, held = [], [], [], 0
             if ids:
