@@ -19,6 +19,36 @@ def scope(user_roles: DataFrame, doc_roles: DataFrame) -> DataFrame:
     return u.join(match, "user_set").join(d, "doc_set").select("user_id", "doc_id")
 
 
+def sets_of_roles(roles: DataFrame, key: str) -> DataFrame:
+    """(key, roles): the sorted set of roles of each user or document."""
+    return roles.groupBy(key).agg(F.array_sort(F.collect_set(F.lower(F.trim("role")))).alias("roles"))
+
+
+def numbered_sets(sets: DataFrame, name: str) -> DataFrame:
+    """(roles, name): each set of roles once, with a number. Numbers hold for one evaluation only, so the result
+    is to be written before it is used."""
+    return sets.select("roles").distinct().withColumn(name, F.monotonically_increasing_id())
+
+
+def reach(user_sets: DataFrame, doc_sets: DataFrame) -> DataFrame:
+    """(user_set, doc_set): which numbered sets of roles of documents a numbered set of users' roles reads. Its size
+    goes with the policies that there are, not with users or documents."""
+    u, d = (s.select(n, F.explode("roles").alias("role")) for s, n in ((user_sets, "user_set"), (doc_sets, "doc_set")))
+    return u.join(d, "role").select("user_set", "doc_set").distinct()
+
+
+def scope_among(pairs: DataFrame, users: DataFrame, docs: DataFrame, reach: DataFrame) -> DataFrame:
+    """(user_id, doc_id): those of ``pairs`` that the user may read, by numbers of sets: ``users`` (user_id,
+    user_set), ``docs`` (doc_id, doc_set). Users and documents without roles have no set and reach nothing."""
+    return readable(pairs.select("user_id", "doc_id").distinct(), users, docs, reach)
+
+
+def readable(candidates: DataFrame, users: DataFrame, docs: DataFrame, reach: DataFrame) -> DataFrame:
+    """Candidates (user_id, doc_id, ...) that the user may read, by numbers of sets as in scope_among."""
+    c = candidates.join(users, "user_id").join(docs, "doc_id").join(reach, ["user_set", "doc_set"], "left_semi")
+    return c.select(candidates.columns)
+
+
 def scope_summary(users: DataFrame, user_roles: DataFrame, docs: DataFrame, doc_roles: DataFrame, per_doc: DataFrame) -> DataFrame:
     """Per user: allowed and withheld documents and chunks, and the types of withheld documents.
 

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from latchkey.functions import policy as P
 from latchkey.functions import text as T
+from latchkey.sources.scratch import staged
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Chunks of a block of postings, strongest terms by which blocks are probed, blocks probed, slack of bounds.
+BLOCK, LEADS, PROBES, SLACK = 128, 3, 8, 1e-5
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -46,17 +49,88 @@ def top(scored: DataFrame, k: int, by: tuple[str, ...], score: str = "score") ->
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25(terms: DataFrame, postings: DataFrame, idf: DataFrame, size: DataFrame, scope: DataFrame, k: int, by: tuple[str, ...] = ("query_id", "user_id")) -> DataFrame:
-    """(*by, chunk_id, doc_id, score, normalised, rank): BM25 within the user's scope.
-
-    Terms of all queries meet postings in one join by term, so only postings of asked terms move. The
-    scope comes in below the top-k, which would otherwise be cut before it.
-    """
-    hit = terms.join(postings, "term").join(idf, "term").join(scope, ["user_id", "doc_id"], "left_semi").crossJoin(F.broadcast(size))
-    part = F.col("idf") * F.col("qtf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hit.groupBy(*by, "chunk_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+def bm25_parts(postings: DataFrame, idf: DataFrame, size: DataFrame) -> DataFrame:
+    """(term, chunk_id, doc_id, part): what a term that is asked once adds to a chunk's BM25."""
+    hit = postings.join(idf, "term").crossJoin(F.broadcast(size))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return hit.select("term", "chunk_id", "doc_id", part.alias("part"))
+
+
+def impact_blocks(parts: DataFrame, doc_sets: DataFrame, size: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(term, block, top, entries): postings (term, chunk_id, doc_id, part) in blocks, with each block's largest part.
+
+    Chunks are dealt out to blocks of about ``block`` by a hash of their id, the same for all terms. So a
+    frequent term is spread over many keys, and all that a chunk scores is found in one block. Entries carry
+    the number of their document's set of roles (null: no roles)."""
+    p = parts.join(doc_sets, "doc_id", "left").crossJoin(F.broadcast(size.select("n")))
+    p = p.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.ceil(F.greatest(F.col("n"), F.lit(1)) / block)))
+    return p.groupBy("term", "block").agg(F.max("part").alias("top"), F.collect_list(F.struct("chunk_id", "doc_id", "doc_set", "part")).alias("entries"))
+
+
+def term_tops(blocks: DataFrame) -> DataFrame:
+    """(term, most): the largest part of each term."""
+    return blocks.groupBy("term").agg(F.max("top").alias("most"))
+
+
+def _bounded(terms: DataFrame, tops: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Terms with the most that they, and all that can add less, can add to a score (``upto``), and their
+    place from the one that can add most (``lead``)."""
+    t = terms.join(tops, "term").withColumn("bound", F.greatest(F.col("w") * F.col("most"), F.lit(0.0)))
+    q = Window.partitionBy(*by)
+    up = q.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return t.withColumns({"upto": F.sum("bound").over(up), "lead": F.row_number().over(q.orderBy(F.col("bound").desc(), F.col("term").desc()))})
+
+
+def _scored(pairs: DataFrame, terms: DataFrame, blocks: DataFrame, reach: DataFrame, by: tuple[str, ...], positive: bool) -> DataFrame:
+    """(*by, chunk_id, doc_id, score) of all readable chunks in the blocks ``pairs`` (*by, block)."""
+    asked = pairs.select(*by, "block").join(terms.select(*by, "user_set", "term", "w"), list(by))
+    hit = asked.join(blocks.select("term", "block", "entries"), ["term", "block"]).select(*by, "user_set", "w", F.explode("entries").alias("e")).select(*by, "user_set", "w", "e.*")
+    hit = hit.join(reach, ["user_set", "doc_set"], "left_semi")
+    scored = hit.groupBy(*by, "chunk_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("part")), 6).alias("score"))
+    return scored.where("score > 0") if positive else scored
+
+
+def wanted_blocks(terms: DataFrame, blocks: DataFrame, tops: DataFrame, reach: DataFrame, k: int, by: tuple[str, ...], positive: bool = False, leads: int = LEADS, probes: int = PROBES) -> DataFrame:
+    """(*by, block): the blocks that may hold one of the best ``k`` chunks that the user may read.
+
+    The ``probes`` blocks that promise most by a query's ``leads`` strongest terms are scored first; the
+    ``k``-th score there is a threshold. Terms that even together stay below it need not be looked up: a chunk with
+    no other term can't be among the best. Of the other terms' blocks those stay whose bound reaches it. Only the
+    heads of blocks are looked at here, but for those probed."""
+    heads = blocks.select("term", "block", "top")
+    t = _bounded(terms, tops, by)
+    gain = F.sum(F.greatest(F.col("w") * F.col("top"), F.lit(0.0))).alias("gain")
+    promise = t.where(F.col("lead") <= leads).join(heads, "term").groupBy(*by, "block").agg(gain)
+    best = promise.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("gain").desc(), "block"))).where(F.col("place") <= probes)
+    seen = top(_scored(best, terms, blocks, reach, by, positive), k, by)
+    least = seen.groupBy(*by).agg(F.count(F.lit(1)).alias("found"), F.min("score").alias("least")).where(F.col("found") == k).drop("found")
+    # Scores are rounded to six places; the slack is above that.
+    weak = F.coalesce(F.col("upto") < F.col("least") - SLACK, F.lit(False))
+    t = t.join(least, list(by), "left").withColumn("weak", weak)
+    t = t.withColumn("loose", F.coalesce(F.max(F.when(F.col("weak"), F.col("upto"))).over(Window.partitionBy(*by)), F.lit(0.0)))
+    bounds = t.where(~F.col("weak")).join(heads, "term").groupBy(*by, "block", "least", "loose").agg(gain)
+    return bounds.where(F.col("least").isNull() | (F.col("gain") + F.col("loose") >= F.col("least") - SLACK)).select(*by, "block")
+
+
+def block_topk(terms: DataFrame, blocks: DataFrame, tops: DataFrame, reach: DataFrame, k: int, by: tuple[str, ...], positive: bool = False) -> DataFrame:
+    """(*by, chunk_id, doc_id, score, rank): the best ``k`` chunks that the user may read, by sums of w * part.
+
+    ``terms`` is (*by, user_set, term, w) with w >= 0. Access is a semi-join of numbers of role sets, below the top-k,
+    which would otherwise be cut before it; no pair of user and document is made. See wanted_blocks."""
+    # A few rows for each query, which are used several times.
+    terms = staged(terms.select(*by, "user_set", "term", "w"), "asked-terms")
+    # Blocks of other terms are left behind in the scan.
+    blocks = blocks.join(terms.select("term").distinct(), "term", "left_semi")
+    wanted = wanted_blocks(terms, blocks, tops, reach, k, by, positive)
+    return top(_scored(wanted, terms, blocks, reach, by, positive), k, by)
+
+
+def bm25(terms: DataFrame, blocks: DataFrame, tops: DataFrame, reach: DataFrame, k: int, by: tuple[str, ...] = ("query_id", "user_id")) -> DataFrame:
+    """(*by, chunk_id, doc_id, score, normalised, rank): BM25 within the user's scope, of ``terms``
+    (*by, user_set, term, qtf)."""
     best = Window.partitionBy(*by)
-    return top(scored, k, by).withColumn("normalised", F.round(F.col("score") / F.max("score").over(best), 6))
+    found = block_topk(terms.withColumn("w", F.col("qtf").cast("double")), blocks, tops, reach, k, by, positive=True)
+    return found.withColumn("normalised", F.round(F.col("score") / F.max("score").over(best), 6))
 
 
 def tfidf(postings: DataFrame, min_df: int = 1) -> DataFrame:
@@ -75,15 +149,22 @@ def term_idf(postings: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def dense(terms: DataFrame, vectors: DataFrame, idf: DataFrame, scope: DataFrame | None, k: int, by: tuple[str, ...] = ("query_id", "user_id")) -> DataFrame:
-    """(*by, chunk_id, doc_id, score, rank): cosine of unit vectors in sparse form, within scope if given."""
-    q = terms.join(idf, "term").withColumn("w", (1 + F.log("qtf")) * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*by)))
-    q = q.select(*by, "term", (F.col("w") / F.greatest(length, F.lit(1e-9))).alias("qw"))
-    hit = q.join(vectors, "term")
-    if scope is not None:
-        hit = hit.join(scope, ["user_id", "doc_id"], "left_semi")
-    return top(hit.groupBy(*by, "chunk_id", "doc_id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score")), k, by)
+def query_weights(terms: DataFrame, idf: DataFrame, by: tuple[str, ...] = ("query_id", "user_id")) -> DataFrame:
+    """``terms`` (*by, term, qtf, ...) of the corpus with w, their place in the query's unit vector."""
+    q = terms.join(idf.select("term", "idf"), "term").withColumn("raw", (1 + F.log("qtf")) * F.col("idf"))
+    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*by)))
+    return q.withColumn("w", F.col("raw") / F.greatest(length, F.lit(1e-9))).drop("raw", "idf")
+
+
+def cosines(terms: DataFrame, vectors: DataFrame, idf: DataFrame, by: tuple[str, ...] = ("query_id", "user_id")) -> DataFrame:
+    """(*by, chunk_id, doc_id, score): cosine of unit vectors in sparse form with all chunks that share a term."""
+    hit = query_weights(terms, idf, by).select(*by, "term", "w").join(vectors, "term")
+    return hit.groupBy(*by, "chunk_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("weight")), 6).alias("score"))
+
+
+def dense(terms: DataFrame, blocks: DataFrame, tops: DataFrame, idf: DataFrame, reach: DataFrame, k: int, by: tuple[str, ...] = ("query_id", "user_id")) -> DataFrame:
+    """(*by, chunk_id, doc_id, score, rank): cosine of unit vectors in sparse form, within the user's scope."""
+    return block_topk(query_weights(terms, idf, by), blocks, tops, reach, k, by)
 
 
 def rrf(rankings: DataFrame, by: tuple[str, ...] = ("query_id", "user_id"), k: int = P.RRF_K) -> DataFrame:

@@ -30,7 +30,9 @@ class Base:
     is written to the shared folder once per application."""
 
     #: Stages that don't depend on who asks what.
-    CORPUS = frozenset(("docs", "chunks", "postings", "size", "bm25-idf", "term-idf", "tfidf", "claims"))
+    CORPUS = frozenset(
+        ("docs", "chunks", "postings", "size", "bm25-idf", "term-idf", "tfidf", "claims", "doc-sets", "docs-of-sets", "user-sets", "users-of-sets", "reach", "bm25-blocks", "bm25-tops", "tfidf-blocks", "tfidf-tops")
+    )
 
     def __init__(self, spark: SparkSession, sf_dir: str, asked: DataFrame | None = None, tag: str = "") -> None:
         """``asked`` replaces the labelled queries of the directory; its stages are kept under ``tag``."""
@@ -65,10 +67,42 @@ class Base:
         return S0.queries(self.spark, self.dir) if self.asked is None else self.asked
 
     @cached_property
-    def scope(self) -> DataFrame:
-        """Of the users who ask."""
-        asking = self.queries.select("user_id").distinct()
-        return self._kept("scope", lambda: G.scope(self.user_roles.join(asking, "user_id", "left_semi"), self.doc_roles))
+    def doc_set_names(self) -> DataFrame:
+        """(roles, doc_set)."""
+        return self._kept("doc-sets", lambda: G.numbered_sets(G.sets_of_roles(self.doc_roles, "doc_id"), "doc_set"))
+
+    @cached_property
+    def doc_sets(self) -> DataFrame:
+        """(doc_id, doc_set): the number of each document's set of roles."""
+        return self._kept("docs-of-sets", lambda: G.sets_of_roles(self.doc_roles, "doc_id").join(self.doc_set_names, "roles").select("doc_id", "doc_set"))
+
+    @cached_property
+    def user_sets(self) -> DataFrame:
+        """(user_id, user_set): of all users."""
+        sets = G.sets_of_roles(self.user_roles, "user_id")
+        return self._kept("users-of-sets", lambda: sets.join(self.user_set_names, "roles").select("user_id", "user_set"))
+
+    @cached_property
+    def user_set_names(self) -> DataFrame:
+        """(roles, user_set)."""
+        return self._kept("user-sets", lambda: G.numbered_sets(G.sets_of_roles(self.user_roles, "user_id"), "user_set"))
+
+    @cached_property
+    def reach(self) -> DataFrame:
+        """(user_set, doc_set)."""
+        return self._kept("reach", lambda: G.reach(self.user_set_names, self.doc_set_names))
+
+    def scope_among(self, pairs: DataFrame) -> DataFrame:
+        """(user_id, doc_id): what the users of ``pairs`` may read of these."""
+        return G.scope_among(pairs, self.user_sets, self.doc_sets, self.reach)
+
+    def readable(self, candidates: DataFrame) -> DataFrame:
+        """Rows of ``candidates`` (user_id, doc_id, ...) that the user may read."""
+        return G.readable(candidates, self.user_sets, self.doc_sets, self.reach)
+
+    def terms(self, queries: DataFrame, by: tuple[str, ...] = ("query_id", "user_id")) -> DataFrame:
+        """(*by, term, qtf, user_set); a user without roles reads nothing, so their queries have no terms."""
+        return S.query_terms(queries, by).join(self.user_sets, "user_id")
 
     @cached_property
     def chunks(self) -> DataFrame:
@@ -102,13 +136,29 @@ class Base:
     def vectors(self) -> DataFrame:
         return self._kept("tfidf", lambda: S.tfidf(self.postings))
 
+    @cached_property
+    def sparse_blocks(self) -> DataFrame:
+        return self._kept("bm25-blocks", lambda: S.impact_blocks(S.bm25_parts(self.postings, self.idf, self.size), self.doc_sets, self.size))
+
+    @cached_property
+    def dense_blocks(self) -> DataFrame:
+        return self._kept("tfidf-blocks", lambda: S.impact_blocks(self.vectors.withColumnRenamed("weight", "part"), self.doc_sets, self.size))
+
+    @cached_property
+    def sparse_tops(self) -> DataFrame:
+        return self._kept("bm25-tops", lambda: S.term_tops(self.sparse_blocks))
+
+    @cached_property
+    def dense_tops(self) -> DataFrame:
+        return self._kept("tfidf-tops", lambda: S.term_tops(self.dense_blocks))
+
     @cached_property
     def sparse(self) -> DataFrame:
-        return self._kept("sparse", lambda: S.bm25(S.query_terms(self.queries), self.postings, self.idf, self.size, self.scope, P.CANDIDATE_K))
+        return self._kept("sparse", lambda: S.bm25(self.terms(self.queries), self.sparse_blocks, self.sparse_tops, self.reach, P.CANDIDATE_K))
 
     @cached_property
     def dense(self) -> DataFrame:
-        return self._kept("dense", lambda: S.dense(S.query_terms(self.queries), self.vectors, self.term_idf, self.scope, P.CANDIDATE_K))
+        return self._kept("dense", lambda: S.dense(self.terms(self.queries), self.dense_blocks, self.dense_tops, self.term_idf, self.reach, P.CANDIDATE_K))
 
     @cached_property
     def probe(self) -> DataFrame:
@@ -161,9 +211,9 @@ class Base:
 
         def build() -> DataFrame:
             by = ("query_id", "user_id", "sub_no")
-            t = S.query_terms(self.subqueries, by)
-            s = S.bm25(t, self.postings, self.idf, self.size, self.scope, P.SUBQUERY_K, by).withColumn("kind", F.lit("sparse"))
-            d = S.dense(t, self.vectors, self.term_idf, self.scope, P.SUBQUERY_K, by).withColumn("kind", F.lit("dense"))
+            t = self.terms(self.subqueries, by)
+            s = S.bm25(t, self.sparse_blocks, self.sparse_tops, self.reach, P.SUBQUERY_K, by).withColumn("kind", F.lit("sparse"))
+            d = S.dense(t, self.dense_blocks, self.dense_tops, self.term_idf, self.reach, P.SUBQUERY_K, by).withColumn("kind", F.lit("dense"))
             cols = (*by, "kind", "chunk_id", "doc_id", "rank")
             return s.select(*cols).unionByName(d.select(*cols)).withColumn("weight", R.iteration_weight(F.col("sub_no")))
 
@@ -201,7 +251,7 @@ class Base:
     @cached_property
     def packs(self) -> DataFrame:
         ranked = self.reranked.withColumn("query_id", F.concat_ws(":", "query_id", "route"))
-        return self._kept("packs", lambda: E.pack(ranked, self.docs, self.asks, self.scope, self.today))
+        return self._kept("packs", lambda: E.pack(ranked, self.docs, self.asks, self.scope_among(ranked), self.today))
 
     @cached_property
     def ask_features(self) -> DataFrame:
@@ -209,7 +259,7 @@ class Base:
 
     @cached_property
     def sufficiency(self) -> DataFrame:
-        return self._kept("sufficiency", lambda: E.sufficiency(self.asks, self.packs, self.ask_features, self.today, self.scope))
+        return self._kept("sufficiency", lambda: E.sufficiency(self.asks, self.packs, self.ask_features, self.today, self.scope_among(self.packs)))
 
     @cached_property
     def selected(self) -> DataFrame:
@@ -285,13 +335,18 @@ class Base:
 
         return self._kept("gold-chunks", build)
 
+    @cached_property
+    def held(self) -> DataFrame:
+        """(query_id, doc_id, user_id, ...): holders of the queries' passages, with who asks."""
+        return self.holders.join(self.queries.select("query_id", "user_id"), "query_id")
+
     @cached_property
     def gold(self) -> DataFrame:
-        return self.holders.join(self.queries.select("query_id", "user_id"), "query_id").join(self.scope, ["user_id", "doc_id"], "left_semi").select("query_id", "doc_id")
+        return self.readable(self.held).select("query_id", "doc_id")
 
     @cached_property
     def forbidden(self) -> DataFrame:
-        return self.holders.join(self.queries.select("query_id", "user_id"), "query_id").join(self.scope, ["user_id", "doc_id"], "left_anti").select("query_id", "doc_id")
+        return self.held.join(self.scope_among(self.held), ["user_id", "doc_id"], "left_anti").select("query_id", "doc_id")
 
     @cached_property
     def items(self) -> DataFrame:
@@ -323,7 +378,7 @@ class Base:
             c = V.citation_scores(items.select(*by), cited, self.gold, served, by)
             top = cited.where("place = 0").join(self.docs.select("doc_id", "superseded_by"), "doc_id").select(*by, F.col("superseded_by").isNull().alias("first_current"))
             surfaced = served.join(self.queries.select("query_id", "user_id"), "query_id")
-            bad = surfaced.join(self.scope, ["user_id", "doc_id"], "left_anti").unionByName(surfaced.join(self.forbidden, ["query_id", "doc_id"], "left_semi").select(surfaced.columns)).select(*by, "doc_id").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("violations"))
+            bad = surfaced.join(self.scope_among(surfaced), ["user_id", "doc_id"], "left_anti").unionByName(surfaced.join(self.forbidden, ["query_id", "doc_id"], "left_semi").select(surfaced.columns)).select(*by, "doc_id").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("violations"))
             # Items of unknown users fail, and stay as scored rows.
             failed = self.queries.where(F.col("query_id") % 11 == 0).select((-1 - F.col("query_id")).alias("query_id"), F.explode(F.array(*map(F.lit, ("B1", "B2", "B3", "B4", "B5", "P1")))).alias("system"))
             j = items.join(a, "ask").join(m5, list(by)).join(c, list(by)).join(top, list(by), "left").join(bad, list(by), "left")

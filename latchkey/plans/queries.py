@@ -192,14 +192,14 @@ def acl_scope_summary(b):
 
 @query(O.upto("SEARCH", "select d.query_id, d.chunk_id from dense d join scope using (user_id, doc_id) where d.rank <= 3"))
 def acl_filter(b):
-    """The best three that each user may read, of all candidates ranked without scope."""
-    ranked = S.dense(S.query_terms(b.queries), b.vectors, b.term_idf, None, 1 << 30)
-    return S.top(G.allowed(ranked.drop("rank"), b.scope), 3, ("query_id", "user_id")).select("query_id", "chunk_id")
+    """The best three that each user may read, of all candidates scored without scope; ranked once, after the filter."""
+    scored = S.cosines(S.query_terms(b.queries), b.vectors, b.term_idf)
+    return S.top(G.allowed(scored, b.scope_among(scored)), 3, ("query_id", "user_id")).select("query_id", "chunk_id")
 
 
 @query(O.upto("SEARCH", "select query_id, count(*) as candidates from sparse group by 1"))
 def acl_assert(b):
-    return G.assert_allowed(b.sparse, b.scope, "sparse").groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"))
+    return G.assert_allowed(b.sparse, b.scope_among(b.sparse), "sparse").groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"))
 
 
 _ASKED = "asked as (select distinct qv.user_id, vec.chunk_id from qv join vec using (term) union select user_id, 'gone::c' || query_id from qs)"
@@ -210,7 +210,7 @@ def acl_resolve(b):
     """The ids of all chunks that a query's words are in, and one that is not there, asked for by the query's user."""
     found = S.query_terms(b.queries).join(b.vectors, "term").select("user_id", "chunk_id")
     asked = found.unionByName(b.queries.select("user_id", F.concat(F.lit("gone::c"), "query_id").alias("chunk_id"))).distinct()
-    return G.allowed(asked.join(b.chunks.select("chunk_id", "doc_id", "ordinal"), "chunk_id"), b.scope).select("user_id", "chunk_id", "ordinal")
+    return b.readable(asked.join(b.chunks.select("chunk_id", "doc_id", "ordinal"), "chunk_id")).select("user_id", "chunk_id", "ordinal")
 
 
 _FRESH = "(case when superseded_by is not null then 0.55 else 1.0 end) * (case when effective_date > date '2026-08-19' then 0.55 else 1.0 end)"
@@ -516,7 +516,7 @@ def numeric_conflicts(b):
     """Between all documents that the user may read of the families that a query's routes consider."""
     family = b.docs.select("doc_id", "policy_family")
     near = b.candidates.join(family, "doc_id").select(F.concat_ws(":", "query_id", "route").alias("query_id"), "user_id", "policy_family").distinct()
-    docs = G.allowed(near.join(family, "policy_family"), b.scope)
+    docs = b.readable(near.join(family, "policy_family"))
     return _split(E.numeric_conflicts(docs.join(b.chunks.select("doc_id", "chunk_id"), "doc_id").drop("doc_id", "user_id"), b.claims))
 
 
@@ -627,7 +627,8 @@ def eval_labels_check(b):
     missing = b.queries.where(n % 8 == 0).select("query_id", F.lit(-1).cast("long").alias("doc_id"))
     gold = b.gold.unionByName(missing).unionByName(b.forbidden.where(n % 6 == 0)).distinct()
     forbidden = b.forbidden.unionByName(b.gold.where(n % 4 == 0)).distinct()
-    return V.labels_check(i, gold, forbidden, b.scope, b.docs.select("doc_id"), ("unanswerable", "temporal", "exact"))
+    pairs = gold.unionByName(forbidden).join(i.select("query_id", "user_id"), "query_id")
+    return V.labels_check(i, gold, forbidden, b.scope_among(pairs), b.docs.select("doc_id"), ("unanswerable", "temporal", "exact"))
 
 
 def _eval(name: str, *cols: str):
@@ -650,12 +651,13 @@ _eval("eval_rows", "query_type", "route", "recall", "mrr", "ndcg", "abstained",
 @query(O.upto("GOLD", "select distinct query_id, doc_id from pack p where not exists (select 1 from scope s where s.user_id = p.user_id and s.doc_id = p.doc_id) or exists (select 1 from forb f where f.query_id = p.query_id and f.doc_id = p.doc_id)"))
 def acl_violations(b):
     surfaced = b.packs.join(b.asks.select("query_id", "item_id"), "query_id").select(F.col("item_id").alias("query_id"), "user_id", "doc_id")
-    return V.acl_violations(surfaced, b.forbidden, b.scope)
+    return V.acl_violations(surfaced, b.forbidden, b.scope_among(surfaced))
 
 
 @query("select source, round(quantile_cont(n_chars, 0.95), 6) as p95 from documents group by 1")
 def percentile(b):
-    return b.table("documents").groupBy("source").agg(F.round(F.percentile("n_chars", F.lit(0.95)), 6).alias("p95"))
+    p = V.exact_quantile(b.table("documents").select("source", "n_chars"), "source", "n_chars", 0.95)
+    return p.select("source", F.round("value", 6).alias("p95"))
 
 
 _MEANS = "count(*) as items, " + ", ".join(f"round(avg({m}), 4) as {m}, count({m}) as {m}_n" for m in ("recall", "mrr", "ndcg", "citation_precision", "citation_coverage", "groundedness")) + ", round(avg(abstained::int), 4) as abstention_rate, round(avg(abstention_appropriate::int), 4) as abstention_appropriateness, round(avg(freshness_compliant::int), 4) as freshness_compliance, sum(violations)::bigint as violations, round(avg(cost), 8) as mean_cost"
