@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from latchkey.sources.scratch import staged
+
 
 def labels_check(items: DataFrame, gold: DataFrame, forbidden: DataFrame, scope: DataFrame, known: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
     """(query_id, problem): what is wrong with labelled items; ``types`` are the query types that there are."""
@@ -67,6 +69,43 @@ def aggregate(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
     )
 
 
+def exact_quantile(rows: DataFrame, by: str, column: str, q: float, bins: int = 1024, rounds: int = 2) -> DataFrame:
+    """(by, value): the exact quantile of each group, between neighbours by their distance. Null values are passed over,
+    null is a group like any other, and a group without values has no row.
+
+    Each round counts the values of ``bins`` equal ranges between the least and the greatest, which combines before
+    the shuffle, and keeps the ranges that hold the two ranks. Only what is left there is counted by value at the end,
+    so no group is ever sorted or held whole, however large it is."""
+    v = rows.select(F.col(by).alias("group"), F.col(column).cast("double").alias("v")).where("v is not null")
+    ends = v.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    at, share = q * (F.col("n") - 1), q * (F.col("n") - 1) - F.floor(q * (F.col("n") - 1))
+    ranks = F.array(F.struct(F.floor(at).alias("rank"), (1 - share).alias("weight")), F.struct(F.ceil(at).alias("rank"), share.alias("weight")))
+    wanted = ends.select("group", F.explode(ranks).alias("r"), "lo", "hi", F.lit(0).cast("long").alias("before")).select("group", "r.*", "lo", "hi", "before").where("weight > 0")
+    key = ["lo", "hi", "before"]
+
+    def inside(wanted: DataFrame) -> DataFrame:
+        spans = wanted.select(F.col("group").alias("of"), *key).distinct()
+        return v.join(spans, F.col("group").eqNullSafe(F.col("of"))).where("v >= lo and v <= hi").drop("of")
+
+    def holding(counts: DataFrame, order: str, wanted: DataFrame) -> DataFrame:
+        """The rows of counts (group, *key, order, n, ...) that hold a rank, with it and the rows before them."""
+        up = Window.partitionBy("group", *key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        c = counts.withColumn("first", F.col("before") + F.sum("n").over(up) - F.col("n")).withColumnRenamed("group", "of").drop("lo", "hi").withColumnRenamed("before", "start")
+        j = wanted.drop("lo", "hi").join(c, F.col("group").eqNullSafe(F.col("of")) & (F.col("before") == F.col("start")))
+        return j.where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
+
+    for _ in range(rounds):
+        wanted = staged(wanted, "ranks")
+        # Halves, since the distance of two numbers can be too large for one.
+        place = F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins), F.lit(bins - 1))
+        binned = inside(wanted).withColumn("bin", F.when(F.col("hi") > F.col("lo"), place).otherwise(0))
+        counts = binned.groupBy("group", *key, "bin").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+        wanted = holding(counts, "bin", wanted).select("group", "rank", "weight", F.col("least").alias("lo"), F.col("most").alias("hi"), F.col("first").alias("before"))
+    wanted = staged(wanted, "ranks")
+    counts = inside(wanted).groupBy("group", *key, "v").agg(F.count(F.lit(1)).alias("n"))
+    return holding(counts, "v", wanted).groupBy(F.col("group").alias(by)).agg(F.sum(F.col("v") * F.col("weight")).alias("value"))
+
+
 def bootstrap(values: DataFrame, rounds: int, seed: int = 1729, column: str = "value") -> DataFrame:
     """(round, mean): means of resamples. Each row draws how often it is in a resample, so resampling is
     one pass over rows by rounds with partial sums and needs no join."""
