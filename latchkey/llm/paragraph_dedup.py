@@ -216,19 +216,33 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     return known.join(first, "part").select("doc_id", "component_id")
 
 
-def passage_units(lines: list[str], unit: int, run: int) -> list[tuple[int, int, int]]:
-    """(line, first word, 64-bit hash) of stretches of ``unit`` lower-cased words, chosen by winnowing: of any
+def passage_units(texts: list[str], unit: int, run: int) -> dict[str, np.ndarray]:
+    """Stretches of ``unit`` lower-cased words of whole texts, line ends ignored, chosen by winnowing: of any
     ``run - unit + 1`` next to each other the one with the least hash (the last of equals). So each run
-    of ``run`` words holds a chosen stretch, the same wherever the run occurs."""
+    of ``run`` words holds a chosen stretch, the same wherever the run occurs and however it is wrapped.
+
+    For each: ``text``, number of its first word in the text (``at``), line (``paragraph``) and number in it
+    (``first_word``), the line of the last word (``last``), words of the first line (``width``), 64-bit hash (``unit``)."""
     import xxhash
 
-    split = [x if len(x := t.encode("utf-8", "surrogatepass").lower().split()) >= run else [] for t in lines]
-    ends = np.cumsum([len(x) for x in split])
-    w = [x for part in split for x in part]
+    # One row for each line of the texts that are long enough: its text, its number, its words.
+    w, of, number, width = [], [], [], []
+    for k, t in enumerate(texts):
+        lines = [x.split() for x in t.encode("utf-8", "surrogatepass").lower().split(b"\n")]
+        if sum(map(len, lines)) >= run:
+            of += [k] * len(lines)
+            number += range(len(lines))
+            for x in lines:
+                width.append(len(x))
+                w += x
+    of, number, width = (np.array(x, np.int64) for x in (of, number, width))
     if not w:
-        return []
+        return dict.fromkeys(("text", "at", "paragraph", "first_word", "last", "width", "unit"), np.zeros(0, np.int64))
+    ends = np.cumsum(width)
+    texts_end = np.zeros(len(texts), np.int64)
+    np.maximum.at(texts_end, of, ends)
     h = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
-    n, width = len(h) - unit + 1, run - unit + 1
+    n, span = len(h) - unit + 1, run - unit + 1
     grams = np.zeros(n, np.uint64)
     for k in range(unit):
         grams = grams * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
@@ -236,49 +250,61 @@ def passage_units(lines: list[str], unit: int, run: int) -> list[tuple[int, int,
     # The low bits say which of equals comes last; places are told apart modulo 2**20.
     low = np.uint64((1 << 20) - 1)
     least, size = (grams & ~low) | (low - (np.arange(n, dtype=np.uint64) & low)), 1
-    while size < width:
-        step = min(size, width - size)
+    while size < span:
+        step = min(size, span - size)
         least, size = np.minimum(least[:-step], least[step:]), size + step
     start = np.arange(len(least))
     chosen = start + ((low - (least & low)).astype(np.int64) - start) % (1 << 20)
-    line = np.searchsorted(ends, start, "right")
-    chosen = np.unique(chosen[start + run <= ends[line]])
-    line = np.searchsorted(ends, chosen, "right")
-    first = chosen - ends[line] + np.array([len(x) for x in split])[line]
-    return [(k, i, xxhash.xxh64_intdigest(b" ".join(w[c : c + unit]), SEED) - (1 << 63)) for k, i, c in zip(line.tolist(), first.tolist(), chosen.tolist(), strict=True)]
+    chosen = np.unique(chosen[start + run <= texts_end[of[np.searchsorted(ends, start, "right")]]])
+    line, last = np.searchsorted(ends, chosen, "right"), np.searchsorted(ends, chosen + unit - 1, "right")
+    text = of[line]
+    words_before = np.zeros(len(texts), np.int64)
+    words_before[of[::-1]] = (ends - width)[::-1]
+    digest = np.array([xxhash.xxh64_intdigest(b" ".join(w[c : c + unit]), SEED) for c in chosen.tolist()], np.uint64).view(np.int64)
+    return {"text": text, "at": chosen - words_before[text], "paragraph": number[line], "first_word": chosen - (ends - width)[line], "last": number[last], "width": width[line], "unit": digest}
+
+
+def _several(doc: str = "doc_id"):
+    """Whether the rows of a group are of several documents; rows without an id count as one."""
+    ids = F.count(doc)
+    return (F.coalesce(F.min(doc) < F.max(doc), F.lit(False)) | ((ids > 0) & (ids < F.count(F.lit(1))))).alias("across")
 
 
-def repeated_passages(lines: DataFrame, gone: DataFrame, unit: int, run: int, long: int, often_from: int = 5_000) -> DataFrame:
-    """(doc_id, paragraph, first_word, n_words, unit, cluster_size, removed): stretches of lines (doc_id,
-    paragraph, text) that repeat, in lines that aren't in ``gone`` (doc_id, paragraph) and where one of the
-    lines at least has over ``long`` words. The first occurrence stays; one that overlaps it is left alone."""
+def repeated_passages(docs: DataFrame, gone: DataFrame, unit: int, run: int, long: int, often_from: int = 5_000) -> DataFrame:
+    """(doc_id, paragraph, first_word, n_words, unit, cluster_size, across, removed): stretches of whole texts
+    (doc_id, text) that repeat and touch no line in ``gone`` (doc_id, paragraph). One of the places at least
+    is in a line of over ``long`` words or goes over a line end: other lines are compared whole. A stretch
+    begins at ``first_word`` of its line and may go on in the lines after it. The first occurrence stays;
+    one that overlaps it is left alone."""
+    kinds = {"doc_id": pa.int64(), "paragraph": pa.int32(), "last": pa.int32(), "first_word": pa.int32(), "at": pa.int32(), "unit": pa.int64(), "long": pa.bool_()}
 
     def cut(batches):
         for batch in batches:
-            doc, paragraph, text = (c.to_pylist() for c in batch.columns)
-            over = [len(t.encode("utf-8", "surrogatepass").split()) > long for t in text]
-            rows = [(doc[k], paragraph[k], i, h, over[k]) for k, i, h in passage_units(text, unit, run)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()))], ["doc_id", "paragraph", "first_word", "unit", "long"])
+            u = passage_units(batch.column(1).to_pylist(), unit, run)
+            u["long"] = (u["width"] > long) | (u["last"] > u["paragraph"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(u["text"])), *(pa.array(u[k]).cast(kinds[k]) for k in list(kinds)[1:])], list(kinds))
 
-    units = lines.select("doc_id", F.col("paragraph").cast("int"), "text").mapInArrow(cut, "doc_id long, paragraph int, first_word int, unit long, long boolean")
+    units = docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, paragraph int, last int, first_word int, at int, unit long, long boolean")
     units = staged(units, "units")
-    out = gone.select(F.col("doc_id").alias("gone_id"), F.col("paragraph").alias("gone")).distinct()
-    units = units.join(out, units["doc_id"].eqNullSafe(out["gone_id"]) & (units["paragraph"] == out["gone"]), "left_anti")
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "paragraph", "first_word")
-    first = units.groupBy("unit").agg(F.count(F.lit(1)).alias("cluster_size"), F.min(place).alias("first"), F.max("long").alias("some")).where("cluster_size > 1 and some").drop("some")
-    same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.paragraph") == F.col("paragraph"))
+    out = gone.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("paragraph").alias("gone"))
+    touched = F.exists("gone", lambda g: (g >= F.col("paragraph")) & (g <= F.col("last")))
+    units = units.join(out, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").where(F.col("gone").isNull() | ~touched).drop("gone", "gone_id", "last")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "at")
+    first = units.groupBy("unit").agg(F.count(F.lit(1)).alias("cluster_size"), F.min(place).alias("first"), F.max("long").alias("some"), _several()).where("cluster_size > 1 and some").drop("some")
+    same = F.col("first.doc_id").eqNullSafe(F.col("doc_id"))
     # Units with very many places are few, by the bound on their number, and are sent to the others' tasks.
     first = staged(first, "first")
     often = F.broadcast(first.where(F.col("cluster_size") > often_from))
     rest = units.join(often.select("unit"), "unit", "left_anti").join(first.where(F.col("cluster_size") <= often_from), "unit")
-    found = units.join(often, "unit").unionByName(rest).withColumn("removed", ~(same & (F.abs(F.col("first.first_word") - F.col("first_word")) < unit)))
-    found = found.where(F.col("removed") | (F.col("first.first_word") == F.col("first_word")))
-    return found.select("doc_id", "paragraph", "first_word", F.lit(unit).alias("n_words"), "unit", "cluster_size", "removed")
+    found = units.join(often, "unit").unionByName(rest).withColumn("removed", ~(same & (F.abs(F.col("first.at") - F.col("at")) < unit)))
+    found = found.where(F.col("removed") | (F.col("first.at") == F.col("at")))
+    return found.select("doc_id", "paragraph", "first_word", F.lit(unit).alias("n_words"), "unit", "cluster_size", "across", "removed")
 
 
 def repeated_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, least_words: int = 20, recall: float = 0.999, rows: int = 4, short: int = 64, unit: int = 25, run: int = 50, long: int = 60, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, paragraph, cluster_id, cluster_size, removed, first_word, n_words): a row for each paragraph
-    that repeats, and for each stretch of a line that stays.
+    """(doc_id, paragraph, cluster_id, cluster_size, across, removed, first_word, n_words): a row for each paragraph
+    that repeats, and for each stretch of what stays; ``across`` if it is in several documents, else it only
+    repeats inside one.
 
     A paragraph is a line of the text, numbered from 0; those of under ``least_words`` words are too
     short to be passages and are left alone. Paragraphs that are equal, or whose sets of ``words``-word
@@ -287,9 +313,10 @@ def repeated_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8
     (smallest doc_id, then paragraph) stays, all others are removed. The number of bands is tuned so
     that a pair at the threshold meets with probability ``recall``.
 
-    Lines that stay are also compared by stretches of ``unit`` words, so that each run of ``run`` words that
-    a line of over ``long`` words shares with another line, or repeats, holds a stretch that is found (see
-    passage_units); these rows have first_word (from 0) and n_words, whole lines have null there.
+    Whole texts are also compared by stretches of ``unit`` words, line ends ignored, so that each run of ``run``
+    words that is shared or repeats, touches no removed line, and lies over a line end or in a line of over
+    ``long`` words in one place at least, holds a stretch that is found (see passage_units). These rows
+    have first_word (from 0) and n_words, and may go on in the next lines; whole lines have null there.
 
     Equal paragraphs are collapsed first, so copies make no pairs. Buckets of up to ``short`` distinct
     paragraphs give pairs that are verified with exact shingle sets; fuller buckets give links that tie
@@ -309,37 +336,46 @@ def repeated_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8
     parts = connected_components(similar_links(distinct, words, similarity, recall, rows, short))
     cluster = places.join(parts, places["id"] == parts["node"], "left").select("doc_id", "paragraph", F.coalesce("component", "id").alias("cluster_id"))
     first = cluster.groupBy("cluster_id").agg(
-        F.count(F.lit(1)).alias("cluster_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "paragraph")).alias("first")
+        F.count(F.lit(1)).alias("cluster_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "paragraph")).alias("first"), _several()
     )
     stays = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.paragraph") == F.col("paragraph"))
     whole = staged(
         cluster.join(first.where("cluster_size > 1"), "cluster_id")
-        .select("doc_id", F.col("paragraph").cast("int").alias("paragraph"), "cluster_id", "cluster_size", (~stays).alias("removed")), "whole"
+        .select("doc_id", F.col("paragraph").cast("int").alias("paragraph"), "cluster_id", "cluster_size", "across", (~stays).alias("removed")), "whole"
     )
-    part = repeated_passages(lines, whole.where("removed"), unit, run, long).withColumn("cluster_id", F.lower(F.hex("unit")))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(text_col).alias("text"))
+    part = repeated_passages(texts, whole.where("removed"), unit, run, long).withColumn("cluster_id", F.lower(F.hex("unit")))
     whole = whole.withColumns({"first_word": F.lit(None).cast("int"), "n_words": F.lit(None).cast("int")})
     return whole.unionByName(part.drop("unit"))
 
 
-def _without_words(line: str, starts: list[int], unit: int) -> str:
-    """``line`` without the stretches of ``unit`` words from the given words on, and the blanks after them."""
-    spans, gone = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", line)], set()
-    for i in starts:
-        gone.update(range(i, i + unit))
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _without_words(line: str, gone: set[int]) -> str:
+    """``line`` without the words of the given numbers, and the blanks after them."""
+    spans = [m.span() for m in WORD.finditer(line)]
     ends = [s for s, _ in spans[1:]] + [len(line)]
     return line[: spans[0][0]] + "".join(line[s:e] for k, ((s, _), e) in enumerate(zip(spans, ends, strict=True)) if k not in gone)
 
 
 def _without_passages(texts: DataFrame, parts: DataFrame) -> DataFrame:
-    """(doc_id, text) with the stretches of ``parts`` cut out of their lines."""
+    """(doc_id, text) with the stretches of ``parts`` cut out; lines stay, if without words."""
     cuts = parts.groupBy(F.col("doc_id").alias("cut_id")).agg(F.collect_set(F.struct("paragraph", "first_word", "n_words")).alias("cuts"))
 
     @F.udf("string")
     def cut(text, cuts):
-        lines, of = text.split("\n"), {}
-        for p, i, n in cuts:
-            of.setdefault(p, (n, []))[1].append(i)
-        return "\n".join(_without_words(t, of[p][1], of[p][0]) if p in of else t for p, t in enumerate(lines))
+        lines = text.split("\n")
+        n = [sum(1 for _ in WORD.finditer(t)) for t in lines]
+        before = [0]
+        for k in n:
+            before.append(before[-1] + k)
+        gone = {before[p] + i + k for p, i, many in cuts for k in range(many)}
+        out = []
+        for t, k, b in zip(lines, n, before, strict=False):
+            own = {x for x in range(k) if b + x in gone}
+            out.append(_without_words(t, own) if own else t)
+        return "\n".join(out)
 
     whole = texts.join(cuts, F.col("doc_id").eqNullSafe(F.col("cut_id")), "left")
     return whole.select("doc_id", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(cut(F.coalesce("text", F.lit("")), F.coalesce("cuts", F.array().cast("array<struct<paragraph:int,first_word:int,n_words:int>>")))).alias("text"))
