@@ -33,6 +33,18 @@ _PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 1
 WRITTEN = {b: chr(b) if b in _PRINTED else chr(256 + sum(x not in _PRINTED for x in range(b))) for b in range(256)}
 
 
+class _Known(dict):
+    """Ids of words; those of a new word are made when it is first looked up."""
+
+    def __init__(self, make) -> None:
+        super().__init__({"": b""})
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.make(word)
+        return ids
+
+
 class WordEncoder:
     """Encodes texts with a tokenizers file, each distinct word once.
 
@@ -47,7 +59,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.known = self.tokenizer.model, {"": b""}
+        self.model, self.known = self.tokenizer.model, _Known(self._word)
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         with open(path) as f:
             head = json.load(f)
@@ -73,24 +85,21 @@ class WordEncoder:
         if not self.piecewise or "<|" in word or not SIMPLE.fullmatch(word):
             return self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
         low = word.lower()
+        # Most words are letters alone, or letters and one sign.
+        if low.isascii() and low[:-1].isalpha():
+            if low.isalpha():
+                return self._piece(low)
+            return self._piece(low[:-1]) + self._piece(low[-1])
         pieces = PIECE.findall(low)
         return self._piece(low) if len(pieces) == 1 else b"".join(map(self._piece, pieces))
 
     def __call__(self, text: str) -> bytes:
         """Little-endian ids, of two bytes each if the vocabulary allows it, else of four."""
         if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
+            self.known = _Known(self._word)
         # str.split knows all white space of the tokenizer, but four controls are not white space there.
         words = SPACE.split(text) if CONTROLS.search(text) else text.split()
-        ids = list(map(self.known.get, words))
-        if None in ids:
-            known = self.known
-            for i, w in enumerate(words):
-                if ids[i] is None:
-                    if w not in known:
-                        known[w] = self._word(w)
-                    ids[i] = known[w]
-        return b"".join(ids)
+        return b"".join(map(self.known.__getitem__, words))
 
 
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2) -> DataFrame:
@@ -116,7 +125,10 @@ def id_counts(encoded: DataFrame, most: int = 1 << 22) -> np.ndarray:
     def run(batches):
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            for ids, width in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            texts, widths = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), np.int64)
+            # All documents of a batch at once, as each count is as long as the vocabulary.
+            for width in np.unique(widths).tolist():
+                ids = b"".join(texts[k] for k in np.flatnonzero(widths == width).tolist())
                 add = np.bincount(np.frombuffer(ids, f"<u{width}")) if ids else counts[:0]
                 if len(add) > most:
                     raise ValueError("an id is beyond the largest vocabulary")
