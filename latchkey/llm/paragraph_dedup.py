@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from latchkey.llm import simhash
 from latchkey.llm.common import connected_components, free_shuffles, small_batches, staged, text_column
 
 SEED = 42
@@ -172,9 +173,10 @@ def _guarded(f):
     return run
 
 
-def similar_links(texts: DataFrame, words: int, similarity: float, recall: float, rows: int, short: int, block: int = 512, repeated: bool = False) -> DataFrame:
+def similar_links(texts: DataFrame, words: int, similarity: float, recall: float, rows: int, short: int, block: int = 512, repeated: bool = False, groups: DataFrame | None = None) -> DataFrame:
     """Links (a, b) between ids of ``texts`` (id in hex, text) that tie together all that is similar
-    enough; a pair at ``similarity`` meets with probability ``recall``. ``repeated`` if ids aren't distinct."""
+    enough; a pair at ``similarity`` meets with probability ``recall``. ``repeated`` if ids aren't distinct.
+    What shares a key in ``groups`` (id in hex, key) meets too, whatever its bands, and is checked the same way."""
     bands = bands_for(similarity, recall, rows)
 
     def signed(batches):
@@ -188,6 +190,8 @@ def similar_links(texts: DataFrame, words: int, similarity: float, recall: float
     # A key's members are counted, then only keys with several go on.
     small = index.select("key", F.unhex("id").alias("id"))
     small = small.distinct() if repeated else small
+    if groups is not None:
+        small = small.unionByName(groups.select("key", F.unhex("id").alias("id")))
     listed = staged(small.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"), "buckets")
     free_shuffles(texts.sparkSession)
     one = listed.where(F.col("n") <= short)
@@ -204,13 +208,17 @@ def similar_links(texts: DataFrame, words: int, similarity: float, recall: float
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.99, rows: int = 4, short: int = 8, block: int = 128) -> DataFrame:
     """(doc_id, component_id) of each row: whole texts whose sets of ``words``-word shingles have a Jaccard
     similarity of ``similarity`` or more are linked; component_id is the smallest doc_id that links reach,
-    null if there is none. A pair at the threshold meets with probability ``recall``, and each candidate is
-    checked exactly. Texts without words (null and empty ones too) are equal."""
+    null if there is none. Candidates are all texts that SimHash ties together (see simhash.candidate_groups).
+    As similar texts may differ in more than its three bits, bands of MinHash add what it leaves: a pair at the
+    threshold meets there with probability ``recall``. Each candidate is checked exactly. Texts without words
+    (null and empty ones too) are equal."""
     small_batches(docs.sparkSession)
     has_words = text_column().rlike(r"[^\x20\x09-\x0D]")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(has_words, F.substring(F.sha2(text_column(), 256), 1, 32)).otherwise("").alias("id"), text_column().alias("text"))
     places = staged(keyed.select("doc_id", "id"), "places")
-    parts = connected_components(similar_links(keyed.where("id <> ''").select("id", "text"), words, similarity, recall, rows, short, block, repeated=True))
+    texts = keyed.where("id <> ''").select("id", "text")
+    groups = simhash.candidate_groups(texts)
+    parts = connected_components(similar_links(texts, words, similarity, recall, rows, short, block, repeated=True, groups=groups))
     known = places.join(parts, places["id"] == parts["node"], "left").select("doc_id", F.coalesce("component", "id").alias("part"))
     first = known.groupBy("part").agg(F.min("doc_id").alias("component_id"))
     return known.join(first, "part").select("doc_id", "component_id")

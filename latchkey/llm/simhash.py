@@ -36,7 +36,7 @@ def fingerprint(text: str, words: int = 3) -> int:
     return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", id_type: str = "long") -> DataFrame:
     """(doc_id, fp) of every row over its whole text; a null text is empty."""
 
     def run(batches):
@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
                 fps = pa.array([fingerprint(t, words) for t in part.column(1).to_pylist()], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), fps], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast(id_type).alias("doc_id"), text_column(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, fp long")
 
 
 def _byte(fp, i: int):
@@ -140,6 +140,14 @@ def components_of(prints: DataFrame, distance: int = 3, short: int = 256, long:
     return join_hot(prints, staged(known, "components"), "fp").select("doc_id", "fp", "component_id")
 
 
+def candidate_groups(texts: DataFrame, words: int = 3, distance: int = 3, short: int = 256, long: int = 16_384) -> DataFrame:
+    """(id, key) of each distinct id of ``texts`` (id, text): texts have one key exactly if links of at most
+    ``distance`` differing bits of their fingerprints tie them together."""
+    prints = staged(fingerprints(texts, words, "id", "text", "string").distinct(), "fingerprints")
+    parts = connected_components(near_links(prints.select("fp").distinct(), distance, short, long)).withColumnRenamed("node", "fp")
+    return prints.join(parts, "fp", "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "fp").alias("key"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, short: int = 256, long: int = 16_384) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 

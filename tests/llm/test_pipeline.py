@@ -4,7 +4,7 @@ import brute
 import numpy as np
 
 import corpus_pipeline as C
-from latchkey.llm import toxicity
+from latchkey.llm import paragraph_dedup, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,3 +78,27 @@ def test_near_copies_of_jaccard(spark):
     kept = {r.doc_id for r in dict(C.STAGES)["near duplicates"](spark, docs, SF).collect()}
     want = {d for d, c in part.items() if d == c} | {160}
     assert want <= kept and len(kept - want) <= 0.01 * len(texts)
+
+
+def test_near_copies_by_simhash(spark):
+    """Similar texts within three bits go if their bands never meet; texts within three bits that are not similar stay."""
+    docs, n = [], 0
+    for seed in (92, 1785, 2046):
+        random = np.random.RandomState(seed)
+        a = [f"w{x}" for x in random.randint(0, 10_000, 200)]
+        b = list(a)
+        for p in random.choice(200, 4, replace=False):
+            b[p] = "new" + b[p]
+        pair = [" ".join(a), " ".join(b)]
+        keys = paragraph_dedup.band_keys(pair, 5, paragraph_dedup.bands_for(0.8, 0.99, 4), 4)
+        bits = simhash.fingerprint(pair[0]) ^ simhash.fingerprint(pair[1])
+        assert not (keys[0] == keys[1]).any() and (bits & (1 << 64) - 1).bit_count() <= 3
+        docs += [(n, pair[0], "en", "s", 1), (n + 1, pair[1], "en", "s", 1)]
+        n += 2
+    # One fingerprint, since repeated shingles decide its bits; few distinct shingles are shared.
+    body = " ".join(f"b{i % 7}" for i in range(700))
+    same = [body + " " + " ".join(f"{c}{i}" for i in range(12)) for c in "pq"]
+    assert simhash.fingerprint(same[0]) == simhash.fingerprint(same[1])
+    docs += [(n + i, t, "en", "s", 1) for i, t in enumerate(same)]
+    kept = {r.doc_id for r in dict(C.STAGES)["near duplicates"](spark, spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), SF).collect()}
+    assert kept == {0, 2, 4, n, n + 1}
