@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import sys
@@ -10,15 +11,16 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latchkey.llm.common import delete_folder, free_shuffles, new_folder, small_batches, staged, text_column
 
-SPACE = re.compile(r"[\t\n\v\f\r ]+")
-CONTROLS = re.compile(r"[\x1c-\x1f]")
-#: Words that a worker remembers the ids of; beyond that it starts anew.
+#: Pieces of words that a worker remembers the ids of; beyond that the half used last stays.
 REMEMBERED = 400_000
+#: Bytes of text whose distinct words are looked up together.
+TOGETHER = 8 << 20
 #: Ids in a block of the file format.
 BLOCK = 1 << 20
 
@@ -33,20 +35,8 @@ _PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 1
 WRITTEN = {b: chr(b) if b in _PRINTED else chr(256 + sum(x not in _PRINTED for x in range(b))) for b in range(256)}
 
 
-class _Known(dict):
-    """Ids of words; those of a new word are made when it is first looked up."""
-
-    def __init__(self, make) -> None:
-        super().__init__({"": b""})
-        self.make = make
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.make(word)
-        return ids
-
-
 class WordEncoder:
-    """Encodes texts with a tokenizers file, each distinct word once.
+    """Encodes texts with a tokenizers file, each distinct word of a batch once and each piece when it is new.
 
     The tokenizer drops white space and never joins what white space parts, so the ids of a text are
     those of its words in turn. A word of simple characters goes
@@ -59,7 +49,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.known = self.tokenizer.model, _Known(self._word)
+        self.model, self.known, self.older = self.tokenizer.model, {}, {}
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         with open(path) as f:
             head = json.load(f)
@@ -73,46 +63,84 @@ class WordEncoder:
             out.byteswap()
         return out.tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        """A piece in lower case, which as a word of its own has the same ids."""
-        ids = self.known.get(piece)
+    def _remembered(self, part: str, make) -> bytes:
+        ids = self.known.get(part)
         if ids is None:
-            written = piece if piece.isascii() else "".join(map(WRITTEN.__getitem__, piece.encode()))
-            ids = self.known[piece] = self._packed([t.id for t in self.model.tokenize(written)])
+            ids = self.older.get(part)
+            ids = self.known[part] = make(part) if ids is None else ids
         return ids
 
+    def _whole(self, word: str) -> bytes:
+        return self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def _made(self, piece: str) -> bytes:
+        written = piece if piece.isascii() else "".join(map(WRITTEN.__getitem__, piece.encode()))
+        return self._packed([t.id for t in self.model.tokenize(written)])
+
+    def _piece(self, piece: str) -> bytes:
+        """A piece in lower case, which as a word of its own has the same ids."""
+        return self.known.get(piece) or self._remembered(piece, self._made)
+
     def _word(self, word: str) -> bytes:
-        if not self.piecewise or "<|" in word or not SIMPLE.fullmatch(word):
-            return self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        low = word.lower()
         # Most words are letters alone, or letters and one sign.
-        if low.isascii() and low[:-1].isalpha():
+        if self.piecewise and word.isascii():
+            low = word.lower()
             if low.isalpha():
                 return self._piece(low)
-            return self._piece(low[:-1]) + self._piece(low[-1])
+            if low[:-1].isalpha() and SIMPLE.fullmatch(low[-1]):
+                return self._piece(low[:-1]) + self._piece(low[-1])
+        if not self.piecewise or "<|" in word or not SIMPLE.fullmatch(word):
+            return self._remembered(word, self._whole)
+        low = word.lower()
         pieces = PIECE.findall(low)
         return self._piece(low) if len(pieces) == 1 else b"".join(map(self._piece, pieces))
 
+    def batch(self, texts: pa.Array, tail: bytes = b"") -> pa.Array:
+        """Of each text the little-endian ids, of two bytes each if the vocabulary allows it, else of four,
+        with ``tail`` behind them."""
+        if len(self.known) > REMEMBERED // 2:
+            self.older, self.known = self.known, {}
+        # White space beyond ASCII stays inside words, which go to the library whole.
+        lists = pc.ascii_split_whitespace(texts)
+        words, ends = lists.flatten().dictionary_encode(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)
+        ids = [self._word(w) if w else b"" for w in words.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        places = np.insert(words.indices.to_numpy(zero_copy_only=False), ends, len(ids))
+        flat = pa.array([*ids, tail], pa.large_binary()).take(pa.array(places))
+        # A text's ids are those of its words and the tail next to each other.
+        last = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
+        at = np.frombuffer(flat.buffers()[1], np.int64)[last] if len(flat) else np.zeros(1, np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(at), flat.buffers()[2]]).cast(pa.binary())
+
     def __call__(self, text: str) -> bytes:
-        """Little-endian ids, of two bytes each if the vocabulary allows it, else of four."""
-        if len(self.known) > REMEMBERED:
-            self.known = _Known(self._word)
-        # str.split knows all white space of the tokenizer, but four controls are not white space there.
-        words = SPACE.split(text) if CONTROLS.search(text) else text.split()
-        return b"".join(map(self.known.__getitem__, words))
+        return self.batch(pa.array([text], pa.string()))[0].as_py()
+
+
+@functools.lru_cache(maxsize=1)
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder that the tasks of a worker share, with the pieces that it remembers."""
+    return WordEncoder(path)
 
 
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2) -> DataFrame:
     """(doc_id, ids, width): little-endian ids of ``width`` bytes each, with the end id last."""
 
     def run(batches):
-        encode = WordEncoder(path)
-        tail, width = b"" if end_id is None else np.asarray([end_id], dtype=encode.width).tobytes(), int(encode.width[2])
+        encoder = worker_encoder(path)
+        tail, width = b"" if end_id is None else np.asarray([end_id], dtype=encoder.width).tobytes(), int(encoder.width[2])
+
+        def encoded(held):
+            ids = encoder.batch(pa.concat_arrays([b.column(1) for b in held]), tail)
+            docs = pa.concat_arrays([b.column(0) for b in held])
+            return pa.RecordBatch.from_arrays([docs, ids, pa.array(np.full(len(ids), width, np.int32))], ["doc_id", "ids", "width"])
+
+        held = []
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                ids = [encode(t) + tail for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([width] * len(ids), pa.int32())], ["doc_id", "ids", "width"])
+            if held and sum(b.nbytes for b in held) + batch.nbytes > TOGETHER:
+                yield encoded(held)
+                held = []
+            held.append(batch)
+        if held:
+            yield encoded(held)
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(text_col).alias("text"))
     return picked.mapInArrow(run, "doc_id long, ids binary, width int")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from latchkey.llm import tokens
@@ -40,3 +41,25 @@ def test_ids_are_counted_by_batches(spark, monkeypatch):
     list(mapped[0]([pa.record_batch([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32())], ["ids", "width"])]))
     assert counts[40_000] == 500 and counts[70_000] == 1 and counts[:7].sum() == 500
     assert calls.value <= 4
+
+
+def test_words_of_a_batch_are_looked_up_once(monkeypatch):
+    """Whatever the number of places of a word; texts keep their own ids, also of odd white space."""
+    texts = ["", " \n", "alpha beta, alpha\tbeta,", "\x1calpha\x1f beta,\u00a0alpha\u2003\x85x ", "Alpha"] + ["alpha beta, "] * 500
+    encoder, whole = tokens.WordEncoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    asked, real = [], encoder._word
+    monkeypatch.setattr(encoder, "_word", lambda w: asked.append(w) or real(w))
+    tail = np.asarray([2], encoder.width).tobytes()
+    for _ in range(2):
+        got = encoder.batch(pa.array(texts), tail).to_pylist()
+        assert [np.frombuffer(g, encoder.width).tolist() for g in got] == [[*whole.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert len(asked) <= 2 * 8
+    assert encoder.batch(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_pieces_are_remembered_by_halves(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 4)
+    encoder, whole = tokens.WordEncoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    for text in ["a b c d", "c d e f", "a g\u0301 h", "a b", "<|x|> \u4e2d"] * 2:
+        assert np.frombuffer(encoder(text), encoder.width).tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert len(encoder.known) + len(encoder.older) <= 10
