@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latchkey.llm.common import small_batches, text_column
+from latchkey.llm.common import small_batches, text_column, tidy
 
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: All ASCII bytes but letters and digits.
@@ -382,7 +382,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, i
             if ids:
                 yield flush(ids, texts, spaced)
 
-        return picked.mapInArrow(run, schema)
+        return picked.mapInArrow(tidy(run), schema)
 
     for row in rows.orderBy("item_id", "text").toLocalIterator():
         block.append((row.item_id, row.text))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,8 +131,11 @@ def mix(docs: DataFrame, members, size, id_col: str = "doc_id", weights=None, re
         if n:
             stretches.append((list(p), supply[p], s, at.get(p, 0), at.get(p, 0) + n))
             at[p] = at.get(p, 0) + n
-    plan = spark.createDataFrame(stretches, "members array<string>, words long, source string, begin long, until long")
-    quotas = spark.createDataFrame([(s, sizes[s], float(quota[s])) for s in names], "source string, source_size long, target double")
+    # As Arrow tables, which need no Python workers of their own.
+    kinds = {"members": pa.list_(pa.string()), "words": pa.int64(), "source": pa.string(), "begin": pa.int64(), "until": pa.int64()}
+    plan = spark.createDataFrame(pa.table({k: pa.array([x[i] for x in stretches], t) for i, (k, t) in enumerate(kinds.items())}))
+    shares = [sizes[s] for s in names], [float(quota[s]) for s in names]
+    quotas = spark.createDataFrame(pa.table({"source": pa.array(names, pa.string()), "source_size": pa.array(shares[0], pa.int64()), "target": pa.array(shares[1], pa.float64())}))
     buckets = d.groupBy("members", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("members").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.select("members", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))

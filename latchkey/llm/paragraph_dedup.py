@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latchkey.llm import simhash
-from latchkey.llm.common import connected_components, free_shuffles, small_batches, staged, text_column
+from latchkey.llm.common import connected_components, free_shuffles, small_batches, staged, text_column, tidy
 
 SEED = 42
 
@@ -186,7 +186,7 @@ def similar_links(texts: DataFrame, words: int, similarity: float, recall: float
                 keys = band_keys(part.column(1).to_pylist(), words, bands, rows).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([x for x in part.column(0).to_pylist() for _ in range(bands)], pa.string()), pa.array(keys.ravel())], ["id", "key"])
 
-    index = texts.select("id", "text").mapInArrow(signed, "id string, key long")
+    index = texts.select("id", "text").mapInArrow(tidy(signed), "id string, key long")
     # A key's members are counted, then only keys with several go on.
     small = index.select("key", F.unhex("id").alias("id"))
     small = small.distinct() if repeated else small
@@ -200,7 +200,7 @@ def similar_links(texts: DataFrame, words: int, similarity: float, recall: float
     used = text.join(listed.select("id").distinct(), "id", "left_semi")
     used = staged(used.groupBy("id").agg(F.min("text").alias("text")) if repeated else used, "candidates")
     sides = pairs.join(used.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(used.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-    links = sides.select(F.lower(F.hex("a")).alias("a"), F.lower(F.hex("b")).alias("b"), "x", "y").mapInArrow(_verified(words, similarity), "a string, b string")
+    links = sides.select(F.lower(F.hex("a")).alias("a"), F.lower(F.hex("b")).alias("b"), "x", "y").mapInArrow(tidy(_verified(words, similarity)), "a string, b string")
     full = listed.where(F.col("n") > short).join(used, "id").select("key", "n", F.lower(F.hex("id")).alias("id"), "text")
     return links.unionByName(crowded_links(full, words, similarity, block))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latchkey.llm.common import connected_components, join_hot, small_batches, staged, text_column
+from latchkey.llm.common import connected_components, join_hot, small_batches, staged, text_column, tidy
 
 SEED = 42
 #: Words that are hashed at once, for texts of any length.
@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
                 fps = pa.array([fingerprint(t, words) for t in part.column(1).to_pylist()], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), fps], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast(id_type).alias("doc_id"), text_column(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, fp long")
+    return docs.select(F.col(id_col).cast(id_type).alias("doc_id"), text_column(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {id_type}, fp long")
 
 
 def _byte(fp, i: int):

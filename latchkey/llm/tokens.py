@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latchkey.llm.common import delete_folder, free_shuffles, new_folder, small_batches, staged, text_column
+from latchkey.llm.common import delete_folder, free_shuffles, new_folder, small_batches, staged, text_column, tidy
 
 #: Pieces of words that a worker remembers the ids of; beyond that the half used last stays.
 REMEMBERED = 400_000
@@ -105,6 +105,7 @@ class WordEncoder:
         words, ends = lists.flatten().dictionary_encode(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)
         ids = [self._word(w) if w else b"" for w in words.dictionary.to_numpy(zero_copy_only=False).tolist()]
         places = np.insert(words.indices.to_numpy(zero_copy_only=False), ends, len(ids))
+        del lists, words
         flat = pa.array([*ids, tail], pa.large_binary()).take(pa.array(places))
         # A text's ids are those of its words and the tail next to each other.
         last = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
@@ -129,6 +130,8 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         tail, width = b"" if end_id is None else np.asarray([end_id], dtype=encoder.width).tobytes(), int(encoder.width[2])
 
         def encoded(held):
+            # What the batch before has left is as much as this one needs.
+            pa.default_memory_pool().release_unused()
             ids = encoder.batch(pa.concat_arrays([b.column(1) for b in held]), tail)
             docs = pa.concat_arrays([b.column(0) for b in held])
             return pa.RecordBatch.from_arrays([docs, ids, pa.array(np.full(len(ids), width, np.int32))], ["doc_id", "ids", "width"])
@@ -143,7 +146,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield encoded(held)
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(text_col).alias("text"))
-    return picked.mapInArrow(run, "doc_id long, ids binary, width int")
+    return picked.mapInArrow(tidy(run), "doc_id long, ids binary, width int")
 
 
 def id_counts(encoded: DataFrame, most: int = 1 << 22) -> np.ndarray:
@@ -168,7 +171,7 @@ def id_counts(encoded: DataFrame, most: int = 1 << 22) -> np.ndarray:
         there = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int64)), pa.array(counts[there])], ["id", "n"])
 
-    rows = encoded.select("ids", "width").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = encoded.select("ids", "width").mapInArrow(tidy(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(1 + max((r.id for r in rows), default=-1), np.int64)
     for r in rows:
         counts[r.id] = r.n
@@ -241,28 +244,34 @@ def write_shards(encoded: DataFrame, table: np.ndarray, to: str, partitions: int
             yield row()
 
     ordered = encoded.repartitionByRange(partitions, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    ordered.mapInArrow(run, SHARD).write.parquet(f"{to}/shards", compression="none")
-    spark.createDataFrame([(table.astype("<u4").tobytes(),)], "ids binary").coalesce(1).write.parquet(f"{to}/table")
+    ordered.mapInArrow(tidy(run), SHARD).write.parquet(f"{to}/shards", compression="none")
+    spark.createDataFrame(pa.table({"ids": pa.array([table.astype("<u4").tobytes()], pa.binary())})).coalesce(1).write.parquet(f"{to}/table")
 
 
 def read_shards(spark, at: str) -> DataFrame:
     """(shard, block, place, doc_id, ids): what write_shards wrote, ids as little-endian unsigned 32-bit integers."""
+    return _read(spark, at, {"ids": (pa.binary(), lambda ids: ids.tobytes())})
+
+
+def _read(spark, at: str, columns: dict) -> DataFrame:
+    """(shard, block, place, doc_id) of each document at ``at``, and what ``columns`` make of its ids: by name
+    an Arrow type and a function. One Python function does it all, so that a task needs one worker."""
     table = np.frombuffer(spark.read.parquet(f"{at}/table").head().ids, "<u4")
+    kinds = {"shard": pa.int32(), "block": pa.int32(), "place": pa.int32(), "doc_id": pa.int64(), **{k: t for k, (t, _) in columns.items()}}
+    names = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
                 sizes, docs = np.frombuffer(r["sizes"], "<i8"), np.frombuffer(r["doc_ids"], "<i8")
                 ids = unpack(r["control"], r["data"], int(sizes.sum()), table).astype("<u4")
-                ends = np.cumsum(sizes)
-                out = [ids[e - s : e].tobytes() for s, e in zip(sizes, ends, strict=True)]
-                n = len(docs)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["shard"]] * n, pa.int32()), pa.array([r["block"]] * n, pa.int32()), pa.array(np.arange(n, dtype=np.int32)), pa.array([None if d == -(1 << 63) else int(d) for d in docs], pa.int64()), pa.array(out, pa.binary())],
-                    ["shard", "block", "place", "doc_id", "ids"],
-                )
+                ends, n = np.cumsum(sizes), len(docs)
+                made = {k: [f(ids[e - s : e]) for s, e in zip(sizes, ends, strict=True)] for k, (_, f) in columns.items()}
+                known = {"shard": [r["shard"]] * n, "block": [r["block"]] * n, "place": range(n), "doc_id": [None if d == -(1 << 63) else int(d) for d in docs]}
+                yield pa.RecordBatch.from_arrays([pa.array(x, kinds[k]) for k, x in (known | made).items()], list(kinds))
 
-    return spark.read.parquet(f"{at}/shards").mapInArrow(run, "shard int, block int, place int, doc_id long, ids binary")
+    return spark.read.parquet(f"{at}/shards").mapInArrow(tidy(run), ", ".join(f"{k} {names[t]}" for k, t in kinds.items()))
 
 
 def token_digest(spark, at: str) -> DataFrame:
@@ -270,16 +279,7 @@ def token_digest(spark, at: str) -> DataFrame:
 
     Starts inside a block come with the block; the blocks' own starts are sums over one small row for
     each block (of some million ids), so no task orders documents of the whole corpus."""
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(4).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())],
-                ["shard", "block", "place", "doc_id", "n_tokens", "ids_crc32"],
-            )
-
-    docs = staged(read_shards(spark, at).mapInArrow(run, "shard int, block int, place int, doc_id long, n_tokens long, ids_crc32 long"), "digests")
+    docs = staged(_read(spark, at, {"n_tokens": (pa.int64(), len), "ids_crc32": (pa.int64(), zlib.crc32)}), "digests")
     blocks = docs.groupBy("shard", "block").agg(F.sum("n_tokens").alias("n"))
     shards = blocks.groupBy("shard").agg(F.sum("n").alias("n"))
     before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latchkey.llm.common import small_batches, staged, text_column
+from latchkey.llm.common import small_batches, staged, text_column, tidy
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: A seed lexicon of insults, for corpora with few labels.
@@ -53,19 +53,11 @@ class _Hits(dict):
         return hits
 
 
-_KNOWN: list[_Hits] = []
-
-
-def _hits_of(place: dict[str, int]) -> _Hits:
-    if not _KNOWN or _KNOWN[0].place is not place:
-        _KNOWN[:] = [_Hits(place)]
-    return _KNOWN[0]
-
-
-def features_of(texts: list[str], place: dict[str, int], width: int) -> np.ndarray:
+def features_of(texts: list[str], place: dict[str, int], width: int, known: _Hits | None = None) -> np.ndarray:
     """For each text logarithms of lexicon counts, then the pattern features. Only words that hold a term of
-    the lexicon are looked at further, and each distinct word is matched with the lexicon once."""
-    known, rows, columns = _hits_of(place), [], []
+    the lexicon are looked at further, and each distinct word is matched with the lexicon once; ``known`` has
+    what a task remembers of them, which goes when the task ends."""
+    known, rows, columns = _Hits(place) if known is None else known, [], []
     more = np.zeros((len(texts), len(PATTERNS)), np.float32)
     for i, text in enumerate(texts):
         words = WORDS.findall(text.lower())
@@ -159,10 +151,9 @@ class Model:
     intercept: float
 
     def score(self, texts: list[str]) -> np.ndarray:
-        if not hasattr(self, "place"):
-            self.place = {w: i for i, w in enumerate(self.lexicon)}
-        place, width = self.place, len(self.lexicon)
-        x = features_of(texts, place, width)
+        if not hasattr(self, "known"):
+            self.known = _Hits({w: i for i, w in enumerate(self.lexicon)})
+        x = features_of(texts, self.known.place, len(self.lexicon), self.known)
         return 1 / (1 + np.exp(-np.clip(x @ self.coefficients + self.intercept, -30, 30)))
 
 
@@ -218,7 +209,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def spell(batches):
         import xxhash
 
-        for batch in batches:
+        # A text has hundreds of terms, so a few texts make a batch.
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             out = {"word": [], "label": [], "place": []}
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words, seen = ["", *WORDS.findall(text.lower()), ""], {}
@@ -238,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n, toxic = size.n, size.toxic or 0
     chosen: list[str] = []
     if 0 < toxic < n:
-        found = sample.mapInArrow(spell, "word string, label long, place long").distinct().groupBy("word").agg(F.sum("label").alias("t"), F.count(F.lit(1)).alias("n"))
+        found = sample.mapInArrow(tidy(spell), "word string, label long, place long").distinct().groupBy("word").agg(F.sum("label").alias("t"), F.count(F.lit(1)).alias("n"))
         rate = ((F.col("t") + 0.1) / toxic) / ((F.col("n") - F.col("t") + 0.1 * (n - toxic) / toxic) / (n - toxic))
         share = toxic / n
         beyond = (F.col("t") - share * F.col("n")) / F.sqrt(share * (1 - share) * F.col("n"))
@@ -249,15 +241,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     place, width = {w: i for i, w in enumerate(words)}, len(words)
 
     def describe(batches):
+        known = _Hits(place)
         for batch in batches:
-            x = [row.tobytes() for row in features_of(batch.column(1).to_pylist(), place, width).astype("<f4")]
+            x = [row.tobytes() for row in features_of(batch.column(1).to_pylist(), place, width, known).astype("<f4")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["label", "x"])
 
     if not 0 < toxic < n:
         c = np.zeros(width + len(PATTERNS))
         c[width] = 4.0
         return Model(words, c, -2.0)
-    got = sample.mapInArrow(describe, "label int, x binary").collect()
+    got = sample.mapInArrow(tidy(describe), "label int, x binary").collect()
     y = np.array([g.label for g in got], np.float64)
     x = np.frombuffer(b"".join(g.x for g in got), "<f4").reshape(len(got), -1)
     del got
@@ -282,4 +275,4 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), text_column(text_col).alias("text"))
-    return picked.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return picked.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
